@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +68,21 @@ def lower_ascii(text: Column) -> Column:
 def blank_free_length(text: Column) -> Column:
     """Code points outside white space."""
     return F.length(F.translate(text, BLANKS + " ", ""))
+
+
+def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
+    """What Python workers need: this package, sent to them as a zip file once a session, and small
+    Arrow batches, as whole texts may be very long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
+        spark.conf.set(key, str(rows))
+    context = spark.sparkContext
+    if getattr(context, "_tallyloom_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    file = Path(tempfile.mkdtemp(prefix="tallyloom-")) / "tallyloom_package.zip"
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(file))
+    context._tallyloom_sent = True

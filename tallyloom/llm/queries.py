@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.language_id import identify_languages
 from tallyloom.llm.line_frequency import rule_documents
 from tallyloom.llm.line_templates import drop_recurring_lines
+from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.pieces import encode_documents
 from tallyloom.llm.sharding import shard_documents
 
 
@@ -28,8 +31,34 @@ def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_documents(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_template_line_dedup, op3_line_frequency_rules)}
+    ops = (
+        op1_hilbert_sharding,
+        op2_template_line_dedup,
+        op3_line_frequency_rules,
+        op4_harmonic_packing,
+        op5_cross_parsing_language,
+        op6_piece_coding,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
