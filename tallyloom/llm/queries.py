@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.archives import archive_pages
+from tallyloom.llm.html_text import extract_pages
 from tallyloom.llm.language_id import identify_languages
 from tallyloom.llm.line_frequency import rule_documents
 from tallyloom.llm.line_templates import drop_recurring_lines
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.pieces import encode_documents
 from tallyloom.llm.sharding import shard_documents
+from tallyloom.llm.topk import exact_top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,18 @@ def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_impact_ordered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_hilbert_sharding,
@@ -57,6 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_harmonic_packing,
         op5_cross_parsing_language,
         op6_piece_coding,
+        op8_arc_to_warc,
+        op9_text_density,
+        op10_impact_ordered_top_k,
     )
     return {f.__name__: f for f in ops}
 
