@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,3 +86,15 @@ def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
             z.write(p, p.relative_to(package.parent))
     context.addPyFile(str(file))
     context._tallyloom_sent = True
+
+
+def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of texts with at most limit characters each, or one longer text."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > a and held + len(t) > limit:
+            yield a, i
+            a, held = i, 0
+        held += len(t)
+    if a < len(texts):
+        yield a, len(texts)

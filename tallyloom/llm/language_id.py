@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ready_workers
+from tallyloom.llm.common import ready_workers, slices
 
 #: Labelled rows that a language's sample is drawn from, and its characters, at most.
 SAMPLE_DOCS = 64
@@ -20,6 +20,8 @@ SAMPLE_CHARS = 24_000
 #: A phrase does not go on beyond so many symbols from the last cut of a text.
 BLOCK = 512
 UNKNOWN = "und"
+#: Characters that are parsed at once.
+CHUNK = 1 << 22
 #: Symbols: padding, other letter, white space and all else that is no letter; then the letters of the samples.
 PAD, OTHER, GAP = 0, 1, 2
 
@@ -200,7 +202,11 @@ def identify_languages(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = cross_parser(samples)
         for batch in batches:
-            langs, scores = parser.predict([t or "" for t in batch.column("text").to_pylist()])
+            texts, langs, scores = [t or "" for t in batch.column("text").to_pylist()], [], []
+            for a, b in slices(texts, CHUNK):
+                some, sure = parser.predict(texts[a:b])
+                langs += some
+                scores += sure
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],

@@ -11,6 +11,7 @@ from tallyloom.llm.html_text import extract_pages
 from tallyloom.llm.language_id import identify_languages
 from tallyloom.llm.line_frequency import rule_documents
 from tallyloom.llm.line_templates import drop_recurring_lines
+from tallyloom.llm.near_duplicates import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.pieces import encode_documents
 from tallyloom.llm.sharding import shard_documents
@@ -52,6 +53,10 @@ def op6_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def op7_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_harmonic_packing,
         op5_cross_parsing_language,
         op6_piece_coding,
+        op7_bayesian_minhash,
         op8_arc_to_warc,
         op9_text_density,
         op10_impact_ordered_top_k,
