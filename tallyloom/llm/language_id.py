@@ -184,7 +184,9 @@ def labelled_samples(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: in
     return tuple(out)
 
 
-def identify_languages(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
+def identify_languages(
+    docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Language of every document, by the number of phrases it needs in each language.
 
     docs: doc_id, text, lang; other columns are ignored. A language's sample becomes a suffix
@@ -192,7 +194,7 @@ def identify_languages(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars:
     BLOCK symbols, so that all blocks of a batch advance together); the language with fewest
     phrases, weighed by the bits of a pointer into its sample, wins; ties go to the smaller name.
 
-    Returns a row for each row: doc_id, held_out, lang_pred, score. Null text, and text without a
+    Returns a row for each row: doc_id, held_out, lang_pred, score, and the columns named in carry. Null text, and text without a
     letter, is 'und' with score 0, as is everything where nothing was labelled; a null doc_id is not
     held out and not learned from; repeated rows get a row each; an empty table gives none.
     """
@@ -208,12 +210,13 @@ def identify_languages(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars:
                 langs += some
                 scores += sure
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *map(batch.column, carry)],
+                ["doc_id", "held_out", "lang_pred", "score", *carry],
             )
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", held_out.alias("held_out"), "text", *carry).mapInArrow(
+        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}"
     )

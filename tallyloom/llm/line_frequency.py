@@ -77,7 +77,13 @@ def normal_lines(text: Column) -> Column:
 
 
 def rule_documents(
-    docs: DataFrame, max_share: float = 0.1, min_docs: int = 20, min_left: float = 0.3, min_words: int = 20, max_repeat: int = 30
+    docs: DataFrame,
+    max_share: float = 0.1,
+    min_docs: int = 20,
+    min_left: float = 0.3,
+    min_words: int = 20,
+    max_repeat: int = 30,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Base rules and cross-document line frequency for every document.
 
@@ -88,7 +94,7 @@ def rule_documents(
 
     Equal texts count once a host, so copies do not push their own lines over the limit. Returns a
     row for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, n_removed_words, depleted. Null or empty text has no words and fails the
+    base_failed, kept, n_removed_words, depleted, and the columns named in carry. Null or empty text has no words and fails the
     base; a null host is a host of its own; an empty table gives no rows.
 
     The text is read once; what is shuffled are line hashes, summed before the exchange. The lines
@@ -98,6 +104,7 @@ def rule_documents(
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
+        *carry,
         F.coalesce(F.concat(F.lit("h"), F.col("source").cast("string")), F.lit("")).alias("_host"),
         F.xxhash64(text).alias("_copy"),
         *(c.alias(k) for k, c in base_columns(text).items()),
@@ -144,5 +151,6 @@ def rule_documents(
             (~failed & ~F.col("depleted")).alias("kept"),
             "n_removed_words",
             "depleted",
+            *carry,
         )
     )
