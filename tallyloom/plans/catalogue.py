@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyloom.plans import aggregates, econometrics, relational, streams, timeseries
+from tallyloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+PARTS = (aggregates, timeseries, econometrics, relational, streams)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: f for p in PARTS for name, f in p.catalogue.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for p in PARTS for name, sql in p.catalogue.sql.items()}
