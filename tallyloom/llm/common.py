@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.plans.session import send_package
+
 #: The white space of the contracts: space and the controls 9 to 13.
 BLANKS = "\t\n\x0b\x0c\r"
 #: A word is a maximal run of other characters.
@@ -76,16 +76,7 @@ def ready_workers(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) not in range(1, rows + 1):
         spark.conf.set(key, str(rows))
-    context = spark.sparkContext
-    if getattr(context, "_tallyloom_sent", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    file = Path(tempfile.mkdtemp(prefix="tallyloom-")) / "tallyloom_package.zip"
-    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(file))
-    context._tallyloom_sent = True
+    send_package(spark)
 
 
 def slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
