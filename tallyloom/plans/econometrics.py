@@ -142,10 +142,9 @@ def hdfe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_of(reg.hdfe(items(spark, sf_dir), "l_extendedprice", ["l_quantity"], ["l_suppkey"]))
 
 
-@query("SELECT o_orderkey, o_custkey FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderkey % 5 = 0) WHERE n > 1")
+@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n > 1")
 def singleton_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey")
-    return reg.drop_singletons(rows, ["o_custkey"])
+    return reg.drop_singletons(items(spark, sf_dir).select("l_orderkey", "l_linenumber"), ["l_orderkey"])
 
 
 @query()
@@ -232,9 +231,9 @@ def markov_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.length(F.regexp_replace("text", "[^#*$%&]", "")).alias("symbols"))
     rows = docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
-    train, test = rows.where("doc_id % 4 = 0"), rows.where("doc_id % 4 <> 0")
-    model = kernels.random_forest(train, "label", ["n_chars", "symbols"], ["lang"])
-    return model.transform(test).select("doc_id", "label", "prediction")
+    rows = rows.withColumn("fitted", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    model = kernels.random_forest(rows.where("fitted"), "label", ["n_chars", "symbols"], ["lang"])
+    return model.transform(rows).select("doc_id", "fitted", "label", "prediction")
 
 
 @query("SELECT part.p_partkey AS p_partkey, round(ln(p_size - 0.0) - ln(51.0 - p_size),8) AS l, round(0.0 + 51.0/(1+exp(-(ln(p_size) - ln(51.0 - p_size)))),6) AS back FROM part")

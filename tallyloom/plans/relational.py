@@ -211,16 +211,14 @@ def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("plain"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS INTEGER) AS n_tokens FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS INTEGER) AS n_tokens FROM documents")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return rows.select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(replace(text, '%%%', '\%%%'), '([^\\]|^)%[^\n]*\n?', '\1', 'g')) AS digest FROM documents WHERE doc_id < 0""")
+@query(r"""SELECT doc_id, md5(replace(regexp_replace(replace(text, '\%', chr(1)), '%[^\n]*\n?', '', 'g'), chr(1), '\%')) AS digest FROM documents""")
 def remove_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("doc_id < 0")
-    return rows.select("doc_id", F.md5(text.remove_comments(F.col("text"))).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.remove_comments(F.col("text"))).alias("digest"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'add_to_cart' THEN 'addToCart' ELSE event_type END AS camel FROM events""")

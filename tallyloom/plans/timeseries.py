@@ -28,15 +28,13 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("month").agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months of each priority, some left out, so that there are gaps."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").withColumn("month", panel.period_start(F.col("o_orderdate"), "month"))
-    made = rows.groupBy("o_orderpriority", "month").agg(F.sum("o_totalprice").alias("total"))
-    return made.where(F.month("month") % 5 != 0)
+def by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months in which each customer ordered; between them are gaps."""
+    rows = table(spark, sf_dir, "orders").withColumn("month", panel.period_start(F.col("o_orderdate"), "month"))
+    return rows.groupBy("o_custkey", "month").agg((F.sum("o_totalprice") / 7).alias("total"))
 
 
-PRIORITY = """(SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS total FROM orders
-  WHERE o_orderkey % 7 = 0 AND month(o_orderdate) % 5 <> 0 GROUP BY 1,2)"""
+CUSTOMER = """(SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice)/7 AS total FROM orders GROUP BY 1,2)"""
 
 
 @query(f"SELECT day, round(v,4) AS v, round(lag(v,1) OVER (ORDER BY day),4) AS L1_v, round(lead(v,2) OVER (ORDER BY day),4) AS F2_v FROM {DAILY}")
@@ -64,29 +62,29 @@ def transform_lag_diff_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("month", "L_D_LOG_total"), 8, "L_D_LOG_total")
 
 
-@query(f"""WITH p AS {PRIORITY} SELECT a.o_orderpriority, a.month, round(a.total,4) AS total, round(b.total,4) AS L1_total, round(c.total,4) AS L2_total FROM p a
-  LEFT JOIN p b ON a.o_orderpriority = b.o_orderpriority AND b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE)
-  LEFT JOIN p c ON a.o_orderpriority = c.o_orderpriority AND c.month = CAST(a.month - INTERVAL 2 MONTH AS DATE)""")
+@query(f"""WITH p AS {CUSTOMER} SELECT a.o_custkey, a.month, round(a.total,4) AS total, round(b.total,4) AS L1_total, round(c.total,4) AS L2_total FROM p a
+  LEFT JOIN p b ON a.o_custkey = b.o_custkey AND b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE)
+  LEFT JOIN p c ON a.o_custkey = c.o_custkey AND c.month = CAST(a.month - INTERVAL 2 MONTH AS DATE)""")
 def calendar_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = panel.calendar_lags(by_priority(spark, sf_dir), "total", "month", [1, 2], "month", ["o_orderpriority"])
+    made = panel.calendar_lags(by_customer(spark, sf_dir), "total", "month", [1, 2], "month", ["o_custkey"])
     return rounded(made, 4, "total", "L1_total", "L2_total")
 
 
-@query(f"""WITH p AS {PRIORITY}, s AS (SELECT o_orderpriority, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM p GROUP BY 1)
-  SELECT s.o_orderpriority, s.month, round(p.total,4) AS total FROM s LEFT JOIN p USING (o_orderpriority, month)""")
+@query(f"""WITH p AS {CUSTOMER}, s AS (SELECT o_custkey, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM p GROUP BY 1)
+  SELECT s.o_custkey, s.month, round(p.total,4) AS total FROM s LEFT JOIN p USING (o_custkey, month)""")
 def to_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(panel.to_panel(by_priority(spark, sf_dir), ["o_orderpriority"], "month", "month"), 4, "total")
+    return rounded(panel.to_panel(by_customer(spark, sf_dir), ["o_custkey"], "month", "month"), 4, "total")
 
 
-@query("""WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events WHERE event_id % 37 = 0 AND value > 20),
-  d AS (SELECT day, sum(value) AS s, avg(value) AS m, arg_min(value, ts) AS f, arg_max(value, ts) AS l, count(value) AS c FROM e GROUP BY 1),
-  p AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d)
-  SELECT p.day AS ts, round(coalesce(s,0),4) AS value_sum, round(m,4) AS value_mean, round(f,4) AS value_first, round(l,4) AS value_last, coalesce(c,0) AS value_count
-  FROM p LEFT JOIN d USING (day)""")
+@query("""WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events),
+  d AS (SELECT user_id, day, sum(value) AS s, arg_min(value, ts) AS f, arg_max(value, ts) AS l, count(value) AS c FROM e GROUP BY 1,2),
+  p AS (SELECT user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1)
+  SELECT p.user_id, p.day AS ts, round(coalesce(s,0),4) AS value_sum, round(f,4) AS value_first, round(l,4) AS value_last, coalesce(c,0) AS value_count
+  FROM p LEFT JOIN d USING (user_id, day)""")
 def resample_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where("event_id % 37 = 0 and value > 20").select("ts", "value")
-    made = panel.resample(rows, "ts", "day", {"sum": ["value"], "mean": ["value"], "first": ["value"], "last": ["value"], "count": ["value"]})
-    return rounded(made, 4, "value_sum", "value_mean", "value_first", "value_last")
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    made = panel.resample(rows, "ts", "day", {"sum": ["value"], "first": ["value"], "last": ["value"], "count": ["value"]}, ["user_id"])
+    return rounded(made, 4, "value_sum", "value_first", "value_last")
 
 
 @query(f"""SELECT month, CASE WHEN count(total) OVER w = 4 THEN round(sum(total) OVER w,4) END AS total4 FROM {MONTHLY}
@@ -221,16 +219,16 @@ def fit_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(panel.fit_ar1(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"]), 6, "level", "rho")
 
 
-@query(f"""WITH p AS {PRIORITY}, s AS (SELECT o_orderpriority, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM p GROUP BY 1),
-  f AS (SELECT s.o_orderpriority, s.month, p.total FROM s LEFT JOIN p USING (o_orderpriority, month)),
-  g AS (SELECT *, max(CASE WHEN total IS NOT NULL THEN month END) OVER (PARTITION BY o_orderpriority ORDER BY month) AS a,
-    min(CASE WHEN total IS NOT NULL THEN month END) OVER (PARTITION BY o_orderpriority ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM f)
-  SELECT g.o_orderpriority, g.month, round(CASE WHEN g.total IS NOT NULL THEN g.total ELSE x.total + (y.total-x.total)*(g.month-g.a)/(g.b-g.a) END,4) AS total_filled
-  FROM g LEFT JOIN p x ON x.o_orderpriority = g.o_orderpriority AND x.month = g.a LEFT JOIN p y ON y.o_orderpriority = g.o_orderpriority AND y.month = g.b""")
+@query(f"""WITH p AS {CUSTOMER}, s AS (SELECT o_custkey, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM p GROUP BY 1),
+  f AS (SELECT s.o_custkey, s.month, p.total FROM s LEFT JOIN p USING (o_custkey, month)),
+  g AS (SELECT *, max(CASE WHEN total IS NOT NULL THEN month END) OVER (PARTITION BY o_custkey ORDER BY month) AS a,
+    min(CASE WHEN total IS NOT NULL THEN month END) OVER (PARTITION BY o_custkey ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM f)
+  SELECT g.o_custkey, g.month, round(CASE WHEN g.total IS NOT NULL THEN g.total ELSE x.total + (y.total-x.total)*(g.month-g.a)/(g.b-g.a) END,4) AS total_filled
+  FROM g LEFT JOIN p x ON x.o_custkey = g.o_custkey AND x.month = g.a LEFT JOIN p y ON y.o_custkey = g.o_custkey AND y.month = g.b""")
 def interpolate_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = panel.to_panel(by_priority(spark, sf_dir), ["o_orderpriority"], "month", "month")
-    made = panel.interpolate_linear(full, "total", "month", ["o_orderpriority"])
-    return rounded(made.select("o_orderpriority", "month", "total_filled"), 4, "total_filled")
+    full = panel.to_panel(by_customer(spark, sf_dir), ["o_custkey"], "month", "month")
+    made = panel.interpolate_linear(full, "total", "month", ["o_custkey"])
+    return rounded(made.select("o_custkey", "month", "total_filled"), 4, "total_filled")
 
 
 @query("""WITH r AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_totalprice*(day(last_day(o_orderdate))-day(o_orderdate)+1)/day(last_day(o_orderdate)) AS h, o_totalprice AS x FROM orders),
