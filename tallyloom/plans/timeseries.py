@@ -31,10 +31,10 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 def by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months in which each customer ordered; between them are gaps."""
     rows = table(spark, sf_dir, "orders").withColumn("month", panel.period_start(F.col("o_orderdate"), "month"))
-    return rows.groupBy("o_custkey", "month").agg((F.sum("o_totalprice") / 7).alias("total"))
+    return rows.groupBy("o_custkey", "month").agg((F.sum("o_totalprice") / 71.93).alias("total"))
 
 
-CUSTOMER = """(SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice)/7 AS total FROM orders GROUP BY 1,2)"""
+CUSTOMER = """(SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice)/71.93 AS total FROM orders GROUP BY 1,2)"""
 
 
 @query(f"SELECT day, round(v,4) AS v, round(lag(v,1) OVER (ORDER BY day),4) AS L1_v, round(lead(v,2) OVER (ORDER BY day),4) AS F2_v FROM {DAILY}")
