@@ -271,12 +271,12 @@ def winsorize_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_of(bins.winsorize(lineitem(spark, sf_dir), ["l_extendedprice"], 0.9, "l_quantity", PK))
 
 
-@query("""SELECT CAST(l_shipdate AS DATE) AS ship, round(sum(l_quantity*l_extendedprice)/sum(l_quantity),4) AS l_extendedprice,
-  round(sum(l_quantity*l_tax)/sum(l_quantity),6) AS l_tax FROM lineitem GROUP BY 1""")
+@query("""SELECT CAST(l_shipdate AS DATE) AS ship, round(sum(l_extendedprice*l_quantity)/sum(l_extendedprice),6) AS l_quantity,
+  round(sum(l_extendedprice*l_tax)/sum(l_extendedprice),6) AS l_tax FROM lineitem GROUP BY 1""")
 def weighted_agg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem(spark, sf_dir).withColumn("ship", F.col("l_shipdate").cast("date"))
-    made = collapse.collapse_all_weights(rows, ["ship"], ["l_extendedprice", "l_tax"], "l_quantity")
-    return rounded(rounded(made, 4, "l_extendedprice"), 6, "l_tax")
+    made = collapse.collapse_all_weights(rows, ["ship"], ["l_quantity", "l_tax"], "l_extendedprice")
+    return rounded(made, 6, "l_quantity", "l_tax")
 
 
 @query("""SELECT round(min(l_quantity) - 0.05*(max(l_quantity)-min(l_quantity)),6) AS low, round(max(l_quantity) + 0.05*(max(l_quantity)-min(l_quantity)),6) AS high FROM lineitem""")
