@@ -134,11 +134,11 @@ def read_matrices(spark: SparkSession, path: str, dtype: str = "float64") -> Dat
 
 def read_coefficients(spark: SparkSession, b_path: str, v_path: str) -> DataFrame:
     """(place, coef, se) from a vector and a covariance written as white-space-separated text."""
-    values = lambda p: F.expr(f"transform(split(trim(value), '\\\\s+'), x -> double(x))")
-    b = spark.read.text(b_path, wholetext=True).select(F.posexplode(values(b_path)).alias("place", "coef"))
-    v = spark.read.text(v_path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\n")).alias("place", "value"))
-    v = v.select("place", F.sqrt(F.get(values(v_path), F.col("place"))).alias("se"))
-    return b.join(v, "place")
+    numbers = F.transform(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lambda x: x.try_cast("double"))
+    b = spark.read.text(b_path, wholetext=True).select(F.posexplode(numbers).alias("place", "coef"))
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    v = spark.read.text(v_path, wholetext=True).select(F.posexplode(lines).alias("place", "value"))
+    return b.join(v.select("place", F.sqrt(F.get(numbers, F.col("place"))).alias("se")), "place")
 
 
 def write_numeric(value: float, path: str, form: str = "4.3f") -> None:
