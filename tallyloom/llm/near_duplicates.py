@@ -24,6 +24,10 @@ BATCH = 32
 MISS = 1e-6
 #: Text bytes that are hashed at once.
 CHUNK = 1 << 21
+#: Members of a bucket up to which pairs are made as rows, and of one block of a larger bucket.
+SMALL, BLOCK = 16, 128
+#: Elements whose indicators are multiplied at once.
+COLUMNS = 1 << 13
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15
@@ -232,11 +236,75 @@ def exact_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return worded.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def short_forms(texts: DataFrame) -> DataFrame:
+    """(rep, form): a text's signature and the upper halves of its shingles' hashes, in order."""
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text").to_pylist()
+            for a, b in slices(text, CHUNK):
+                sets = shingle_sets(text[a:b])
+                some = [i for i, s in enumerate(sets) if len(s)]
+                short = signatures([sets[i] for i in some])[0] if some else ()
+                forms = [sig.tobytes() + np.unique((sets[i] >> np.uint64(32)).astype(np.uint32)).tobytes() for sig, i in zip(short, some, strict=True)]
+                reps = batch.column("rep").slice(a, b - a).take(pa.array(some, pa.int64()))
+                yield pa.RecordBatch.from_arrays([reps, pa.array(forms, pa.binary())], ["rep", "form"])
+
+    return texts.select("rep", "text").mapInArrow(run, f"rep {kind}, form binary")
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets a shares with each of the sets b, by products of indicators."""
+    words, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for low in range(0, len(words), COLUMNS):
+        x, y = np.searchsorted(place, (low, low + COLUMNS))
+        has = np.zeros((len(a) + len(b), min(COLUMNS, len(words) - low)), dtype=np.float32)
+        has[owner[x:y], place[x:y] - low] = 1
+        out += has[: len(a)] @ has[len(a) :].T
+    return out
+
+
+def block_survivors(blocks: DataFrame) -> DataFrame:
+    """The pairs (a, b) of an outer and an inner block in different components that signatures and
+    short sets don't rule out. No pair becomes a row before that. Short hashes that meet by chance
+    only raise an intersection, which is also taken as one larger."""
+    kind = blocks.schema["outer"].dataType.elementType["rep"].dataType.simpleString()
+    head = VALUES * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for outer, inner in zip(batch.column("outer").to_pylist(), batch.column("inner").to_pylist(), strict=True):
+                both = [np.frombuffer(b"".join(x["form"][:head] for x in side), dtype=np.uint16).reshape(-1, VALUES) for side in (outer, inner)]
+                sets = [[np.frombuffer(x["form"], dtype=np.uint32, offset=head) for x in side] for side in (outer, inner)]
+                sizes = [np.array([len(x) for x in side]) for side in sets]
+                parts = [np.array([x["component"] for x in side]) for side in (outer, inner)]
+                fits = np.minimum.outer(*sizes) * 100 + 100 >= np.maximum.outer(*sizes) * LEAST
+                i, j = np.nonzero(fits & (parts[0][:, None] != parts[1][None, :]))
+                alive = surviving(both[0][i], both[1][j])
+                if not len(alive):
+                    continue
+                i, j = i[alive], j[alive]
+                both = shared_counts(*sets)[i, j] + 1
+                likely = 100 * both >= LEAST * (sizes[0][i] + sizes[1][j] - both)
+                left += [outer[k]["rep"] for k in i[likely]]
+                right += [inner[k]["rep"] for k in j[likely]]
+            yield pa.RecordBatch.from_arrays([pa.array(left, batch.schema.field("outer").type.value_type.field("rep").type), pa.array(right, batch.schema.field("outer").type.value_type.field("rep").type)], ["x", "y"])
+
+    found = blocks.select("outer", "inner").mapInArrow(run, f"x {kind}, y {kind}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the links (a, b) reaches.
 
     Large-star and small-star steps in turn: every node hands its larger, then its smaller,
-    neighbours to the smallest one, until nothing changes. A node's smallest neighbour is a minimum
+    neighbours to the smallest one, until all are stars. A node's smallest neighbour is a minimum
     summed before the exchange, so a node with very many links costs a row a task.
     """
 
@@ -257,16 +325,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "edges")
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether every node has one edge, to a node without one."""
+        most = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        return (most or 0) <= 1 and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
-    before = mark(edges)
-    while before[0]:
+    while not settled(edges):
         edges = materialise(star(star(edges, True), False), "edges")
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
@@ -292,9 +357,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents of equal sets are one class from the start, by a minimum summed before the exchange.
     In each band's bucket every class is compared with one leader, drawn anew for each bucket; what
     is linked then needs no further pair. Only classes of a bucket that are still in different
-    components are compared with each other. Pairs are tested on signatures, batch by batch, then
-    exactly. So a bucket of m copies of one text costs m pairs, and no link between components is
-    lost but by the bands (8e-5 at similarity 0.75, less above) and by MISS.
+    components are compared with each other: as pairs in small buckets, and block by block in large
+    ones, where those outside the bucket's main component meet all the others in memory. Pairs are
+    tested on signatures, batch by batch, then exactly. So a bucket of m copies of one text costs m
+    pairs, and no link between components is lost but by the bands (8e-5 at similarity 0.75, less
+    above) and by MISS.
     """
     sets = materialise(document_sets(docs), "sets")
     classes = (
@@ -327,18 +394,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"))
     home = (
         shares.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", "component")).alias("_home"))
+        .agg(F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", "component")).alias("_home"))
         .where(F.col("_parts") > 1)
-        .select("bucket", F.col("_home")["component"].alias("_home"))
+        .select("bucket", "_size", (F.col("_size") - F.col("_home")["_n"]).alias("_away"), F.col("_home")["component"].alias("_home"))
     )
     mixed_buckets = materialise(placed.join(home, "bucket"), "mixed")
-    outer = mixed_buckets.where(F.col("component") != F.col("_home")).select(
-        "bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("_cx")
+    away = F.col("component") != F.col("_home")
+
+    small = mixed_buckets.where(F.col("_size") <= SMALL)
+    outer = small.where(away).select("bucket", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("_cx"))
+    inner = small.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("_cy"))
+    second = ordered_pairs(outer.join(inner, "bucket").where(F.col("_cx") != F.col("_cy"))).join(first, ["a", "b"], "left_anti")
+
+    large = mixed_buckets.where(F.col("_size") > SMALL)
+    forms = materialise(short_forms(texts.join(large.select("rep").distinct(), "rep", "left_semi")), "forms")
+    inner_blocks, outer_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_size", "_away"))
+    place = F.xxhash64("rep", F.lit(1))
+    rows = large.join(forms, "rep").select(
+        "bucket", away.alias("_out"), F.struct("rep", "component", "form").alias("_m"), inner_blocks.alias("_ni"), outer_blocks.alias("_no"),
+        F.pmod(place, inner_blocks).cast("int").alias("_i"), F.pmod(place, outer_blocks).cast("int").alias("_o"),
+    )
+    as_inner = rows.select("bucket", "_i", F.explode(F.sequence(F.lit(0), F.col("_no") - 1)).alias("_o"), "_m", F.lit(False).alias("_out"))
+    as_outer = rows.where("_out").select("bucket", F.explode(F.sequence(F.lit(0), F.col("_ni") - 1)).alias("_i"), "_o", "_m", "_out")
+    blocks = (
+        as_inner.unionByName(as_outer)
+        .groupBy("bucket", "_i", "_o")
+        .agg(F.collect_list(F.when(F.col("_out"), F.col("_m"))).alias("outer"), F.collect_list(F.when(~F.col("_out"), F.col("_m"))).alias("inner"))
+        .where((F.size("outer") > 0) & (F.size("inner") > 0))
     )
-    inner = mixed_buckets.select("bucket", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("_cy"))
-    second = ordered_pairs(outer.join(inner, "bucket").where(F.col("_cx") != F.col("_cy")))
-    second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialise(exact_links(bayes_survivors(second, reps), texts), "links")
+
+    more = exact_links(bayes_survivors(second, reps).unionByName(block_survivors(blocks)).distinct(), texts)
+    more = materialise(more, "links")
     found = components(links.unionByName(more)) if not more.isEmpty() else found
 
     named = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
