@@ -59,13 +59,18 @@ class SuffixAutomaton:
         return new
 
     def table(self, width: int) -> np.ndarray:
-        """Entry state * width + symbol: next state * 2, plus 1 if a phrase ends before the symbol."""
-        out = np.empty((len(self.next), width), dtype=np.int32)
-        out[:] = [self.next[0].get(c, 0) * 2 + 1 for c in range(width)]
+        """Entry state * width + symbol: next state * 2, plus 1 if a phrase begins with the symbol.
+
+        One state more than the automaton's stands before the first symbol and after one that the
+        sample doesn't have: any symbol begins a phrase there.
+        """
+        apart = len(self.next)
+        out = np.empty((apart + 1, width), dtype=np.int32)
+        out[:] = [self.next[0].get(c, apart) * 2 + 1 for c in range(width)]
         for s, following in enumerate(self.next):
             for c, to in following.items():
                 out[s, c] = to * 2
-        out[:, PAD] = np.arange(len(self.next)) * 2
+        out[:, PAD] = np.arange(apart + 1) * 2
         return out.ravel()
 
 
@@ -108,14 +113,15 @@ class CrossParser:
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.tables)), dtype=np.int64)
         for k, table in enumerate(self.tables):
-            state, ended = np.zeros(len(grid), dtype=np.int32), np.ones(len(grid), dtype=np.int32)
+            state = np.full(len(grid), len(table) // self.width - 1, dtype=np.int32)
+            begun = np.zeros(len(grid), dtype=np.int32)
             for c in steps:
                 state *= self.width
                 state += c
                 got = table[state]
-                ended += got & 1
+                begun += got & 1
                 state = got >> 1
-            out[:, k] = np.bincount(owner, weights=ended, minlength=len(texts))
+            out[:, k] = np.bincount(owner, weights=begun, minlength=len(texts))
         text_of = np.repeat(np.arange(len(texts)), counts)
         lettered = np.bincount(text_of[symbols != GAP], minlength=len(texts)) > 0
         return out, counts, lettered
