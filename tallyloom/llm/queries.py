@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm import reference_sql
 from tallyloom.llm.archives import archive_pages
 from tallyloom.llm.html_text import extract_pages
 from tallyloom.llm.language_id import identify_languages
@@ -86,4 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_hilbert_sharding": reference_sql.SHARDS,
+        "op3_line_frequency_rules": reference_sql.RULES,
+        "op7_bayesian_minhash": reference_sql.NEAR_DUPLICATES,
+        "op8_arc_to_warc": reference_sql.ARCHIVES,
+        "op10_impact_ordered_top_k": reference_sql.TOP_K,
+    }
