@@ -164,3 +164,60 @@ def test_different_lines_of_one_leaf_stay(spark):
     head = "these four words begin "
     texts = [head + " ".join(f"{c}{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(8)) for c in "pqrstu"]
     assert all(r.n_dropped == 0 for r in drop_recurring_lines(docs(spark, texts)).collect())
+
+
+def masked(line):
+    line = re.sub("[1-9]", "0", line.lower()).translate(str.maketrans("\t\x0b\x0c\r", "    "))
+    return re.sub("0{2,}", "0", re.sub(" {2,}", " ", line)).strip(" ")
+
+
+def brute_drops(rows, depth=4, min_tokens=8, similarity=0.6, min_docs=2):
+    """Texts without their recurring lines, by plain dictionaries."""
+    import xxhash
+
+    seen = defaultdict(lambda: defaultdict(set))
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            tokens = masked(x).split(" ")
+            if masked(x) and len(tokens) >= min_tokens:
+                seen[len(tokens), tuple(tokens[:depth])][masked(x)].add((t, min(j for j, u in rows if u == t)))
+    owner = {}
+    for lines in seen.values():
+        signed = lambda x: (v := xxhash.xxh64_intdigest(x.encode(), 42)) - (1 << 64) * (v >> 63)
+        seed = min(lines, key=lambda x: (-len(lines[x]), signed(x)))
+        groups = defaultdict(list)
+        for x in lines:
+            same = sum(a == b for a, b in zip(x.split(" "), seed.split(" "), strict=True))
+            groups[seed if same >= similarity * len(seed.split(" ")) else x].append(x)
+        for members in groups.values():
+            having = [d for x in members for d in lines[x]]
+            if len(having) >= min_docs:
+                first = min(having, key=lambda d: d[1])[0]
+                owner |= {x: first for x in members}
+    return {i: t if t is None else "\n".join(x for x in t.split("\n") if owner.get(masked(x), t) == t) for i, t in rows}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_templates_equal_brute_force(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    stock = [[r.choice("abcdefg") * r.randrange(1, 3) for _ in range(r.randrange(6, 12))] for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(r.randrange(0, 5)):
+            line = list(r.choice(stock))
+            for _ in range(r.randrange(0, 4)):
+                line[r.randrange(len(line))] = r.choice(["x", "y", str(r.randrange(99))])
+            lines.append(r.choice([" ", "  "]).join(line))
+        texts.append("\n".join(lines))
+    rows = list(enumerate(texts + texts[:5]))
+    got = {x.doc_id: x.text for x in drop_recurring_lines(docs(spark, [t for _, t in rows])).collect()}
+    assert got == brute_drops(rows)
+
+
+def test_templates_equal_brute_force_on_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(x.doc_id, x.text) for x in df.collect()]
+    assert {x.doc_id: x.text for x in drop_recurring_lines(df).collect()} == brute_drops(rows)
