@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import ready_workers, materialise
 
 #: Word-to-ids entries in each of the two generations that a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Places over which the pieces of one class are dealt before they are numbered.
 SALTS = 256
 #: Stands between words that are tokenised together.
@@ -39,6 +39,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.spelled = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         mark = self._encode(MARK)
@@ -70,7 +71,7 @@ class WordTokenizer:
         character that byte-level models write for it, go straight to the merges."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+        return b"".join([self.spelled[t.id] for t in self.model.tokenize(word)])
 
     def _derive(self, words: set[str]) -> None:
         """Learn words by way of their lower-case letters and one final stop or comma, which the
