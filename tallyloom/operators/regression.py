@@ -432,3 +432,18 @@ def dynamic_least_squares(df: DataFrame, y: str, x: str, lags: int, order: Seque
     rows = rows.withColumns({f"D{i}".replace("-", "m"): shifted(F.col("_dx"), i, w) for i in range(-lags, lags + 1)})
     right = [x, *(f"D{i}".replace("-", "m") for i in range(-lags, lags + 1))]
     return regression(rows, f"{y} ~ {' + '.join(right)}", hac_lags=lags, order=order)
+
+
+def error_correction(df: DataFrame, y: str, x: str, lags: int, order: Sequence[str], dls_lags: int = 2) -> tuple[Fit, Fit, float]:
+    """(regression of the change of y, of x, long-run coefficient): changes on the lagged distance from the
+    long-run relation, found by dynamic least squares, and on lagged changes of both."""
+    long_run = dynamic_least_squares(df, y, x, dls_lags, order)
+    beta = float(long_run.coef[long_run.terms.index(x)])
+    level = float(long_run.coef[long_run.terms.index("Intercept")])
+    w = ordered((), order)
+    rows = df.withColumn("_gap", F.lag(F.col(y) - beta * F.col(x) - level).over(w))
+    rows = rows.withColumns({f"_d{i}": F.col(c) - F.lag(c).over(w) for i, c in enumerate((y, x))})
+    for i in range(2):
+        rows = add_lags(rows, f"_d{i}", range(1, lags + 1), order)
+    right = " + ".join(["_gap", *(f"L{k}__d{i}" for i in range(2) for k in range(1, lags + 1))])
+    return (*(regression(rows, f"_d{i} ~ {right}", cov_type="HC0") for i in range(2)), beta)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import kernels, numerics
+from tallyloom.functions import kernels, models, numerics
 from tallyloom.operators import regression as reg
 from tallyloom.plans.aggregates import rounded
 from tallyloom.plans.registry import Catalogue
@@ -200,6 +200,33 @@ def dynamic_least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_of(reg.dynamic_least_squares(daily(spark, sf_dir), "v", "n", 1, ["day"]))
 
 
+@query()
+def error_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second, beta = reg.error_correction(daily(spark, sf_dir), "v", "n", 1, ["day"], 1)
+    rows = [(e, t, float(b)) for e, f in (("v", first), ("n", second)) for t, b in zip(f.terms, f.coef, strict=True)]
+    return rounded(spark.createDataFrame([*rows, ("long run", "n", beta)], "equation string, term string, coef double"), 4, "coef")
+
+
+@query()
+def bayesian_var(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = daily(spark, sf_dir)
+    fit = reg.vector_autoregression(series, ["v", "n"], 1, ["day"])
+    sizes = [float(x) for x in np.sqrt(np.diag(fit.sigma))]
+    rows = series.withColumns({f"_l{c}": F.lag(c).over(Window.orderBy("day")) for c in ("v", "n")}).dropna()
+    rows = rows.select(F.lit(1.0).alias("_x0"), F.col("_lv").alias("_x1"), F.col("_ln").alias("_x2"), F.col("v").alias("_x3"), F.col("n").alias("_x4"))
+    gram = reg.symmetric_sum(rows, 5, F.lit(1.0))
+    prior, precision = models.minnesota_prior(sizes, 1, 5.0)
+    made = models.bayesian_var(gram[:3, :3], gram[:3, 3:], gram[3:, 3:], gram[0, 0], prior, precision, np.diag(np.square(sizes)), 4)
+    out = [(t, c, float(made.coef[i, j])) for i, t in enumerate(fit.terms) for j, c in enumerate(fit.variables)]
+    return rounded(spark.createDataFrame(out, "term string, equation string, coef double"), 4, "coef")
+
+
+@query()
+def full_sample_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
+    return rounded(models.series_filter(rows, "event_type", "day", "v", 3, 12), 6, "cycle")
+
+
 @query()
 def kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = np.eye(1)
