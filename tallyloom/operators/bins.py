@@ -10,31 +10,27 @@ from pyspark.sql import functions as F
 from tallyloom.operators.quantiles import finite, weighted_quantiles
 
 
-def inner_edges(df: DataFrame, variable: str, n_bins: int, weight: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+def inner_edges(df: DataFrame, variable: str, n_bins: int, weight: str | None = None) -> DataFrame:
     """One row with _edges: the distinct quantiles between the outer bins."""
     qs = [i / n_bins for i in range(1, n_bins)]
-    if weight is None:
-        made = df.where(finite(F.col(variable))).agg(F.percentile(variable, F.array(*map(F.lit, qs))).alias("_edges"))
-    else:
-        cut = weighted_quantiles(df, [], variable, weight, qs, order)
-        made = cut.select(F.array(*cut.columns).alias("_edges"))
-    return made.select(F.array_distinct("_edges").alias("_edges"))
+    cut = weighted_quantiles(df, [], variable, weight, qs, 0.5 if weight else 1.0)
+    return cut.select(F.array_distinct(F.array(*cut.columns)).alias("_edges"))
 
 
 def bin_data(
-    df: DataFrame, variable: str, n_bins: int, name: str | None = None, weight: str | None = None, order: Sequence[str] = ()
+    df: DataFrame, variable: str, n_bins: int, name: str | None = None, weight: str | None = None
 ) -> DataFrame:
     """Adds the number, from 0, of the right-closed quantile bin of variable; missing stays missing."""
-    edges = inner_edges(df, variable, n_bins, weight, order)
-    above = F.size(F.filter("_edges", lambda e: F.col(variable) > e))
+    edges = inner_edges(df, variable, n_bins, weight)
+    above = sum((F.coalesce((F.col(variable) > F.get("_edges", i)).cast("int"), F.lit(0)) for i in range(n_bins - 1)), F.lit(0))
     return df.join(F.broadcast(edges)).withColumn(name or f"{variable}_bin", F.when(F.col(variable).isNotNull(), above)).drop("_edges")
 
 
 def bin_dummies(df: DataFrame, variable: str, n_bins: int) -> DataFrame:
     """Adds variable_bin1 ... of 0 and 1: left-closed quantile bins, the last one open above."""
     qs = [i / n_bins for i in range(1, n_bins)]
-    edges = df.agg(F.percentile(variable, F.array(*map(F.lit, qs))).alias("_edges"))
-    out = df.join(F.broadcast(edges))
+    cut = weighted_quantiles(df, [], variable, None, qs, 1.0)
+    out = df.join(F.broadcast(cut.select(F.array(*cut.columns).alias("_edges"))))
     for i in range(n_bins):
         inside = F.lit(True)
         if i:
@@ -45,16 +41,13 @@ def bin_dummies(df: DataFrame, variable: str, n_bins: int) -> DataFrame:
     return out.drop("_edges")
 
 
-def winsorize(df: DataFrame, variables: Sequence[str], keep: float = 0.98, weight: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+def winsorize(df: DataFrame, variables: Sequence[str], keep: float = 0.98, weight: str | None = None) -> DataFrame:
     """Variables clipped to their central share keep, by plain or weighted quantiles."""
     low, high = (1 - keep) / 2, 1 - (1 - keep) / 2
     out = df
     for x in variables:
-        if weight is None:
-            cut = df.agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("_cut"))
-        else:
-            ends = weighted_quantiles(df, [], x, weight, [low, high], order)
-            cut = ends.select(F.array(*ends.columns).alias("_cut"))
+        ends = weighted_quantiles(df, [], x, weight, [low, high], 0.5 if weight else 1.0)
+        cut = ends.select(F.array(*ends.columns).alias("_cut"))
         clipped = F.least(F.greatest(F.col(x), F.col("_cut")[0]), F.col("_cut")[1])
         out = out.join(F.broadcast(cut)).withColumn(x, F.when(F.col(x).isNotNull(), clipped)).drop("_cut")
     return out
@@ -99,9 +92,9 @@ def topcode(x: Column, low: float | None = None, high: float | None = None) -> C
     return F.least(x, F.lit(float(high))) if high is not None else x
 
 
-def binscatter(df: DataFrame, y: str, x: str, n_bins: int = 10, weight: str | None = None, median: bool = False, order: Sequence[str] = ()) -> DataFrame:
+def binscatter(df: DataFrame, y: str, x: str, n_bins: int = 10, weight: str | None = None, median: bool = False) -> DataFrame:
     """(bin, x, y) means, or medians, of x and y in quantile bins of x."""
-    rows = bin_data(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, n_bins, "bin", weight, order)
+    rows = bin_data(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, n_bins, "bin", weight)
     if median:
         return rows.groupBy("bin").agg(F.median(x).alias("x"), F.median(y).alias("y"))
     w = F.col(weight) if weight else F.lit(1.0)

@@ -18,36 +18,62 @@ def quantile_name(variable: str, q: float) -> str:
     return f"{variable}_p{100 * q:g}".replace(".", "_")
 
 
+def running_sums(values: DataFrame, keys: Sequence[str], x: str, sums: Sequence[str]) -> DataFrame:
+    """Adds before_<c> and total_<c> of each of sums: over the smaller x of the group, and over all of it.
+
+    values has one row a group and x. Rows are cut into ranges of x, each summed on its own, and only
+    the ranges' sums are added up in order; so no task gets a whole group, however large.
+    """
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(0.5))
+    cuts = values.agg(F.percentile_approx(x, shares, 1000).alias("_cuts"))
+    placed = values.join(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda e: F.col(x) > e))).drop("_cuts")
+    ranges = placed.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_r_{c}") for c in sums))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *keys,
+        "_range",
+        *(F.coalesce(F.sum(f"_r_{c}").over(earlier), F.lit(0)).alias(f"_e_{c}") for c in sums),
+        *(F.sum(f"_r_{c}").over(group).alias(f"total_{c}") for c in sums),
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    joined = placed.join(ranges, [*keys, "_range"])
+    return joined.withColumns({f"before_{c}": F.col(f"_e_{c}") + F.col(f"_i_{c}") for c in sums}).drop(
+        "_range", *(f"_e_{c}" for c in sums), *(f"_i_{c}" for c in sums)
+    )
+
+
 def weighted_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    variable: str,
-    weight: str,
-    quantiles: Sequence[float],
-    order: Sequence[str] = (),
-    c: float = 0.5,
+    df: DataFrame, keys: Sequence[str], variable: str, weight: str | None, quantiles: Sequence[float], c: float = 0.5
 ) -> DataFrame:
     """Interpolated weighted quantiles by group, one column each.
 
-    Values in order stand at (S - c w) / (T + (1 - 2c) w), S their running and T the whole weight;
-    quantiles are interpolated between neighbours and held at the ends. Only finite values of
-    positive weight count. Equal values are ordered by weight, then by order, to make it unique.
+    Values in order, equal ones by weight, stand at (S - c w) / (T + (1 - 2c) w), S their running and
+    T the whole weight; quantiles are interpolated between neighbours and held at the ends. Only
+    finite values of positive weight count. Without a weight and with c = 1 these are the usual
+    linearly interpolated quantiles.
 
-    Values of one group and one number are added up only in so far as the running weight needs one
-    ordered pass a group; all quantiles come from that pass.
+    Of equal values only the first and the last place matter, so values are summed up before the
+    exchange, and the running weights of ranges of values are found apart from each other.
     """
-    x, w = F.col(variable).cast("double"), F.col(weight).cast("double")
-    rows = df.where(present(keys) & finite(x) & finite(w) & (w > 0)).select(*keys, x.alias("_x"), w.alias("_w"), *order)
-    along = Window.partitionBy(*keys).orderBy("_x", "_w", *order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    grid = (F.sum("_w").over(along) - F.col("_w") * c) / (F.sum("_w").over(whole) + F.col("_w") * (1 - 2 * c))
-    rows = rows.withColumn("_g", grid)
-    point = F.struct("_g", "_x")
+    x = F.col(variable).cast("double")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.where(present(keys)).select(*keys, x.alias("_x"), w.alias("_w")).where(finite(F.col("_x")) & finite(F.col("_w")) & (F.col("_w") > 0))
+    values = rows.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"), F.min("_w").alias("_small"), F.max("_w").alias("_large"))
+    placed = running_sums(values, keys, "_x", ["_w"])
+
+    def at(s: Column, own: Column) -> Column:
+        return F.coalesce(F.try_divide(s - own * c, F.col("total__w") + own * (1 - 2 * c)), F.lit(0.0))
+
+    first, last = at(F.col("before__w") + F.col("_small"), F.col("_small")), at(F.col("before__w") + F.col("_w"), F.col("_large"))
+    points = placed.select(*keys, F.explode(F.array(*(F.struct(g.alias("_g"), F.col("_x")) for g in (first, last)))).alias("_p"))
     found = []
     for i, q in enumerate(quantiles):
-        found.append(F.max(F.when(F.col("_g") <= q, point)).alias(f"_lo{i}"))
-        found.append(F.min(F.when(F.col("_g") > q, point)).alias(f"_hi{i}"))
-    ends = rows.groupBy(*keys).agg(*found)
+        found.append(F.max(F.when(F.col("_p._g") <= q, F.col("_p"))).alias(f"_lo{i}"))
+        found.append(F.min(F.when(F.col("_p._g") > q, F.col("_p"))).alias(f"_hi{i}"))
+    ends = points.groupBy(*keys).agg(*found)
 
     def between(i: int, q: float) -> Column:
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -59,41 +85,37 @@ def weighted_quantiles(
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], variable: str, quantiles: Sequence[float]) -> DataFrame:
     """Linearly interpolated quantiles by group, one column each."""
-    made = [F.percentile(variable, F.lit(q)).alias(quantile_name(variable, q)) for q in quantiles]
-    return df.where(present(keys)).groupBy(*keys).agg(*made)
+    return weighted_quantiles(df, keys, variable, None, quantiles, c=1.0)
 
 
 def collapse_multiweight_quantiles(
-    df: DataFrame, keys: Sequence[str], weights: dict[str, str], quantiles: Sequence[float], order: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], weights: dict[str, str], quantiles: Sequence[float]
 ) -> DataFrame:
     """Weighted quantiles of several variables, each with a weight of its own."""
     out = None
     for x, w in weights.items():
-        part = weighted_quantiles(df, keys, x, w, quantiles, order)
+        part = weighted_quantiles(df, keys, x, w, quantiles)
         out = part if out is None else out.join(part, list(keys), "full_outer")
     return out
 
 
 def lorenz(df: DataFrame, variable: str, weight: str | None = None) -> DataFrame:
-    """Cumulative shares of weight (pop) and of weighted value (value) along the distinct values."""
+    """Cumulative shares of weight (pop) and of weighted value (value) along the distinct values, and the
+    shares before each (pop0, value0)."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    grouped = df.where(finite(F.col(variable)) & (w > 1e-12)).groupBy(F.col(variable).alias("v")).agg(F.sum(w).alias("w"))
-    totals = grouped.agg(F.sum("w").alias("_tw"), F.sum(F.col("v") * F.col("w")).alias("_tv"))
-    along = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        grouped.withColumn("_cw", F.sum("w").over(along))
-        .withColumn("_cv", F.sum(F.col("v") * F.col("w")).over(along))
-        .join(F.broadcast(totals))
-        .select("v", (F.col("_cw") / F.col("_tw")).alias("pop"), (F.col("_cv") / F.col("_tv")).alias("value"))
+    grouped = df.where(finite(F.col(variable)) & (w > 1e-12)).groupBy(F.col(variable).cast("double").alias("v")).agg(F.sum(w).alias("w"))
+    made = running_sums(grouped.withColumn("vw", F.col("v") * F.col("w")), [], "v", ["w", "vw"])
+    pairs = (("pop", "w"), ("value", "vw"))
+    return made.select(
+        "v",
+        *(((F.col(f"before_{c}") + F.col(c)) / F.col(f"total_{c}")).alias(n) for n, c in pairs),
+        *((F.col(f"before_{c}") / F.col(f"total_{c}")).alias(f"{n}0") for n, c in pairs),
     )
 
 
 def gini_trapezoid(df: DataFrame, variable: str, weight: str | None = None) -> DataFrame:
     """Gini coefficient from the Lorenz curve by trapezoids; the curve begins at its first point."""
-    along = Window.orderBy("v")
-    curve = lorenz(df, variable, weight).select(
-        "pop", "value", F.lag("pop").over(along).alias("pop0"), F.lag("value").over(along).alias("value0")
-    )
+    curve = lorenz(df, variable, weight).where("pop0 > 0")
     area = F.sum((F.col("value") + F.col("value0")) / 2 * (F.col("pop") - F.col("pop0")))
     return curve.agg((1 - 2 * area).alias("gini"))
 
@@ -127,11 +149,11 @@ def gini_simpson(df: DataFrame, variable: str, weight: str | None = None) -> Dat
     return curve.agg((1 - 2 * F.sum(area)).alias("gini"))
 
 
-def top_shares(df: DataFrame, variable: str, shares: Sequence[float], weight: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+def top_shares(df: DataFrame, variable: str, shares: Sequence[float], weight: str | None = None) -> DataFrame:
     """Share of the total held at or above the quantile that cuts the top p off: (top, share)."""
     rows = df.withColumn("_one", F.lit(1.0))
     w = weight or "_one"
-    cut = weighted_quantiles(rows, [], variable, w, [1 - p for p in shares], order)
+    cut = weighted_quantiles(rows, [], variable, w, [1 - p for p in shares])
     names = cut.columns
     parts = [
         (F.sum(F.when(F.col(variable) >= F.col(n), F.col(variable) * F.col(w))) / F.sum(F.col(variable) * F.col(w))).alias(f"_s{i}")

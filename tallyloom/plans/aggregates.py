@@ -13,7 +13,6 @@ catalogue = Catalogue()
 query = catalogue.query
 
 FLAGS = ["l_returnflag", "l_linestatus"]
-PK = ["l_orderkey", "l_linenumber"]
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +95,13 @@ def quantile_sql(key: str, x: str, w: str, qs: list[float], name: str, source: s
 
 @query(quantile_sql("l_returnflag", "l_extendedprice", "l_quantity", [0.5], "l_extendedprice"))
 def collapse_quantile_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = quantiles.weighted_quantiles(lineitem(spark, sf_dir), ["l_returnflag"], "l_extendedprice", "l_quantity", [0.5], PK)
+    made = quantiles.weighted_quantiles(lineitem(spark, sf_dir), ["l_returnflag"], "l_extendedprice", "l_quantity", [0.5])
     return rounded(made, 4, "l_extendedprice_p50")
 
 
 @query(quantile_sql("l_returnflag", "l_extendedprice", "l_quantity", [0.1, 0.5, 0.9], "l_extendedprice"))
 def collapse_multiquantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = quantiles.weighted_quantiles(lineitem(spark, sf_dir), ["l_returnflag"], "l_extendedprice", "l_quantity", [0.1, 0.5, 0.9], PK)
+    made = quantiles.weighted_quantiles(lineitem(spark, sf_dir), ["l_returnflag"], "l_extendedprice", "l_quantity", [0.1, 0.5, 0.9])
     return rounded(made, 4, *made.columns[1:])
 
 
@@ -111,7 +110,7 @@ def collapse_multiquantile(spark: SparkSession, sf_dir: str) -> DataFrame:
   JOIN ({quantile_sql("l_linestatus", "l_tax", "l_extendedprice", [0.25, 0.75], "l_tax")}) USING (l_linestatus)""")
 def collapse_multiweight_multiquantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = {"l_extendedprice": "l_quantity", "l_tax": "l_extendedprice"}
-    made = quantiles.collapse_multiweight_quantiles(lineitem(spark, sf_dir), ["l_linestatus"], weights, [0.25, 0.75], PK)
+    made = quantiles.collapse_multiweight_quantiles(lineitem(spark, sf_dir), ["l_linestatus"], weights, [0.25, 0.75])
     return rounded(made, 4, *made.columns[1:])
 
 
@@ -181,7 +180,7 @@ def gini_simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
   c AS (SELECT top, lo.x + (hi.x-lo.x)*(1-top-lo.g)/(hi.g-lo.g) AS cut FROM q)
   SELECT CAST(top AS DOUBLE) AS top, round(sum(CASE WHEN x >= cut THEN x END)/sum(x),6) AS share FROM r, c GROUP BY top""")
 def top_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(quantiles.top_shares(table(spark, sf_dir, "orders"), "o_totalprice", [0.01, 0.1, 0.5], order=["o_orderkey"]), 6, "share")
+    return rounded(quantiles.top_shares(table(spark, sf_dir, "orders"), "o_totalprice", [0.01, 0.1, 0.5]), 6, "share")
 
 
 TENTHS = "[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]"
@@ -199,7 +198,7 @@ def bin_data(spark: SparkSession, sf_dir: str) -> DataFrame:
   c AS (SELECT list(lo.x + (hi.x-lo.x)*(q-lo.g)/(hi.g-lo.g)) AS cuts FROM e)
   SELECT CAST(len(list_filter(cuts, lambda x: l_extendedprice > x)) AS INTEGER) AS bin, count(*) AS n FROM lineitem, c GROUP BY 1""")
 def bin_data_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = bins.bin_data(lineitem(spark, sf_dir), "l_extendedprice", 4, "bin", "l_quantity", PK)
+    made = bins.bin_data(lineitem(spark, sf_dir), "l_extendedprice", 4, "bin", "l_quantity")
     return made.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -268,7 +267,7 @@ def summary_of(df: DataFrame) -> DataFrame:
   SELECT l_returnflag, round(avg(least(greatest(l_extendedprice, a), b)),4) AS mean, round(min(least(greatest(l_extendedprice, a), b)),4) AS low,
   round(max(least(greatest(l_extendedprice, a), b)),4) AS high FROM lineitem, c GROUP BY 1""")
 def winsorize_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary_of(bins.winsorize(lineitem(spark, sf_dir), ["l_extendedprice"], 0.9, "l_quantity", PK))
+    return summary_of(bins.winsorize(lineitem(spark, sf_dir), ["l_extendedprice"], 0.9, "l_quantity"))
 
 
 @query("""SELECT CAST(l_shipdate AS DATE) AS ship, round(sum(l_extendedprice*l_quantity)/sum(l_extendedprice),6) AS l_quantity,

@@ -86,7 +86,7 @@ def test_gini_of_two_points(spark):
 
 def test_top_shares_fall_with_p(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(1, 101)], "id long, income double")
-    got = dict(rows(quantiles.top_shares(df, "income", [0.01, 0.1, 0.5], order=["id"])))
+    got = dict(rows(quantiles.top_shares(df, "income", [0.01, 0.1, 0.5])))
     assert 0 < got[0.01] <= got[0.1] <= got[0.5] <= 1
 
 
