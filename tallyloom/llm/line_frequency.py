@@ -11,6 +11,8 @@ from tallyloom.llm.common import blank_free_length, let, materialise, spaced, wo
 SYMBOLS = "#*$%&|<>"
 #: Words in a window of the repetition rule.
 WINDOW = 8
+#: Parts of a host's documents when they meet its lines over the limit, so that no task gets a whole host.
+PARTS = 32
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -136,8 +138,11 @@ def rule_documents(
     )
     n, again = F.col("_words")["n"], F.col("_words")["again"]
     failed = (n < min_words) | (again * 100 > n * max_repeat)
+    over = over.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("doc_id", "_copy"), F.lit(PARTS)).cast("int")
     return (
-        rows.join(over, "_host", "left")
+        rows.withColumn("_part", part)
+        .join(over, ["_host", "_part"], "left")
         .withColumn("n_removed_words", F.when(F.col("_over").isNull(), F.lit(0).cast("long")).otherwise(removed))
         .withColumn("depleted", (n - F.col("n_removed_words")) < n * min_left)
         .select(
