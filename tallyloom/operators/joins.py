@@ -91,9 +91,10 @@ def crosswalk_allocate(df: DataFrame, factors: DataFrame, source: str, target: s
 
 
 def keep_groups(df: DataFrame, keys: Sequence[str], holds: Column) -> DataFrame:
-    """The rows of the groups in all of whose rows holds is true; null counts as true."""
-    bad = F.max(F.when(~holds, 1).otherwise(0)).over(Window.partitionBy(*keys))
-    return df.withColumn("_bad", bad).where("_bad = 0").drop("_bad")
+    """The rows of the groups in all of whose rows holds is true; null counts as true, and rows without a
+    group go."""
+    good = df.groupBy(*keys).agg(F.max(F.when(~holds, 1).otherwise(0)).alias("_bad")).where("_bad = 0").drop("_bad")
+    return df.join(good, list(keys), "left_semi")
 
 
 def ratio(a: Column, b: Column, sentinel: float | None = 666.0) -> Column:

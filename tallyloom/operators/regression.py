@@ -212,15 +212,14 @@ def regression(
 
 def demean(df: DataFrame, variables: Sequence[str], keys: Sequence[str], weight: str | None = None, prefix: str = "") -> DataFrame:
     """Variables less their group's mean; rows without a group go. A weighted mean's weight is that of
-    all rows of the group."""
-    group, out = Window.partitionBy(*keys), df
-    for k in keys:
-        out = out.where(F.col(k).isNotNull())
+    all rows of the group. Means are summed before the exchange and joined back, so a group of very
+    many rows is no single task's."""
     made = {}
-    for x in variables:
-        mean = F.avg(x).over(group) if weight is None else F.sum(F.col(x) * F.col(weight)).over(group) / F.sum(weight).over(group)
-        made[prefix + x] = F.col(x) - mean
-    return out.withColumns(made)
+    for i, x in enumerate(variables):
+        made[f"_m{i}"] = F.avg(x) if weight is None else F.try_divide(F.sum(F.col(x) * F.col(weight)), F.sum(weight))
+    means = df.groupBy(*keys).agg(*(m.alias(n) for n, m in made.items()))
+    out = df.join(means, list(keys)).withColumns({prefix + x: F.col(x) - F.col(f"_m{i}") for i, x in enumerate(variables)})
+    return out.select(*dict.fromkeys([*df.columns, *(prefix + x for x in variables)]))
 
 
 def demean_separate(df: DataFrame, variables: Sequence[str], groups: Sequence[str]) -> DataFrame:
@@ -259,31 +258,32 @@ def absorb_effects(
         *(F.try_divide(F.sum(F.col(f"_r_{c}") * F.col("_aw")), F.sum("_aw")).alias(f"m_{c}") for c in variables),
         *(F.stddev_pop(f"_r_{c}").alias(f"s_{c}") for c in variables),
     ).first()
-    for sweep in range(sweeps):
+    def group_means(rows: DataFrame, g: str) -> DataFrame:
+        made = (F.try_divide(F.sum(F.col(f"_r_{c}") * F.col("_aw")), F.sum("_aw")).alias(f"_m_{c}") for c in variables)
+        return rows.where("_used").groupBy(g).agg(*made)
+
+    for _ in range(sweeps):
         for g in groups:
-            by = Window.partitionBy(g)
-            out = out.withColumns(
-                {f"_r_{c}": F.col(f"_r_{c}") - F.try_divide(F.sum(F.col(f"_r_{c}") * F.col("_aw")).over(by), F.sum(F.when(F.col("_used"), F.col("_aw"))).over(by)) for c in variables}
-            )
+            out = out.join(group_means(out, g), g, "left").withColumns({f"_r_{c}": F.col(f"_r_{c}") - F.col(f"_m_{c}") for c in variables})
+            out = out.drop(*(f"_m_{c}" for c in variables))
         if len(groups) == 1:
             break
         out = checkpointed(out)
         left = 0.0
         for g in groups:
-            means = out.where("_used").groupBy(g).agg(*(F.try_divide(F.sum(F.col(f"_r_{c}") * F.col("_aw")), F.sum("_aw")).alias(f"_r_{c}") for c in variables))
-            most = means.agg(*(F.max(F.abs(f"_r_{c}")) for c in variables)).first()
+            most = group_means(out, g).agg(*(F.max(F.abs(f"_m_{c}")) for c in variables)).first()
             left = max([left, *((m or 0.0) / (whole[f"s_{c}"] or 1.0) for m, c in zip(most, variables, strict=True))])
         if left <= tolerance:
             break
     made = {c: F.col(f"_r_{c}") + (F.lit(whole[f"m_{c}"] or 0.0) if restore_mean else 0.0) for c in variables}
-    return out.withColumns(made).drop("_used", "_aw", *(f"_r_{c}" for c in variables))
+    return out.withColumns(made).select(*df.columns)
 
 
 def drop_singletons(df: DataFrame, groups: Sequence[str], until_none: bool = False) -> DataFrame:
     """Without the rows that are alone in a group; one pass a grouping, or until none is left."""
     while True:
         for g in groups:
-            df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(g))).where("_n > 1").drop("_n")
+            df = df.join(df.groupBy(g).count().where("count > 1").drop("count"), g, "left_semi")
         if not until_none:
             return df
         alone = [df.groupBy(g).count().where("count = 1").limit(1).count() for g in groups]
