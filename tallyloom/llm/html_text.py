@@ -41,6 +41,9 @@ DROPPED_WORDS = frozenset(
     "sidebar header footer masthead cookie cookies consent notice notices popup modal newsletter subscribe share sharing social related "
     "recommended comment comments reply replies disqus respond pagination pager widget skip login signup copyright disclaimer toolbar".split()
 )
+#: What may be written on to one of them without another meaning, as in cookiebar or commentlist.
+ENDINGS = ("s", "list", "section", "box", "bar", "area", "block", "container", "wrap", "wrapper", "form", "thread", "banner", "panel", "menu")
+COMPOUNDS = DROPPED_WORDS | {w + e for w in DROPPED_WORDS if len(w) > 2 for e in ENDINGS} | {"adbox", "adbanner", "adblock", "adslot", "topbar"}
 #: Roles that mark the same.
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
@@ -50,7 +53,7 @@ TAG = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLANK = re.compile(r"\s+")
 
 
@@ -73,13 +76,13 @@ def unwanted(tag: str, attributes: str) -> bool:
     if not attributes or tag in ("html", "body"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value = (a or b or c).lower()
+        value = a or b or c
         if name.lower() == "role":
-            if value.strip() in DROPPED_ROLES:
+            if value.strip().lower() in DROPPED_ROLES:
                 return True
         elif name.lower() == "hidden":
             return True
-        elif not DROPPED_WORDS.isdisjoint(WORDS.findall(value)):
+        elif not COMPOUNDS.isdisjoint(w.lower() for w in WORDS.findall(value)):
             return True
     return False
 

@@ -66,6 +66,7 @@ ARTICLE = "<h1>Title &amp; more</h1><p>First <b>bold</b>\n text of some length,
     [
         "<nav><a href=a>menu</a></nav><article>{}</article><footer>&copy; x</footer>",
         "<div class='menu'><ul><li><a href=a>one</a><li><a href=b>two</a></ul></div><div id=content>{}</div><div class='sidebar'><p>Other things to read here and there</p></div><div id='comments'><p>Nice one, I have read it twice already and more</p></div>",
+        "<div id='topMenu'><p>Go here or there</p></div><div class='post'>{}</div><ol class='commentlist'><li>A reader says this and that at some length</ol><div class='CookieBar'>We use cookies</div>",
         "<header><h2>Site</h2></header><main><div>{}<form><input value=x><p>Subscribe now to get all</p></form><script>var a='<p>no</p>'</script></div></main><aside>aside</aside>",
         "<div role=navigation><p>Skip</p></div><section>{}<div class='ad banner'>Buy this thing now, it is good</div><!-- <p>hidden</p> --><style>p{{}}</style></section>",
     ],
