@@ -21,7 +21,7 @@ SAMPLE_CHARS = 24_000
 BLOCK = 512
 UNKNOWN = "und"
 #: Characters that are parsed at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Symbols: padding, other letter, white space and all else that is no letter; then the letters of the samples.
 PAD, OTHER, GAP = 0, 1, 2
 

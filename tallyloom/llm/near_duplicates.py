@@ -23,7 +23,7 @@ BATCH = 32
 #: A pair is given up when the posterior probability of enough similarity is below this.
 MISS = 1e-6
 #: Text bytes that are hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Members of a bucket up to which pairs are made as rows, and of one block of a larger bucket.
 SMALL, BLOCK = 16, 128
 #: Elements whose indicators are multiplied at once.
@@ -78,7 +78,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
     low, blank = byte_tables()
-    size = 1 << max(22, len(data).bit_length())
+    size = 1 << max(21, len(data).bit_length())
     up, down = powers(size)
     edges = np.diff(blank[data].astype(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import ready_workers, materialise
 
 #: Word-to-ids entries in each of the two generations that a worker keeps.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 #: Places over which the pieces of one class are dealt before they are numbered.
 SALTS = 256
 #: Stands between words that are tokenised together.
