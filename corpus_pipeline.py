@@ -44,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text that is left.
     """
-    cut = drop_recurring_lines(docs.select(*COLUMNS)).where(~F.col("emptied"))
+    cut = drop_recurring_lines(docs.select(*COLUMNS), min_tokens=1).where(~F.col("emptied"))
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(*COLUMNS)
 

@@ -9,6 +9,8 @@ from tallyloom.llm.common import let, materialise
 
 #: What stands for a variable field: a run of digits.
 FIELD = "0"
+#: Lines of fewer tokens have no fields but their digits: they recur as they are or not at all.
+FIELD_TOKENS = 8
 
 
 def masked_text(text: Column) -> Column:
@@ -19,7 +21,8 @@ def masked_text(text: Column) -> Column:
 
 def document_lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool) -> DataFrame:
     """A row for each line of at least min_tokens tokens: _doc, _copy (hash of the whole text), _at
-    (place of the line), _leaf (hash of token count and leading tokens), _line (hash), _text (masked)."""
+    (place of the line), _leaf (hash of token count and leading tokens, or all tokens of a line of
+    fewer than FIELD_TOKENS), _line (hash), _text (masked)."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def parsed(line: Column, at: Column) -> Column:
@@ -28,7 +31,7 @@ def document_lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool
             (line != "") & (tokens >= min_tokens),
             F.struct(
                 at.alias("_at"),
-                F.xxhash64(tokens, F.substring_index(line, " ", depth)).alias("_leaf"),
+                F.xxhash64(tokens, F.when(tokens < FIELD_TOKENS, line).otherwise(F.substring_index(line, " ", depth))).alias("_leaf"),
                 F.xxhash64(line).alias("_line"),
                 *([line.alias("_text")] if with_text else []),
             ),
@@ -94,15 +97,17 @@ def drop_recurring_lines(
     docs: doc_id and text, and any further columns, which are kept as they are (but for names that
     begin with an underscore, and those of the results). A tree of fixed depth parses each line of
     at least min_tokens tokens: token count, then the first depth tokens; runs of digits are variable
-    fields, and so are the places in which lines of one template differ.
+    fields, and so are the places in which lines of one template differ. Lines of fewer than
+    FIELD_TOKENS tokens are of one template only if they are equal but for digits, as a few words in
+    common say little there.
     A template found in at least min_docs distinct texts is dropped everywhere but in the text that
     owns it (that of the smallest doc_id), so no passage is lost altogether; equal texts count once
     and share what they own, hence exact copies are left to the near-duplicate operator.
 
     Returns docs with text cut down, and n_lines, n_dropped (int) and emptied (boolean: the text
     had a word and no line with a word is left). Null text stays null with no lines; a null doc_id
-    sorts first; repeated rows are treated alike; an empty table gives no rows; lines with fewer
-    tokens are never dropped.
+    sorts first; repeated rows are treated alike; an empty table gives no rows; lines of fewer than
+    min_tokens tokens are never dropped (with 1, every line with a word is looked at).
 
     Lines meet by 64-bit hashes summed before each exchange, so a line that a third of the rows
     have costs a row a task. The texts move by merge joins at every size, twice at most. Only the

@@ -29,7 +29,7 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_recurring_lines(docs)
+    return drop_recurring_lines(docs, min_tokens=1)
 
 
 def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

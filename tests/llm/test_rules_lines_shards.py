@@ -221,3 +221,15 @@ def test_templates_equal_brute_force_on_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(x.doc_id, x.text) for x in df.collect()]
     assert {x.doc_id: x.text for x in drop_recurring_lines(df).collect()} == brute_drops(rows)
+
+
+def test_query_and_stage_drop_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from tallyloom.llm.queries import queries
+
+    texts = ["own first\nAll rights reserved.\nPage 3 of 9", "page 12 of  40\nall rights reserved.\nown second", "these are five words one", "these are five words two", "}"]
+    df = docs(spark, texts)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {0: texts[0], 1: "own second", 2: texts[2], 3: texts[3], 4: "}"}
+    assert {r.doc_id: r.text for r in queries()["op2_template_line_dedup"](spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == want
