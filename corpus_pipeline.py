@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialise
 from tallyloom.llm.language_id import UNKNOWN, identify_languages
-from tallyloom.llm.line_frequency import rule_documents
+from tallyloom.llm.line_frequency import rule_documents, without_lines
 from tallyloom.llm.line_templates import drop_recurring_lines
 from tallyloom.llm.near_duplicates import near_duplicates
 from tallyloom.llm.packing import pack_documents
@@ -18,14 +18,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by lines frequent in their host.
+    """Documents that pass the base rules and are not depleted by lines frequent in their host,
+    without those lines; n_chars follows the text that is left.
 
     A row's verdict depends on its text and source, so rows are found again by their hash; repeated
     rows stay or go together, null text goes (it has no words), and a null doc_id does not matter.
     """
     docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("text", "source", F.col("text").isNull(), F.col("source").isNull()))
-    kept = rule_documents(docs, carry=("_row",)).where("kept").select("_row").distinct()
-    return docs.join(kept, "_row", "left_semi").select(*COLUMNS)
+    kept = rule_documents(docs, carry=("_row",), with_places=True).where("kept").groupBy("_row").agg(F.first("removed_lines").alias("_gone"))
+    cut = F.size("_gone") > 0
+    return docs.join(kept, "_row").select(
+        "doc_id",
+        F.when(cut, without_lines(F.col("text"), F.col("_gone"))).otherwise(F.col("text")).alias("text"),
+        "lang",
+        "source",
+        F.when(cut, F.length(without_lines(F.col("text"), F.col("_gone"))).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
+    )
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

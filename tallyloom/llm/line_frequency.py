@@ -65,19 +65,26 @@ def base_columns(text: Column) -> dict[str, Column]:
 
 
 def normal_lines(text: Column) -> Column:
-    """Array of (hash, words) of the lines with a word: lower case, digits as 0, blanks as one space, trimmed."""
+    """Array of (hash, words, place) of the lines with a word: lower case, digits as 0, blanks as one space, trimmed."""
     plain = F.lower(F.coalesce(text, F.lit("")))
     plain = F.translate(plain, "123456789\t\x0b\x0c\r", "000000000    ")
     plain = F.regexp_replace(plain, " {2,}", " ")
-    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.transform(F.split(plain, "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("at")))
     return F.transform(
-        lines,
-        lambda x: F.struct(
-            F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")
+        F.filter(lines, lambda s: s["x"] != ""),
+        lambda s: F.struct(
+            F.xxhash64(s["x"]).alias("h"),
+            (F.length(s["x"]) - F.length(F.replace(s["x"], F.lit(" "), F.lit(""))) + 1).alias("w"),
+            s["at"].alias("at"),
         ),
     )
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """text without the lines at these places (from 0)."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+
+
 def rule_documents(
     docs: DataFrame,
     max_share: float = 0.1,
@@ -86,17 +93,20 @@ def rule_documents(
     min_words: int = 20,
     max_repeat: int = 30,
     carry: tuple[str, ...] = (),
+    with_places: bool = False,
 ) -> DataFrame:
     """Base rules and cross-document line frequency for every document.
 
     docs: doc_id, text and source (the host); other columns are ignored. A line (normalised) is
     over the limit if, among the distinct texts of its host, at least min_docs and more than
-    max_share of them have it. Such lines are removed; a document of which less than min_left of
-    the words remain is depleted. kept: neither base_failed nor depleted.
+    max_share of them have it. Such lines are to be removed (n_removed_words; with_places gives their
+    places, for without_lines); a document of which less than min_left of the words remain is
+    depleted. kept: neither base_failed nor depleted.
 
     Equal texts count once a host, so copies do not push their own lines over the limit. Returns a
     row for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, n_removed_words, depleted, and the columns named in carry. Null or empty text has no words and fails the
+    base_failed, kept, n_removed_words, depleted, with_places removed_lines (places from 0, empty if
+    none), and the columns named in carry. Null or empty text has no words and fails the
     base; a null host is a host of its own; an empty table gives no rows.
 
     The text is read once; what is shuffled are line hashes, summed before the exchange. The lines
@@ -128,14 +138,8 @@ def rule_documents(
         .groupBy("_host")
         .agg(F.collect_list("_h").alias("_over"))
     )
-    removed = F.coalesce(
-        F.aggregate(
-            "_lines",
-            F.lit(0).cast("long"),
-            lambda a, x: a + F.when(F.array_contains(F.col("_over"), x["h"]), x["w"]).otherwise(0).cast("long"),
-        ),
-        F.lit(0).cast("long"),
-    )
+    gone = F.coalesce(F.filter("_lines", lambda x: F.array_contains(F.col("_over"), x["h"])), F.array().cast(rows.schema["_lines"].dataType))
+    removed = F.aggregate("_gone", F.lit(0).cast("long"), lambda a, x: a + x["w"].cast("long"))
     n, again = F.col("_words")["n"], F.col("_words")["again"]
     failed = (n < min_words) | (again * 100 > n * max_repeat)
     over = over.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
@@ -143,7 +147,8 @@ def rule_documents(
     return (
         rows.withColumn("_part", part)
         .join(over, ["_host", "_part"], "left")
-        .withColumn("n_removed_words", F.when(F.col("_over").isNull(), F.lit(0).cast("long")).otherwise(removed))
+        .withColumn("_gone", gone)
+        .withColumn("n_removed_words", removed)
         .withColumn("depleted", (n - F.col("n_removed_words")) < n * min_left)
         .select(
             "doc_id",
@@ -156,6 +161,7 @@ def rule_documents(
             (~failed & ~F.col("depleted")).alias("kept"),
             "n_removed_words",
             "depleted",
+            *([F.transform("_gone", lambda x: x["at"]).alias("removed_lines")] if with_places else []),
             *carry,
         )
     )

@@ -233,3 +233,17 @@ def test_query_and_stage_drop_short_lines(spark, tmp_path):
     want = {0: texts[0], 1: "own second", 2: texts[2], 3: texts[3], 4: "}"}
     assert {r.doc_id: r.text for r in queries()["op2_template_line_dedup"](spark, str(tmp_path)).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, str(tmp_path)).collect()} == want
+
+
+def test_stage_passes_on_text_without_frequent_lines(spark):
+    import corpus_pipeline
+
+    own = lambda i: " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(24))
+    texts = [f"Menu  {i % 10}\n\n{own(i)}\nend" for i in range(25)] + [own(25)] + [f"Menu  3\n\n{own(3)}\nend"]
+    got = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs(spark, texts).withColumn("n_chars", F.length("text").cast("long")), "").collect()}
+    assert len(got) == len(texts)
+    for i, r in got.items():
+        want = own(25) if i == 25 else "\n" + own(3 if i == 26 else i)
+        assert (r.text, r.n_chars) == (want, len(want))
+    other = corpus_pipeline.quality_rules(spark, docs(spark, texts[:25], "a").unionByName(docs(spark, texts[:3], "b", 50)), "")
+    assert {r.text for r in other.where("source = 'b'").collect()} == set(texts[:3])
