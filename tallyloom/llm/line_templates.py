@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import let, materialise
@@ -44,26 +46,63 @@ def document_lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool
     return rows.select("_doc", "_copy", "_l.*")
 
 
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two arrays of as many tokens have at least similarity of them at the same places."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= similarity * F.size(a)
+
+
+def template_members(texts: DataFrame, similarity: float) -> DataFrame:
+    """(_leaf, _line, _template) of the lines that belong to another line's template.
+
+    texts: _leaf, _line, _n (texts that have it), _tokens. A leaf's first template is seeded by its
+    most widespread line (ties: smaller hash); a line of the leaf belongs to it if at least
+    similarity of its tokens stand at the same places, and the places that differ are its variable
+    fields. The lines left seed the next template in the same way, and so on until none is left.
+
+    The first round has one seed a leaf, as nearly all leaves need no more. Later ones look at the
+    next 16, 64 and then 256 lines of each leaf at once, find the seeds among them in order, and
+    give every line left to the first seed it matches: the same templates, in fewer passes.
+    """
+    left, found, ahead = materialise(texts, "line-texts"), [], 1
+    while True:
+        order = Window.partitionBy("_leaf").orderBy(F.desc("_n"), "_line")
+        first = left.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= ahead)
+        row = F.struct("_rank", F.col("_line").alias("line"), F.col("_tokens").alias("tokens"))
+        first = first.groupBy("_leaf").agg(F.array_sort(F.collect_list(row)).alias("_first"))
+        seeds = F.aggregate(
+            "_first",
+            F.filter("_first", lambda x: F.lit(False)),
+            lambda have, x: F.when(F.exists(have, lambda s: alike(s["tokens"], x["tokens"], similarity)), have).otherwise(
+                F.concat(have, F.array(x))
+            ),
+        )
+        first = materialise(first.select("_leaf", seeds.alias("_seeds")), "seeds")
+        match = F.filter("_seeds", lambda s: alike(s["tokens"], F.col("_tokens"), similarity))
+        told = left.join(first, "_leaf").select("_leaf", "_line", "_n", "_tokens", F.get(match, F.lit(0))["line"].alias("_template"))
+        told = materialise(told, "told")
+        found.append(told.where(F.col("_template") != F.col("_line")).select("_leaf", "_line", "_template"))
+        rest = told.where(F.col("_template").isNull()).drop("_template")
+        several = rest.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_variants")).where(F.col("_variants") > 1).select("_leaf")
+        left = materialise(rest.join(several, "_leaf"), "left")
+        if left.isEmpty():
+            break
+        ahead = min(256, 16 if ahead == 1 else ahead * 4)
+    return reduce(DataFrame.unionByName, found)
+
+
 def recurring_templates(lines: DataFrame, depth: int, min_tokens: int, docs: DataFrame, similarity: float, min_docs: int) -> DataFrame:
     """(_leaf, _line, _template, _owner): the lines whose template is in at least min_docs distinct texts.
 
-    A leaf's template is seeded by its most widespread line (ties: smaller hash); a line of the leaf
-    belongs to it if at least similarity of its tokens stand at the same places, and the places that
-    differ are its variable fields. Other lines of the leaf are templates of their own. _owner is
-    the text (hash) of the smallest doc_id that has the template.
+    Templates are those of template_members. _owner is the text (hash) of the smallest doc_id that
+    has the template.
     """
     by_text = lines.groupBy("_leaf", "_line", "_copy").agg(F.min("_doc").alias("_doc"))
     by_line = by_text.groupBy("_leaf", "_line").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_copy")).alias("_first")
     )
     by_line = materialise(by_line, "lines")
-    seeds = (
-        by_line.groupBy("_leaf")
-        .agg(F.count(F.lit(1)).alias("_variants"), F.max(F.struct("_n", -F.col("_line").cast("decimal(20,0)"))).alias("_seed"))
-        .where(F.col("_variants") > 1)
-        .select("_leaf", (-F.col("_seed")["col2"]).cast("long").alias("_template"))
-    )
-    varied = materialise(by_line.join(seeds, "_leaf"), "varied")
+    leaves = by_line.groupBy("_leaf").agg(F.count(F.lit(1)).alias("_variants")).where(F.col("_variants") > 1).select("_leaf")
+    varied = materialise(by_line.join(leaves, "_leaf"), "varied")
     wanted = varied.select("_leaf", "_line", F.col("_first")["_copy"].alias("_copy"))
     owners = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_copy")).join(
         materialise(wanted.select("_copy").distinct(), "owners").hint("merge"), "_copy", "left_semi"
@@ -74,11 +113,8 @@ def recurring_templates(lines: DataFrame, depth: int, min_tokens: int, docs: Dat
         .groupBy("_leaf", "_line")
         .agg(F.first("_text").alias("_text"))
     )
-    texts = materialise(varied.join(texts, ["_leaf", "_line"]), "line-texts")
-    seed_text = texts.where(F.col("_line") == F.col("_template")).select("_leaf", F.col("_text").alias("_seed_text"))
-    same = F.zip_with(F.split("_text", " "), F.split("_seed_text", " "), lambda a, b: a == b)
-    belongs = F.size(F.filter(same, lambda x: x)) >= similarity * F.size(same)
-    members = texts.join(seed_text, "_leaf").where(belongs & (F.col("_line") != F.col("_template"))).select("_leaf", "_line", "_template")
+    texts = varied.join(texts, ["_leaf", "_line"]).select("_leaf", "_line", "_n", F.split("_text", " ").alias("_tokens"))
+    members = template_members(texts, similarity)
     grouped = by_line.join(members, ["_leaf", "_line"], "left").withColumn("_template", F.coalesce("_template", "_line"))
     totals = (
         grouped.groupBy("_leaf", "_template")
@@ -99,7 +135,7 @@ def drop_recurring_lines(
     at least min_tokens tokens: token count, then the first depth tokens; runs of digits are variable
     fields, and so are the places in which lines of one template differ. Lines of fewer than
     FIELD_TOKENS tokens are of one template only if they are equal but for digits, as a few words in
-    common say little there.
+    common say little there. A leaf holds any number of templates.
     A template found in at least min_docs distinct texts is dropped everywhere but in the text that
     owns it (that of the smallest doc_id), so no passage is lost altogether; equal texts count once
     and share what they own, hence exact copies are left to the near-duplicate operator.
@@ -111,7 +147,7 @@ def drop_recurring_lines(
 
     Lines meet by 64-bit hashes summed before each exchange, so a line that a third of the rows
     have costs a row a task. The texts move by merge joins at every size, twice at most. Only the
-    lines of leaves with variants are compared as text, each once and only with its leaf's seed.
+    lines of leaves with variants are compared as text, each with its leaf's seeds.
     """
     lines = materialise(document_lines(docs, depth, min_tokens, False), "line-hashes")
     drops = (

@@ -247,3 +247,11 @@ def test_stage_passes_on_text_without_frequent_lines(spark):
         assert (r.text, r.n_chars) == (want, len(want))
     other = corpus_pipeline.quality_rules(spark, docs(spark, texts[:25], "a").unionByName(docs(spark, texts[:3], "b", 50)), "")
     assert {r.text for r in other.where("source = 'b'").collect()} == set(texts[:3])
+
+
+def test_a_leaf_holds_many_templates(spark):
+    words = lambda k: " ".join(f"{'abcdefghijklmnopqrstuvwxyz'[k]}{c}" for c in "ghij")
+    texts = [f"a b c d {x} {words(k)}" for k in range(22) for x in ("one", "two", "three")] + ["a b c d stands beside them in the leaf"] * 2
+    texts[-1] += "\nown"
+    got = [r.n_dropped for r in drop_recurring_lines(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 1, 1] * 22 + [0, 1]
