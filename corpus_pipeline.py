@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialise
-from tallyloom.llm.language_id import UNKNOWN, identify_languages
+from tallyloom.llm.language_id import UNKNOWN, identify_languages, labelled_samples
 from tallyloom.llm.line_frequency import rule_documents, without_lines
 from tallyloom.llm.line_templates import drop_recurring_lines
 from tallyloom.llm.near_duplicates import near_duplicates
@@ -42,8 +42,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Decided row by row without a shuffle; lang itself stays as it is. Where nothing is labelled no
     language can be told, and all documents with a letter stay.
     """
+    samples = labelled_samples(docs)
+    if not samples:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     docs = docs.select(*COLUMNS).withColumn("_all", F.struct(*COLUMNS))
-    told = identify_languages(docs, carry=("_all",))
+    told = identify_languages(docs, carry=("_all",), samples=samples)
     return told.where(F.col("lang_pred") != UNKNOWN).select("_all.*")
 
 

@@ -191,7 +191,8 @@ def labelled_samples(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: in
 
 
 def identify_languages(
-    docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS, carry: tuple[str, ...] = ()
+    docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS, carry: tuple[str, ...] = (),
+    samples: tuple[tuple[str, str], ...] | None = None,
 ) -> DataFrame:
     """Language of every document, by the number of phrases it needs in each language.
 
@@ -202,9 +203,10 @@ def identify_languages(
 
     Returns a row for each row: doc_id, held_out, lang_pred, score, and the columns named in carry. Null text, and text without a
     letter, is 'und' with score 0, as is everything where nothing was labelled; a null doc_id is not
-    held out and not learned from; repeated rows get a row each; an empty table gives none.
+    held out and not learned from; repeated rows get a row each; an empty table gives none. samples:
+    those of labelled_samples, if they are known.
     """
-    samples = labelled_samples(docs, max_docs, max_chars)
+    samples = labelled_samples(docs, max_docs, max_chars) if samples is None else samples
     ready_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -165,3 +165,9 @@ def test_stages_of_empty_tables(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_queries_give_rows(spark, name):
     assert queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_documents_stay_where_nothing_is_labelled(spark):
+    rows = [(0, "some words"), (1, "12 34"), (2, None), (3, "日本")]
+    df = spark.createDataFrame([(i, t, None, "h", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()) == [0, 3]
