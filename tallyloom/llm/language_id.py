@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,8 @@ UNKNOWN = "und"
 CHUNK = 1 << 20
 #: Symbols: padding, other letter, white space and all else that is no letter; then the letters of the samples.
 PAD, OTHER, GAP = 0, 1, 2
+#: Letters, the most frequent ones, whose transitions are kept in full tables; those of others are sorted keys.
+TABLED = 250
 
 
 class SuffixAutomaton:
@@ -69,26 +72,39 @@ class SuffixAutomaton:
         out[:] = [self.next[0].get(c, apart) * 2 + 1 for c in range(width)]
         for s, following in enumerate(self.next):
             for c, to in following.items():
-                out[s, c] = to * 2
+                if c < width:
+                    out[s, c] = to * 2
         out[:, PAD] = np.arange(apart + 1) * 2
         return out.ravel()
 
 
+    def rare(self, width: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Transitions of the symbols from width on: sorted keys state * symbols + symbol, their entries
+        as in table(), and the entries of these symbols where a state has no key."""
+        found = sorted((s * symbols + c, to * 2) for s, following in enumerate(self.next) for c, to in following.items() if c >= width)
+        keys, entries = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        begin = np.array([self.next[0].get(c, len(self.next)) * 2 + 1 for c in range(width, symbols)], dtype=np.int32)
+        return np.append(keys, np.iinfo(np.int64).max), np.append(entries, 0).astype(np.int32), begin
+
+
 class CrossParser:
     """Phrases a text needs in each language: the greedy longest matches in its sample."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
-        letters = sorted({c for _, text in samples for c in text.lower() if c.isalpha()})[:250]
-        self.symbol = np.full(sys.maxunicode + 1, GAP, dtype=np.uint8)
+        letters = [c for c, _ in Counter(c for _, text in samples for c in text.lower() if c.isalpha()).most_common()]
+        self.symbol = np.full(sys.maxunicode + 1, GAP, dtype=np.uint8 if len(letters) <= TABLED else np.int32)
         self.symbol[letter_points()] = OTHER
         for i, c in enumerate(letters):
             self.symbol[ord(c)] = 3 + i
-        self.width = 3 + len(letters)
+        self.count = 3 + len(letters)
+        self.width = 3 + min(len(letters), TABLED)
         self.langs = [lang for lang, _ in samples]
-        self.tables, self.bits = [], []
+        self.tables, self.rare, self.bits = [], [], []
         for _, text in samples:
             symbols, _ = self.symbols([text])
-            self.tables.append(SuffixAutomaton(symbols.tolist()).table(self.width))
+            automaton = SuffixAutomaton(symbols.tolist())
+            self.tables.append(automaton.table(self.width))
+            self.rare.append(automaton.rare(self.width, self.count) if self.count > self.width else None)
             self.bits.append(np.log2(max(2, len(symbols))))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,13 +128,23 @@ class CrossParser:
         grid.ravel()[row_start + within] = symbols
         steps = np.ascontiguousarray(grid.T)
         out = np.zeros((len(texts), len(self.tables)), dtype=np.int64)
+        beyond = [np.flatnonzero(c >= self.width) for c in steps] if self.count > self.width else None
         for k, table in enumerate(self.tables):
             state = np.full(len(grid), len(table) // self.width - 1, dtype=np.int32)
             begun = np.zeros(len(grid), dtype=np.int32)
-            for c in steps:
+            for i, c in enumerate(steps):
+                at = beyond[i] if beyond is not None else ()
+                if len(at):
+                    keys, entries, begin = self.rare[k]
+                    wanted = state[at].astype(np.int64) * self.count + c[at]
+                    place = np.searchsorted(keys, wanted)
+                    other = np.where(keys[place] == wanted, entries[place], begin[c[at] - self.width])
+                    c = np.where(c < self.width, c, PAD)
                 state *= self.width
                 state += c
                 got = table[state]
+                if len(at):
+                    got[at] = other
                 begun += got & 1
                 state = got >> 1
             out[:, k] = np.bincount(owner, weights=begun, minlength=len(texts))

@@ -204,3 +204,15 @@ def test_pieces_of_documents_and_odd_rows(spark):
     assert {r.doc_id: (r.n_pieces, r.ids) for r in data}[1] == (0, [])
     assert all(len(r.ids) == r.n_pieces for r in data)
     assert encode_documents(odd(spark).where("false"), path).count() == 0
+
+
+def test_every_letter_keeps_its_symbol():
+    r = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(2000)]
+    samples = tuple((lang, "".join(r.choices(part, k=3000))) for lang, part in (("x", letters[:1200]), ("y", letters[800:])))
+    parser = CrossParser(samples)
+    texts = ["".join(r.choices(letters, k=r.randrange(1, 400))) for _ in range(10)] + [samples[0][1][40:300], samples[1][1][90:400]]
+    got = parser.phrases(texts)[0]
+    for t, row in zip(texts, got, strict=True):
+        assert row.tolist() == [phrases(t, s) for _, s in samples]
+    assert parser.predict(texts[-2:])[0] == ["x", "y"]
