@@ -118,9 +118,10 @@ def regimes(df: DataFrame, key: str, order: str, value: str, transition: np.ndar
     return df.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, state long, probability double")
 
 
-def bootstrap_ar1(spark: SparkSession, rho: float, residuals: np.ndarray, n: int, draws: int = 1000, seed: int = 0) -> DataFrame:
-    """(draw, rho) refitted to series simulated with resampled residuals; draws are spread over tasks and
-    each has a seed of its own, so a lost task makes the same ones again."""
+def bootstrap_ar1(spark: SparkSession, rho: float, residuals: np.ndarray, n: int, draws: int = 1000, seed: int = 0, start: float | None = None) -> DataFrame:
+    """(draw, rho) refitted to series simulated with n resampled residuals; draws are spread over tasks and
+    each has a seed of its own, so a lost task makes the same ones again. start: the first value, less
+    the mean, which the simulated ones follow."""
 
     send_package(spark)
     def run(frames):
@@ -128,7 +129,8 @@ def bootstrap_ar1(spark: SparkSession, rho: float, residuals: np.ndarray, n: int
             out = []
             for d in frame["id"]:
                 random = np.random.default_rng([seed, int(d)])
-                x = simulate_ar1(rho, 1.0, 0.0, random.choice(residuals, n), 0.0)
+                x = simulate_ar1(rho, 1.0, 0.0, random.choice(residuals, n), 0.0 if start is None else start)
+                x = x if start is None else np.append(start, x)
                 a, b = x[:-1] - x[:-1].mean(), x[1:] - x[1:].mean()
                 out.append(float(a @ b / (a @ a)))
             yield pd.DataFrame({"draw": frame["id"], "rho": out})
@@ -136,6 +138,47 @@ def bootstrap_ar1(spark: SparkSession, rho: float, residuals: np.ndarray, n: int
     return spark.range(draws).mapInPandas(run, "draw long, rho double")
 
 
+def ar1_bias(spark: SparkSession, x: np.ndarray, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """(draw, rho, rho_ols, rho_one_step, rho_iterated): the draws of bootstrap_ar1 at a series' own
+    least-squares rho, from its own residuals, length and first value, and rho without its bias.
+
+    One step takes the draws' mean bias off rho_ols; iterated is the rho whose draws (of the same
+    residuals) have the mean rho_ols, by the secant method, null if that does not converge. A series
+    of fewer than three values, or without variation, gives no rows.
+    """
+    x = np.asarray(x, dtype=float)
+    before, after = x[:-1] - x[:-1].mean() if len(x) > 2 else np.zeros(1), x[1:] - x[1:].mean() if len(x) > 2 else np.zeros(1)
+    schema = "draw long, rho double, rho_ols double, rho_one_step double, rho_iterated double"
+    if not before @ before > 0:
+        return spark.createDataFrame([], schema)
+    ols = float(before @ after / (before @ before))
+    level = x[1:].mean() - ols * x[:-1].mean()
+    residuals, start = after - ols * before, float(x[0] - level / (1 - ols))
+
+    def drawn(rho: float) -> list[tuple[int, float]]:
+        made = bootstrap_ar1(spark, rho, residuals, len(residuals), draws, seed, start)
+        return sorted((r["draw"], r["rho"]) for r in made.collect())
+
+    def gap(rows: list[tuple[int, float]]) -> float:
+        return ols - float(np.mean([r for _, r in rows]))
+
+    rows = drawn(ols)
+    a, gap_a = ols, gap(rows)
+    b = one_step = ols + gap_a
+    iterated = ols if gap_a == 0 else None
+    for _ in range(30 if iterated is None else 0):
+        gap_b = gap(drawn(b))
+        if not np.isfinite(gap_b):
+            break
+        if abs(gap_b) < 1e-10:
+            iterated = float(b)
+            break
+        if gap_a == gap_b:
+            break
+        a, b, gap_a = b, b - gap_b * (b - a) / (gap_b - gap_a), gap_b
+    return spark.createDataFrame([(d, r, ols, one_step, iterated) for d, r in rows], schema)
+
+
 def importance_sample(spark: SparkSession, log_target, draws: int, scale: float = 1.0, seed: int = 0) -> DataFrame:
     """(draw, x, log_weight) of a target density from normal draws."""
 

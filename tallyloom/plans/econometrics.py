@@ -244,8 +244,9 @@ def hmm_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ar1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = kernels.bootstrap_ar1(spark, 0.8, np.linspace(-1, 1, 41), 60, draws=200, seed=3)
-    return rounded(made, 8, "rho")
+    days = table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
+    series = [r["v"] for r in days.where("day is not null and v is not null").orderBy("day").collect()]
+    return rounded(kernels.ar1_bias(spark, np.array(series), draws=200, seed=3), 8, "rho", "rho_ols", "rho_one_step", "rho_iterated")
 
 
 @query("""WITH f AS (SELECT event_type AS i, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j FROM events),

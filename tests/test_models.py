@@ -95,3 +95,38 @@ def test_configurations():
     assert "v" in f and "u" not in f and f.label == "v"
     with pytest.raises(ValueError):
         col.Features(remove=("z",))
+
+
+def test_ar1_bias_is_taken_off(spark):
+    import numpy as np
+
+    from tallyloom.functions import kernels
+
+    r, x = np.random.default_rng(5), [3.0]
+    for _ in range(40):
+        x.append(1.0 + 0.6 * x[-1] + r.normal())
+    made = kernels.ar1_bias(spark, np.array(x), draws=100, seed=1).collect()
+    slope, level = np.polyfit(x[:-1], x[1:], 1)
+    residuals = np.array(x[1:]) - level - slope * np.array(x[:-1])
+
+    def mean(rho):
+        start = x[0] - level / (1 - slope)
+        out = []
+        for d in range(100):
+            path = [start]
+            for e in np.random.default_rng([1, d]).choice(residuals, 40):
+                path.append(rho * path[-1] + e)
+            out.append(np.polyfit(path[:-1], path[1:], 1)[0])
+        return np.mean(out)
+
+    got = made[0]
+    assert len(made) == 100 and abs(got.rho_ols - slope) < 1e-9
+    assert abs(got.rho_one_step - (2 * slope - mean(slope))) < 1e-8 and abs(mean(got.rho_iterated) - slope) < 1e-8
+    assert kernels.ar1_bias(spark, np.array([1.0, 2.0])).count() == 0 == kernels.ar1_bias(spark, np.ones(9)).count()
+
+
+def test_bootstrap_query_follows_its_events(spark):
+    import __spark_entry__ as entry
+
+    one, other = ({r.rho_ols for r in entry.queries()["bootstrap_ar1"](spark, f"/root/testdata/{sf}").collect()} for sf in ("sf0.001", "sf0.01"))
+    assert len(one) == len(other) == 1 and one != other
