@@ -52,7 +52,8 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other, values consumed: name, and its value in one of three forms.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLANK = re.compile(r"\s+")
 
@@ -60,31 +61,58 @@ BLANK = re.compile(r"\s+")
 class Node:
     """An element: what is directly in it, and sums over its subtree."""
 
-    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "links", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "doubtful", "dropped", "link_chars", "links", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubtful: bool = False):
+        self.tag, self.parent, self.dropped, self.doubtful = tag, parent, dropped, doubtful
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether an element is furniture by its name, role, class or id."""
+def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is furniture by its name, role or hidden, and whether by its class or id."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    worded = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if name.lower() == "role":
+        name, value = name.lower(), a or b or c
+        if name == "role":
             if value.strip().lower() in DROPPED_ROLES:
-                return True
-        elif name.lower() == "hidden":
-            return True
-        elif not COMPOUNDS.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            return True
-    return False
+                return True, False
+        elif name == "hidden":
+            return True, False
+        elif name in ("class", "id") and not worded:
+            worded = not COMPOUNDS.isdisjoint(w.lower() for w in WORDS.findall(value))
+    return False, worded
+
+
+def settle(root: Node) -> None:
+    """Drop the elements that are furniture by class or id, but for those with more than half of the
+    page's text, which no article or main element outside stands against."""
+    order, todo, doubt = [], [root], False
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        doubt = doubt or node.doubtful
+        todo.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
+    if not doubt:
+        return
+    chars, frames = {}, {}
+    for node in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+        chars[id(node)] = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) + sum(chars[id(c)] for c in inside)
+        frames[id(node)] = (node.tag in ("article", "main")) + sum(frames[id(c)] for c in inside)
+    for node in order:
+        if node.doubtful:
+            above, up = 0, node.parent
+            while up is not None:
+                above += up.tag in ("article", "main")
+                up = up.parent
+            outside = frames[id(root)] - frames[id(node)] - above
+            node.dropped = chars[id(node)] * 2 <= chars[id(root)] or outside > 0
 
 
 def parse(page: str) -> Node:
@@ -127,7 +155,8 @@ def parse(page: str) -> Node:
                 node = node.parent
             if found is not None:
                 here = found.parent
-        made = Node(tag, here, here.dropped or unwanted(tag, m[3]))
+        sure, doubtful = unwanted(tag, m[3])
+        made = Node(tag, here, here.dropped or sure, doubtful)
         here.children.append(made)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -136,6 +165,7 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not m[4]:
             here = made
+    settle(root)
     return root
 
 

@@ -171,3 +171,18 @@ def test_documents_stay_where_nothing_is_labelled(spark):
     rows = [(0, "some words"), (1, "12 34"), (2, None), (3, "日本")]
     df = spark.createDataFrame([(i, t, None, "h", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()) == [0, 3]
+
+
+@pytest.mark.parametrize(
+    "attributes",
+    ["style='overflow:hidden'", 'aria-hidden="false"', "data-id=related-5", "title='a class=menu here'", "class='has-sidebar'", "id=comments-open", "data-href='/p?id=comments'"],
+)
+def test_attributes_are_read_by_name(attributes):
+    want = "Title & more First bold text of some length, it goes on and on. Second <tag> paragraph, longer than any menu is."
+    assert main_text(f"<body><div {attributes}><article>{ARTICLE}</article></div><div class=menu><p>Go here</p></div></body>") == want
+    assert main_text(f"<body><div {attributes}>{ARTICLE}</div><div hidden><p>Not to be seen at all, by anyone</p></div></body>") == want
+
+
+def test_long_comments_beside_an_article_go():
+    page = f"<body><article>{ARTICLE}</article><div id=comments>{'<p>I have read it and say so.' * 30}</div></body>"
+    assert main_text(page).startswith("Title & more First") and "I have read" not in main_text(page)
