@@ -212,7 +212,8 @@ def main_nodes(root: Node) -> list[Node]:
 
     The node with the largest sum of its children's densities holds most of it. The threshold is the
     least density on the path from the body to that node; the content is the largest-sum node and,
-    beside it and its ancestors, the blocks that reach the threshold themselves.
+    beside it and its ancestors, the blocks that reach the threshold themselves. An article or main
+    element around the largest-sum node is taken whole, and beside it the articles that reach the threshold.
     """
     order = measured(root)
     best = max(order, key=lambda n: n.sum)
@@ -227,12 +228,12 @@ def main_nodes(root: Node) -> list[Node]:
     top = best
     while top.parent is not None and top.tag not in ("article", "main", "body", "#root"):
         top = top.parent
-    if top.tag in ("article", "main"):
-        return [top]
-    chosen = {id(best)}
-    for node in path:
-        for c in node.children if node is not best else ():
-            if isinstance(c, Node) and not c.dropped and c.chars and c not in path and c.density >= threshold:
+    framed = top.tag in ("article", "main")
+    core = top if framed else best
+    chosen = {id(core)}
+    for node in path[path.index(core) + 1 :]:
+        for c in node.children:
+            if isinstance(c, Node) and not c.dropped and c.chars and c not in path and c.density >= threshold and (c.tag == "article" or not framed):
                 chosen.add(id(c))
     found, todo = [], [root]
     while todo:

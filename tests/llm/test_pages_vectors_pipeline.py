@@ -186,3 +186,11 @@ def test_attributes_are_read_by_name(attributes):
 def test_long_comments_beside_an_article_go():
     page = f"<body><article>{ARTICLE}</article><div id=comments>{'<p>I have read it and say so.' * 30}</div></body>"
     assert main_text(page).startswith("Title & more First") and "I have read" not in main_text(page)
+
+
+def test_sibling_articles_join():
+    line = "Some words of part {} that go on for quite a while, as they do."
+    parts = [f"<article>{f'<p>{line.format(i)}' * 6}</article>" for i in "abc"]
+    cards = "<article><a href=x>Read this other page</a></article>"
+    got = main_text(f"<body><div><p>By us</p>{''.join(parts)}{cards}</div></body>")
+    assert got == " ".join(line.format(i) for i in "abc" for _ in range(6))
