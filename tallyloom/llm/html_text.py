@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -11,8 +12,7 @@ from pyspark.sql import DataFrame
 
 from tallyloom.llm.common import ready_workers
 
-#: Fixed by HTML: elements without content, elements whose content is no markup, blocks, and
-#: the open elements that a start tag ends.
+#: Fixed by HTML: elements without content, elements whose content is no markup, and blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
 BLOCKS = frozenset(
@@ -21,62 +21,92 @@ BLOCKS = frozenset(
     "tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Blocks that end an open paragraph.
+#: Blocks that end an open paragraph, and elements that one doesn't reach across.
 ENDS_P = BLOCKS - frozenset("br td th tr tbody thead tfoot caption html body legend".split())
-#: Start tags that end an open element of the same kind of item, and where the search for it stops.
-ITEMS = {
-    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
-    "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "tr": (frozenset({"tr", "td", "th"}), frozenset({"table", "tbody", "thead", "tfoot"})),
-    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "option": (frozenset({"option"}), frozenset({"select"})),
-}
-#: Elements that never hold main text.
-DROPPED = frozenset("nav header footer aside form button select option input menu dialog script style noscript iframe template title head svg canvas object search label fieldset".split())
-#: Words in class or id, between separators, that mark the same.
-DROPPED_WORDS = frozenset(
+#: Open elements that a start tag of the same kind ends: by kind, the tags that do, those ended, and where the reach stops.
+KINDS = (
+    (ENDS_P, frozenset({"p"}), frozenset("article div section td th li body main".split())),
+    (frozenset({"li"}), frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
+    (frozenset({"dt", "dd"}), frozenset({"dt", "dd"}), frozenset({"dl"})),
+    (frozenset({"tr"}), frozenset({"tr", "td", "th"}), frozenset({"table", "tbody", "thead", "tfoot"})),
+    (frozenset({"td", "th"}), frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    (frozenset({"option"}), frozenset({"option"}), frozenset({"select"})),
+)
+#: Elements that are never shown as text, and those that never hold main text.
+UNSEEN = frozenset("head title script style template noscript iframe svg canvas object xmp textarea select option dialog".split())
+DROPPED = UNSEEN | frozenset("nav header footer aside form button input menu search label fieldset".split())
+#: Roles that mark the same.
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
+#: Words in a class or id that speak for furniture. They never decide alone: see settle().
+FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar header footer masthead cookie cookies consent notice notices popup modal newsletter subscribe share sharing social related "
     "recommended comment comments reply replies disqus respond pagination pager widget skip login signup copyright disclaimer toolbar".split()
 )
 #: What may be written on to one of them without another meaning, as in cookiebar or commentlist.
 ENDINGS = ("s", "list", "section", "box", "bar", "area", "block", "container", "wrap", "wrapper", "form", "thread", "banner", "panel", "menu")
-COMPOUNDS = DROPPED_WORDS | {w + e for w in DROPPED_WORDS if len(w) > 2 for e in ENDINGS} | {"adbox", "adbanner", "adblock", "adslot", "topbar"}
-#: Roles that mark the same.
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>",
-    re.S,
-)
+COMPOUNDS = FURNITURE | {w + e for w in FURNITURE if len(w) > 2 for e in ENDINGS} | {"adbox", "adbanner", "adblock", "adslot", "topbar"}
+#: Words that turn a name into a statement about a page's state, as in has-sidebar or comments-open.
+STATES = frozenset("no not non has have with without is off on open opened closed enabled disabled hide hidden show shown visible full".split())
+#: Names of the article itself: alone they speak for it, and before a header they make it the article's own.
+ARTICLE = frozenset("article post entry hentry content story main body text".split())
+#: Least share of link text, and least number of links, of a block in the article that is a menu.
+MENU_SHARE, MENU_LINKS = 0.8, 3
+
+#: The rest of a tag after its name: quotes count only where a value begins, and nothing is looked at twice.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: One attribute after the other, values consumed: name, and its value in one of three forms.
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLANK = re.compile(r"\s+")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Node:
     """An element: what is directly in it, and sums over its subtree."""
 
-    __slots__ = ("chars", "children", "density", "doubtful", "dropped", "link_chars", "links", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "children", "density", "doubtful", "dropped", "link_chars", "links", "open", "parent", "sum", "tag", "tags", "unseen")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubtful: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False):
         self.tag, self.parent, self.dropped, self.doubtful = tag, parent, dropped, doubtful
+        self.unseen = tag in UNSEEN
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.sum = 0.0
+        #: By kind, the outermost open element that a tag of the kind ends here.
+        self.open: tuple[Node | None, ...] = parent.open if parent else (None,) * len(KINDS)
+        if tag in SCOPED:
+            self.open = tuple(
+                (was or self) if tag in ended else None if tag in stops else was for was, (_, ended, stops) in zip(self.open, KINDS, strict=True)
+            )
+
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
+
+SCOPED = frozenset().union(*(ended | stops for _, ended, stops in KINDS))
+
+
+def furniture_name(value: str) -> bool:
+    """Whether a class or id speaks for furniture."""
+    names = [[w.lower() for w in WORDS.findall(name)] for name in value.split()]
+    if any(len(words) == 1 and words[0] in ARTICLE for words in names):
+        return False
+    for words in names:
+        own_header = words and words[0] in ARTICLE and words[-1] in ("header", "banner", "related", "social")
+        if not own_header and STATES.isdisjoint(words) and not COMPOUNDS.isdisjoint(words):
+            return True
+    return False
 
 
 def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is furniture by its name, role or hidden, and whether by its class or id."""
+    """Whether an element is furniture by its name, role or hidden, and whether its class or id speaks for that."""
     if tag in DROPPED:
         return True, False
-    if not attributes or tag in ("html", "body"):
+    if len(attributes) < 3 or tag in ("html", "body"):
         return False, False
-    worded = False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "role":
@@ -84,109 +114,101 @@ def unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
                 return True, False
         elif name == "hidden":
             return True, False
-        elif name in ("class", "id") and not worded:
-            worded = not COMPOUNDS.isdisjoint(w.lower() for w in WORDS.findall(value))
-    return False, worded
-
-
-def settle(root: Node) -> None:
-    """Drop the elements that are furniture by class or id, but for those with more than half of the
-    page's text, which no article or main element outside stands against."""
-    order, todo, doubt = [], [root], False
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        doubt = doubt or node.doubtful
-        todo.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
-    if not doubt:
-        return
-    chars, frames = {}, {}
-    for node in reversed(order):
-        inside = [c for c in node.children if isinstance(c, Node) and not c.dropped]
-        chars[id(node)] = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) + sum(chars[id(c)] for c in inside)
-        frames[id(node)] = (node.tag in ("article", "main")) + sum(frames[id(c)] for c in inside)
-    for node in order:
-        if node.doubtful:
-            above, up = 0, node.parent
-            while up is not None:
-                above += up.tag in ("article", "main")
-                up = up.parent
-            outside = frames[id(root)] - frames[id(node)] - above
-            node.dropped = chars[id(node)] * 2 <= chars[id(root)] or outside > 0
+        elif name in ("class", "id") and not named and tag not in ("article", "main") and tag not in HEADINGS:
+            named = furniture_name(value)
+    return False, named
 
 
 def parse(page: str) -> Node:
-    """A tree of the page. Tags that are never closed, or closed out of turn, are put right as far as
-    a reader would: blocks end paragraphs, items end items, an end tag ends all that is open in its
-    element, and one without an open element is passed over."""
-    root = Node("#root", None, False)
+    """A tree of the page, in one pass. Tags that are never closed, or closed out of turn, are put right
+    as far as a reader would: blocks end paragraphs, items end items, an end tag ends all that is open
+    in its element, and one without an open element is passed over. A tag without an end is text."""
+    root = Node("#root", None)
     here, at, end = root, 0, len(page)
-    find = TAG.search
+    count: dict[str, int] = {}
+
+    def up_to(node: Node | None) -> Node:
+        """Close what is open inside node."""
+        x = here
+        while x is not node:
+            count[x.tag] -= 1
+            x = x.parent
+        return x
+
     while at < end:
-        m = find(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             here.children.append(page[at:])
             break
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        if m.lastindex is None or m[2] is None:
+        mark = page[lt + 1 : lt + 2]
+        if mark in ("!", "?"):
+            if lt > at:
+                here.children.append(page[at:lt])
+            close = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            stop = page.find(close, lt + (4 if close == "-->" else 2))
+            at = end if stop < 0 else stop + len(close)
+            continue
+        ends = mark == "/"
+        name = NAME.match(page, lt + 1 + ends)
+        if name is None:
+            here.children.append(page[at : lt + 1])
+            at = lt + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+        rest = REST.match(page, name.end())
+        if rest is None:
+            here.children.append(page[at:])
+            break
+        if lt > at:
+            here.children.append(page[at:lt])
+        at = rest.end()
+        tag = name[0].lower()
+        if ends:
+            if count.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = up_to(node.parent)
             continue
-        if tag in ENDS_P:
-            node = here
-            while node.parent is not None and node.tag not in ("p", "article", "div", "section", "td", "li", "body", "main"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in ITEMS:
-            ends, stops = ITEMS[tag]
-            node, found = here, None
-            while node.parent is not None and node.tag not in stops:
-                if node.tag in ends:
-                    found = node
-                node = node.parent
-            if found is not None:
-                here = found.parent
-        sure, doubtful = unwanted(tag, m[3])
+        for kind, (starts, _, _) in enumerate(KINDS):
+            if tag in starts and here.open[kind] is not None:
+                here = up_to(here.open[kind].parent)
+        attributes = page[name.end() : at - 1]
+        sure, doubtful = unwanted(tag, attributes)
         made = Node(tag, here, here.dropped or sure, doubtful)
+        made.unseen = made.unseen or here.unseen
         here.children.append(made)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not made.dropped:
-                made.children.append(page[at : close.start() if close else end])
+            close = RAW_END[tag].search(page, at)
             at = close.end() if close else end
-        elif tag not in VOID and not m[4]:
+        elif tag not in VOID and not attributes.endswith("/"):
             here = made
-    settle(root)
+            count[tag] = count.get(tag, 0) + 1
     return root
 
 
-def measured(root: Node) -> list[Node]:
-    """All nodes, parents first, with their sums and densities.
-
-    Composite density: characters a tag, times the logarithm of that ratio's weight by link text,
-    to a base that grows with the page's share of link text; so a node of mostly links has next to none.
-    """
-    import math
-
+def in_order(root: Node) -> list[Node]:
+    """All nodes that are shown, parents first, in page order."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(c for c in node.children if isinstance(c, Node) and not c.dropped)
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.unseen)
+    return order
+
+
+def measured(root: Node) -> list[Node]:
+    """All nodes that are shown, with their characters, tags, link characters, links and composite density.
+
+    Composite density: characters a tag, times the logarithm of (chars / link chars * tags / links) to
+    the base ln(chars / other chars * link chars + page's link share * chars + e); counts of none are
+    one. So a node of mostly links has next to none.
+    """
+    order = in_order(root)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
                 node.chars += len(c) - c.count(" ") - c.count("\n")
-            elif not c.dropped:
+            elif not c.unseen:
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
@@ -195,56 +217,96 @@ def measured(root: Node) -> list[Node]:
             node.link_chars, node.links = node.chars, node.links + 1
     page_share = root.link_chars / root.chars if root.chars else 0.0
     for node in order:
-        if not node.chars:
-            continue
-        tags, links, linked = max(node.tags, 1), max(node.links, 1), max(node.link_chars, 1)
-        plain = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars / plain * node.link_chars + page_share * node.chars + math.e)
-        weight = node.chars / linked * tags / links
-        node.density = node.chars / tags * max(0.0, math.log(max(weight, 1.0)) / max(base, 1e-9))
-    for node in order:
-        node.sum = sum(c.density for c in node.children if isinstance(c, Node) and not c.dropped)
+        if node.chars:
+            node.density = composite_density(node.chars, node.tags, node.link_chars, node.links, page_share)
     return order
 
 
+def composite_density(chars: int, tags: int, link_chars: int, links: int, page_share: float) -> float:
+    tags, links, linked, plain = max(tags, 1), max(links, 1), max(link_chars, 1), max(chars - link_chars, 1)
+    base = math.log(chars / plain * linked + page_share * chars + math.e)
+    return chars / tags * max(0.0, math.log(max(chars / linked * tags / links, 1.0)) / math.log(base))
+
+
+def settle(order: list[Node]) -> None:
+    """Drop the elements whose class or id speaks for furniture, but for those that hold most of the
+    page's text while no article, main or first heading stands outside; and what is in dropped ones."""
+    if any(n.doubtful for n in order):
+        chars, frames = {}, {}
+        for node in reversed(order):
+            if node.dropped:
+                chars[id(node)] = frames[id(node)] = 0
+                continue
+            inside = [c for c in node.elements() if not c.unseen]
+            own = sum(len(c) - c.count(" ") - c.count("\n") for c in node.children if isinstance(c, str))
+            chars[id(node)] = own + sum(chars[id(c)] for c in inside)
+            framed = node.tag in ("article", "main", "h1") and chars[id(node)] > 0
+            frames[id(node)] = framed + sum(frames[id(c)] for c in inside)
+        root = order[0]
+        above: dict[int, int] = {}
+        for node in order:
+            up = node.parent
+            above[id(node)] = above[id(up)] + (up.tag in ("article", "main")) if up is not None else 0
+            if node.doubtful:
+                outside = frames[id(root)] - frames[id(node)] - above[id(node)]
+                node.dropped = node.dropped or chars[id(node)] * 2 <= chars[id(root)] or outside > 0
+    for node in order:
+        node.dropped = node.dropped or (node.parent is not None and node.parent.dropped)
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order.
 
-    The node with the largest sum of its children's densities holds most of it. The threshold is the
-    least density on the path from the body to that node; the content is the largest-sum node and,
-    beside it and its ancestors, the blocks that reach the threshold themselves. An article or main
-    element around the largest-sum node is taken whole, and beside it the articles that reach the threshold.
+    The kept node with the largest sum of its kept children's densities (one without children: its own)
+    is the core. The threshold is the least density on the path from the body to it. Beside that path
+    every kept node that reaches the threshold gives its own largest-sum node, and its other nodes
+    are looked at in the same way. Of equal sums the outermost and first node counts.
     """
     order = measured(root)
-    best = max(order, key=lambda n: n.sum)
-    if best.sum <= 0:
-        best = max(order, key=lambda n: n.chars)
-    path, node = [], best
+    settle(order)
+    best_in: dict[int, Node] = {}
+    for node in reversed(order):
+        if node.dropped:
+            continue
+        inside = [c for c in node.elements() if not c.dropped and not c.unseen and c.tag not in VOID]
+        node.sum = sum(c.density for c in inside) if inside else node.density
+        best = node
+        for c in inside:
+            if best_in[id(c)].sum > best.sum:
+                best = best_in[id(c)]
+        best_in[id(node)] = best
+    core = best_in[id(root)]
+    path, node = set(), core
+    threshold = math.inf
     while node is not None:
-        path.append(node)
+        path.add(id(node))
+        if node.tag not in ("#root", "html") and node.density > 0:
+            threshold = min(threshold, node.density)
         node = node.parent
-    dense = [n.density for n in path if n.tag not in ("#root", "html") and n.density > 0]
-    threshold = min(dense, default=0.0)
-    top = best
-    while top.parent is not None and top.tag not in ("article", "main", "body", "#root"):
-        top = top.parent
-    framed = top.tag in ("article", "main")
-    core = top if framed else best
-    chosen = {id(core)}
-    for node in path[path.index(core) + 1 :]:
-        for c in node.children:
-            if isinstance(c, Node) and not c.dropped and c.chars and c not in path and c.density >= threshold and (c.tag == "article" or not framed):
-                chosen.add(id(c))
     found, todo = [], [root]
+    chosen = {id(core)}
     while todo:
         node = todo.pop()
         if id(node) in chosen:
             found.append(node)
-        else:
-            todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped)
+            continue
+        for c in reversed(node.children):
+            if isinstance(c, Node) and not c.dropped and c.chars and (id(c) in path or c.density >= threshold):
+                if id(c) not in path:
+                    best = best_in[id(c)]
+                    chosen.add(id(best))
+                    while best is not node:
+                        path.add(id(best))
+                        best = best.parent
+                todo.append(c)
     return found
 
 
+def is_menu(node: Node) -> bool:
+    """Whether a block is a list of links: nearly all of its text is, and there are several."""
+    return node.tag in BLOCKS and node.links >= MENU_LINKS and node.link_chars >= MENU_SHARE * node.chars
+
+
 def blocks_of(node: Node, out: list[list[str]]) -> None:
     """Texts of each block of a subtree in page order; a new block begins at block elements."""
     out.append([])
@@ -255,7 +317,7 @@ def blocks_of(node: Node, out: list[list[str]]) -> None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif not x.dropped:
+        elif not x.dropped and not x.unseen and not (x is not node and is_menu(x)):
             edge = x.tag in BLOCKS
             if edge:
                 out.append([])

@@ -1,15 +1,17 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import archives, topk
-from tallyloom.llm.html_text import extract_pages, main_text
+from tallyloom.llm import archives, html_text, topk
+from tallyloom.llm.html_text import Node, extract_pages, main_text, parse
 from tallyloom.llm.queries import queries
 
 PAGES = "page_id long, url string, html string"
@@ -86,6 +88,109 @@ def test_main_text_of_odd_pages(spark):
     assert extract_pages(pages.where("false")).count() == 0
 
 
+ODD_FRAMES = ['<div class="layout has-sidebar">{}</div>', '<div class="content no-comments">{}</div>', '<div class="post-comments-off">{}</div>', '<article class="post related-topics">{}</article>', '<div class="sidebar">{}</div>']
+
+
+@pytest.mark.parametrize("frame", ODD_FRAMES)
+def test_class_names_do_not_empty_an_article(frame):
+    want = "Title & more First bold text of some length, it goes on and on. Second <tag> paragraph, longer than any menu is."
+    page = f"<body><nav><a href=a>menu</a></nav>{frame.format(ARTICLE)}<footer>foot</footer></body>"
+    assert main_text(page) == want
+    assert main_text(page.replace("<h1>", '<h1 class="article-header">')) == want
+
+
+@pytest.mark.parametrize("unit", ["<a '", "<a ", "<", "<a href=\"", "<b></x>", "<b><ul>", "<p><td><i><ul>", "<!--", "<div>", "<script>", "<p>w "])
+def test_long_odd_pages_take_linear_time(unit):
+    begun = time.process_time()
+    main_text(unit * (300_000 // len(unit)))
+    assert time.process_time() - begun < 10
+
+
+def brute_nodes(root):
+    """The chosen nodes by the definitions, each looked up anew over whole subtrees."""
+
+    def below(n):
+        return [n] + [x for c in n.children if isinstance(c, Node) and not c.unseen for x in below(c)]
+
+    def chars(n):
+        return sum(len(c.replace(" ", "").replace("\n", "")) for x in below(n) for c in x.children if isinstance(c, str))
+
+    def link_chars(n):
+        return sum(chars(x) for x in below(n) if x.tag == "a" and not any(y.tag == "a" and x in below(y)[1:] for y in below(n)))
+
+    def density(n):
+        c, lc = chars(n), link_chars(n)
+        t, links = len(below(n)) - 1, sum(x.tag == "a" for x in below(n))
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * max(lc, 1) + link_chars(root) / chars(root) * c + math.e)
+        return c / max(t, 1) * max(0.0, math.log(max(1.0, c / max(lc, 1) * max(t, 1) / max(links, 1)), base))
+
+    def kept(n):
+        while n is not None:
+            if n.dropped:
+                return False
+            n = n.parent
+        return True
+
+    def inside(n):
+        return [c for c in n.children if isinstance(c, Node) and not c.unseen and kept(c)]
+
+    def total(n):
+        solid = [c for c in inside(n) if c.tag not in html_text.VOID]
+        return sum(density(c) for c in solid) if solid else density(n)
+
+    def best(n):
+        return max([x for x in below(n) if kept(x)], key=lambda x: round(total(x), 6))
+
+    def up(n, stop):
+        return [n] if n is stop else [n, *up(n.parent, stop)]
+
+    core = best(root)
+    threshold = min((density(n) for n in up(core, root) if n.tag not in ("#root", "html") and density(n) > 0), default=math.inf)
+    out = []
+
+    def take(n, chosen, path):
+        if n in chosen:
+            out.append(n)
+            return
+        for c in inside(n):
+            if c in path:
+                take(c, chosen, path)
+            elif chars(c) and density(c) >= threshold - 1e-9:
+                chosen, path = chosen | {best(c)}, path | set(up(best(c), c))
+                take(c, chosen, path)
+
+    take(root, {core}, set(up(core, root)))
+    return out
+
+
+def random_page(r, depth=0):
+    tags = ["div", "p", "section", "ul", "li", "a", "b", "h2", "br", "span", "nav", "article"]
+    out = []
+    for _ in range(r.randint(1, 4)):
+        tag = r.choice(tags)
+        words = "word " * r.randint(0, 25) if r.random() < 0.6 else ""
+        out.append("<br>" if tag == "br" else f"{words}<{tag}>{random_page(r, depth + 1) if depth < 3 else words}</{tag}>")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chosen_nodes_equal_plain_definitions(seed):
+    page = f"<html><body>{random_page(random.Random(seed))}</body></html>"
+    a, b = parse(page), parse(page)
+    got = html_text.main_nodes(a)
+    html_text.settle(html_text.in_order(b))
+    places = [{id(n): i for i, n in enumerate(html_text.in_order(t))} for t in (a, b)]
+    assert [places[0][id(n)] for n in got] == [places[1][id(n)] for n in brute_nodes(b)]
+
+
+def test_menus_inside_and_parts_beside_the_article():
+    links = "".join(f"<li><a href={i}>some other story {i}</a></li>" for i in range(6))
+    page = f"<body><div>{ARTICLE}<ul>{links}</ul></div><div><p>Last part of the same story, which stands in a block of its own here.</p></div></body>"
+    assert main_text(page).endswith("longer than any menu is. Last part of the same story, which stands in a block of its own here.")
+
+
 def brute_top(ids, vectors, every=50, k=5):
     out = []
     for i, v in zip(ids, vectors, strict=True):
