@@ -19,12 +19,19 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     return builder.getOrCreate()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder for what is written on the way, in local mode only: executors of a cluster share none."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder of spark.checkpoint.dir; one is made only where none is set."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyloom-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark))
     return df.checkpoint()
 
 
