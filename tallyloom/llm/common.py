@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.plans.session import send_package
+from tallyloom.plans.session import own_folder, send_package
 
 #: The white space of the contracts: space and the controls 9 to 13.
 BLANKS = "\t\n\x0b\x0c\r"
 #: A word is a maximal run of other characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: A key with more than this part of all rows is dealt over several tasks.
+HOT_PARTS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, local mode) is a temporary folder made, and it is
-    then kept in the session's settings so that later calls find the same one.
+    Only where the setting is absent in local mode (tests) is a temporary folder made, and it is then
+    kept in the session's settings so that later calls find the same one; a cluster must name one.
+    What is written there stays until whoever runs the job clears the folder, as results read it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+        path = own_folder(spark)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -49,6 +51,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def salted_join(
+    rows: DataFrame, unique: DataFrame, keys: list[str], weights: DataFrame, spread: Column, how: str = "inner", parts: int = HOT_PARTS
+) -> DataFrame:
+    """rows joined with unique, which has one row a key, so that no task gets all rows of a hot key.
+
+    weights: the keys and _weight, their number of rows. Keys with more than 1 / parts of all rows,
+    of which there are fewer than parts, are broadcast with a number of salts; their rows are dealt
+    over the salts by spread, and unique has a row for each salt.
+    """
+    total = weights.agg(F.sum("_weight")).first()[0] or 0
+    hot = weights.where(F.col("_weight") * parts > total).select(*keys, F.ceil(F.col("_weight") * parts / F.lit(float(max(total, 1)))).cast("int").alias("_salts"))
+    hot = F.broadcast(materialise(hot.coalesce(1), "hot"))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    spread_out = unique.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+    return dealt.join(spread_out.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
+def without_places(lines: Column, places: Column) -> Column:
+    """An array without the elements at these places (from 0), in time linear in both."""
+    return let(
+        lines,
+        lambda x: F.transform(
+            F.array_except(F.transform(x, lambda _, i: i), places.cast("array<int>")), lambda i: F.get(x, i)
+        ),
+    )
+
+
 def spaced(text: Column) -> Column:
     """text with every white-space character as a space."""
     return F.translate(text, BLANKS, " " * len(BLANKS))

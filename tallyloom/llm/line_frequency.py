@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import blank_free_length, let, materialise, spaced, words_of
+from tallyloom.llm.common import blank_free_length, let, materialise, spaced, without_places, words_of
 
 #: Symbols that the base rules count (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -82,7 +82,7 @@ def normal_lines(text: Column) -> Column:
 
 def without_lines(text: Column, places: Column) -> Column:
     """text without the lines at these places (from 0)."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(places, i)), "\n")
+    return F.array_join(without_places(F.split(text, "\n"), places), "\n")
 
 
 def rule_documents(

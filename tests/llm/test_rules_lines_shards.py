@@ -155,7 +155,7 @@ def test_line_dedup_keeps_columns_and_rows(spark):
     df = docs(spark, ODD + [LONG.format(1), LONG.format(2)]).withColumn("extra", F.lit(5)).withColumn("n_lines", F.lit("clash")).withColumn("_copy", F.lit(0))
     df = df.unionByName(df.where("doc_id = 10"))
     got = drop_recurring_lines(df)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "n_lines", "n_dropped", "emptied"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "_copy", "n_lines", "n_dropped", "emptied"]
     assert got.count() == len(ODD) + 3 and got.where("n_dropped > 0").count() == 1
     assert drop_recurring_lines(df.where("false")).count() == 0
 
@@ -172,29 +172,30 @@ def masked(line):
 
 
 def brute_drops(rows, depth=4, min_tokens=8, similarity=0.6, min_docs=2):
-    """Texts without their recurring lines, by plain dictionaries."""
-    import xxhash
-
-    seen = defaultdict(lambda: defaultdict(set))
+    """Texts without their recurring lines, by the method's words: each leaf's lines, the most widespread
+    first, join the first template whose seed they are like, or found one."""
+    leaves = defaultdict(lambda: defaultdict(set))
     for i, t in rows:
         for x in (t or "").split("\n"):
-            tokens = masked(x).split(" ")
+            tokens = tuple(masked(x).split(" "))
             if masked(x) and len(tokens) >= min_tokens:
-                seen[len(tokens), tuple(tokens[:depth])][masked(x)].add((t, min(j for j, u in rows if u == t)))
+                leaves[len(tokens), tokens[:depth] if len(tokens) >= 8 else tokens][tokens].add(t)
     owner = {}
-    for lines in seen.values():
-        signed = lambda x: (v := xxhash.xxh64_intdigest(x.encode(), 42)) - (1 << 64) * (v >> 63)
-        seed = min(lines, key=lambda x: (-len(lines[x]), signed(x)))
-        groups = defaultdict(list)
-        for x in lines:
-            same = sum(a == b for a, b in zip(x.split(" "), seed.split(" "), strict=True))
-            groups[seed if same >= similarity * len(seed.split(" ")) else x].append(x)
-        for members in groups.values():
-            having = [d for x in members for d in lines[x]]
+    for lines in leaves.values():
+        templates = []
+        for x in sorted(lines, key=lambda x: (-len(lines[x]), x)):
+            for members in templates:
+                if sum(a == b for a, b in zip(x, members[0], strict=True)) >= similarity * len(x):
+                    members.append(x)
+                    break
+            else:
+                templates.append([x])
+        for members in templates:
+            having = set().union(*(lines[x] for x in members))
             if len(having) >= min_docs:
-                first = min(having, key=lambda d: d[1])[0]
+                first = min(having, key=lambda t: min(i for i, u in rows if u == t))
                 owner |= {x: first for x in members}
-    return {i: t if t is None else "\n".join(x for x in t.split("\n") if owner.get(masked(x), t) == t) for i, t in rows}
+    return {i: t if t is None else "\n".join(x for x in t.split("\n") if owner.get(tuple(masked(x).split(" ")), t) == t) for i, t in rows}
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -213,8 +214,35 @@ def test_templates_equal_brute_force(spark, seed):
             lines.append(r.choice([" ", "  "]).join(line))
         texts.append("\n".join(lines))
     rows = list(enumerate(texts + texts[:5]))
-    got = {x.doc_id: x.text for x in drop_recurring_lines(docs(spark, [t for _, t in rows])).collect()}
-    assert got == brute_drops(rows)
+    for min_docs in (2, 3, 5):
+        got = {x.doc_id: x.text for x in drop_recurring_lines(docs(spark, [t for _, t in rows]), min_docs=min_docs).collect()}
+        assert got == brute_drops(rows, min_docs=min_docs)
+
+
+def test_second_template_of_a_leaf_is_dropped_too(spark):
+    head = "the daily report for "
+    texts = [f"{head}{x} shows that all is well" for x in ("mars", "venus", "pluto")] + [f"{head}omega costs stayed {x} while none other fell much" for x in ("high", "low")]
+    texts += [f"{head}saturn says that all is lost now", "the line beside them"]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0} and {i: t for i, t in brute_drops(list(enumerate(texts))).items() if t} == {i: texts[i] for i in (0, 3, 5, 6)}
+
+
+def test_two_variants_in_one_text_count_once(spark):
+    texts = [LONG.format("one") + "\n" + LONG.format("two"), LONG.format("three"), "another line of some length that stands here alone"]
+    assert [r.n_dropped for r in drop_recurring_lines(docs(spark, texts), min_docs=3).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert [r.n_dropped for r in drop_recurring_lines(docs(spark, texts), min_docs=2).orderBy("doc_id").collect()] == [0, 1, 0]
+
+
+def test_hot_lines_and_copies_are_dealt_over_tasks(spark):
+    from tallyloom.llm import common
+
+    texts = ["one line that all rows have here and there today\nown " + "z" * (i // 3) for i in range(90)]
+    frame = docs(spark, texts).repartition(3)
+    keys = frame.select("doc_id", F.xxhash64("source").alias("k"))
+    joined = common.salted_join(keys, keys.select("k").distinct().withColumn("v", F.lit(1)), ["k"], keys.groupBy("k").agg(F.count(F.lit(1)).alias("_weight")), F.xxhash64("doc_id"), parts=40)
+    assert joined.count() == 90 and joined.columns == ["k", "doc_id", "v"]
+    assert "_salts" in joined._jdf.queryExecution().toString()
+    assert {x.doc_id: x.text for x in drop_recurring_lines(frame).collect()} == brute_drops(list(enumerate(texts)))
 
 
 def test_templates_equal_brute_force_on_documents(spark):
