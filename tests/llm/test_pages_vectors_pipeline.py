@@ -50,14 +50,49 @@ def test_archives_round_trip(spark):
     assert archives.archive_pages(pages.where("false")).count() == 0
 
 
-def test_written_archives_are_warc(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a/", "p" * 1000), (2, "http://b/", "p" * 1000)], PAGES).coalesce(1)
-    archives.write_warc(pages, str(tmp_path / "w"))
-    data = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
-    records = {f["X-Page-ID"]: (f, b) for f, b in archives.read_warc(data)}
-    assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: ")
-    assert records["1"][0]["WARC-Refers-To"] == records["2"][0]["WARC-Record-ID"] and records["1"][1] == b""
-    assert base64.b32decode(records["2"][0]["WARC-Payload-Digest"][5:]) == hashlib.sha1(b"p" * 1000).digest()
+@pytest.mark.parametrize("limit", [1, 2500, 1 << 20])
+def test_written_archives_are_arc_and_warc(spark, tmp_path, monkeypatch, limit):
+    rows = [(i, f"http://a/{i}?x=#y z", chr(97 + i % 3) * (1000 + i % 3)) for i in range(12)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    paths = [str(tmp_path / x) for x in ("arc", "warc")]
+    archives.write_arc(pages, paths[0], limit=limit)
+    arcs = [p.read_bytes() for p in sorted((tmp_path / "arc").glob("part-*"))]
+    assert len(arcs) == {1: 13, 2500: 12, 1 << 20: 1}[limit] or limit == 2500
+    plain = [gzip.decompress(a) for a in arcs]
+    assert all(a.startswith(b"filedesc://") for a in plain) and (len(arcs) == 1 or {a.split(b"\n")[1][:1] for a in plain} == {b"1", b"2"})
+    got = [r for a in arcs for r in archives.read_arc(a)]
+    assert sorted((archives.split_identity(r.fields["url"]), r.payload) for r in got) == sorted(
+        ((archives.clean_url(u), "" if i is None else str(i)), (h or "").encode()) for i, u, h in rows
+    )
+    frame = archives.files(spark, paths[0])
+    archives.write_warc(frame, archives.revisits(archives.arc_digests(frame, "bigint"), 1000), paths[1])
+    data = b"".join(p.read_bytes() for p in (tmp_path / "warc").glob("part-*"))
+    assert data.count(b"\x1f\x8b\x08") >= len(rows) and b"WARC-Type: warcinfo" in gzip.decompress(data)
+    records = {f["X-Page-ID"]: (f, b) for f, b in archives.read_warc(data) if f["WARC-Type"] != "warcinfo"}
+    for i in range(12):
+        f, block = records[str(i)]
+        holder = 9 + i % 3
+        assert base64.b32decode(f["WARC-Payload-Digest"][5:]) == hashlib.sha1(rows[i][2].encode()).digest()
+        if i == holder:
+            assert (f["WARC-Type"], block) == ("response", rows[i][2].encode())
+        else:
+            assert f["WARC-Refers-To"] == records[str(holder)][0]["WARC-Record-ID"] and block == b""
+
+
+def test_archives_of_other_encodings_and_broken_ones():
+    raw = "café".encode("latin-1") + b"\xff\x00\n"
+    data = archives.members([archives.arc_header("n", "2024", 2), archives.arc_record(2, "http://h/", "::1", "20240102030405", "text/html", raw)])
+    (arc,) = archives.read_arc(data)
+    assert arc.payload == raw and arc.fields["ip"] == "::1"
+    (record,) = archives.read_warc(archives.members([archives.converted(arc, None)]) + archives.EMPTY_MEMBER)
+    assert record[1] == raw and record[0]["WARC-Date"] == "2024-01-02T03:04:05Z"
+    for broken in (data[:-5], b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"no archive"):
+        with pytest.raises(archives.ArchiveError):
+            list((archives.read_arc if broken is not None and broken[:2] == b"\x1f\x8b" else archives.read_warc)(broken))
+    long = archives.arc_record(1, "http://h/", "0.0.0.0", "2024", "t", b"x" * 30_000_000)
+    begun = time.process_time()
+    (arc,) = archives.read_arc(archives.arc_header("n", "2024", 1) + long)
+    assert len(arc.payload) == 30_000_000 and time.process_time() - begun < 10
 
 
 ARTICLE = "<h1>Title &amp; more</h1><p>First <b>bold</b>\n text of some length, it goes on and on.<p>Second &lt;tag&gt; paragraph, longer than any menu is.</p>"
