@@ -18,15 +18,17 @@ from tallyloom.llm.common import ready_workers, slices
 #: Labelled rows that a language's sample is drawn from, and its characters, at most.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
-#: A phrase does not go on beyond so many symbols from the last cut of a text.
+#: Symbols of a text that are parsed one after the other while all such blocks advance together, and
+#: the places at which a block parsed again is held against the first time.
 BLOCK = 512
+LOOKS = (8, 16, 32, 64, 128, 256, 512)
 UNKNOWN = "und"
 #: Characters that are parsed at once.
 CHUNK = 1 << 20
 #: Symbols: padding, other letter, white space and all else that is no letter; then the letters of the samples.
 PAD, OTHER, GAP = 0, 1, 2
-#: Letters, the most frequent ones, whose transitions are kept in full tables; those of others are sorted keys.
-TABLED = 250
+#: Bytes of full transition tables in a worker: as many of the most frequent letters as fit have them.
+TABLE_BYTES = 96 << 20
 
 
 class SuffixAutomaton:
@@ -61,30 +63,44 @@ class SuffixAutomaton:
             self.link[new] = q
         return new
 
-    def table(self, width: int) -> np.ndarray:
-        """Entry state * width + symbol: next state * 2, plus 1 if a phrase begins with the symbol.
+    def arrays(self, symbols: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """The number of states, and all transitions: sorted keys state * symbols + symbol, and next states."""
+        found = sorted((s * symbols + c, to) for s, following in enumerate(self.next) for c, to in following.items())
+        keys, to = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        return len(self.next), keys, to.astype(np.int32)
 
-        One state more than the automaton's stands before the first symbol and after one that the
-        sample doesn't have: any symbol begins a phrase there.
-        """
-        apart = len(self.next)
-        out = np.empty((apart + 1, width), dtype=np.int32)
-        out[:] = [self.next[0].get(c, apart) * 2 + 1 for c in range(width)]
-        for s, following in enumerate(self.next):
-            for c, to in following.items():
-                if c < width:
-                    out[s, c] = to * 2
-        out[:, PAD] = np.arange(apart + 1) * 2
-        return out.ravel()
 
+class Transitions:
+    """Steps of a suffix automaton as entries: next state * 4, plus the phrases that the symbol begins.
 
-    def rare(self, width: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Transitions of the symbols from width on: sorted keys state * symbols + symbol, their entries
-        as in table(), and the entries of these symbols where a state has no key."""
-        found = sorted((s * symbols + c, to * 2) for s, following in enumerate(self.next) for c, to in following.items() if c >= width)
-        keys, entries = np.array(found, dtype=np.int64).reshape(-1, 2).T
-        begin = np.array([self.next[0].get(c, len(self.next)) * 2 + 1 for c in range(width, symbols)], dtype=np.int32)
-        return np.append(keys, np.iinfo(np.int64).max), np.append(entries, 0).astype(np.int32), begin
+    One state more than the automaton's stands before the first symbol and after one that the sample
+    doesn't have: any symbol begins a phrase there. A symbol that the sample doesn't have counts as
+    two phrases, as there is nothing to point at and it must be spelled. Symbols below width have a full table, the others
+    are looked up among the sorted keys of the transitions there are.
+    """
+
+    def __init__(self, states: int, keys: np.ndarray, to: np.ndarray, symbols: int, width: int):
+        self.symbols, self.width, self.apart = symbols, width, states
+        self.begin = np.full(symbols, states * 4 + 2, dtype=np.int32)
+        first = keys < symbols
+        self.begin[keys[first]] = to[first] * 4 + 1
+        table = np.empty((states + 1, width), dtype=np.int32)
+        table[:] = self.begin[:width]
+        full = keys % symbols < width
+        table[keys[full] // symbols, keys[full] % symbols] = to[full] * 4
+        table[:, PAD] = np.arange(states + 1) * 4
+        self.table = table.ravel()
+        self.keys = np.append(keys[~full], np.iinfo(np.int64).max)
+        self.entries = np.append(to[~full] * 4, 0).astype(np.int32)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and the phrases begun, of states that read a symbol each."""
+        got = self.table[state * self.width + (c if self.width == self.symbols else np.where(c < self.width, c, PAD))]
+        if self.width < self.symbols and len(at := np.flatnonzero(c >= self.width)):
+            wanted = state[at].astype(np.int64) * self.symbols + c[at]
+            place = np.searchsorted(self.keys, wanted)
+            got[at] = np.where(self.keys[place] == wanted, self.entries[place], self.begin[c[at]])
+        return got >> 2, got & 3
 
 
 class CrossParser:
@@ -92,20 +108,21 @@ class CrossParser:
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         letters = [c for c, _ in Counter(c for _, text in samples for c in text.lower() if c.isalpha()).most_common()]
-        self.symbol = np.full(sys.maxunicode + 1, GAP, dtype=np.uint8 if len(letters) <= TABLED else np.int32)
+        self.symbol = np.full(sys.maxunicode + 1, GAP, dtype=np.uint8 if len(letters) <= 250 else np.int32)
         self.symbol[letter_points()] = OTHER
         for i, c in enumerate(letters):
             self.symbol[ord(c)] = 3 + i
         self.count = 3 + len(letters)
-        self.width = 3 + min(len(letters), TABLED)
         self.langs = [lang for lang, _ in samples]
-        self.tables, self.rare, self.bits = [], [], []
+        found, sizes = [], []
         for _, text in samples:
             symbols, _ = self.symbols([text])
-            automaton = SuffixAutomaton(symbols.tolist())
-            self.tables.append(automaton.table(self.width))
-            self.rare.append(automaton.rare(self.width, self.count) if self.count > self.width else None)
-            self.bits.append(np.log2(max(2, len(symbols))))
+            found.append(SuffixAutomaton(symbols.tolist()).arrays(self.count))
+            sizes.append(max(2, len(symbols)))
+        self.bits = np.log2(sizes)
+        states = sum(n + 1 for n, _, _ in found)
+        width = min(self.count, max(3, TABLE_BYTES // (4 * max(1, states))))
+        self.steps = [Transitions(*x, self.count, width) for x in found]
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts one after the other, runs of gaps as one, and each text's count."""
@@ -127,26 +144,10 @@ class CrossParser:
         within = np.arange(len(symbols)) - np.repeat(np.cumsum(counts) - counts, counts)
         grid.ravel()[row_start + within] = symbols
         steps = np.ascontiguousarray(grid.T)
-        out = np.zeros((len(texts), len(self.tables)), dtype=np.int64)
-        beyond = [np.flatnonzero(c >= self.width) for c in steps] if self.count > self.width else None
-        for k, table in enumerate(self.tables):
-            state = np.full(len(grid), len(table) // self.width - 1, dtype=np.int32)
-            begun = np.zeros(len(grid), dtype=np.int32)
-            for i, c in enumerate(steps):
-                at = beyond[i] if beyond is not None else ()
-                if len(at):
-                    keys, entries, begin = self.rare[k]
-                    wanted = state[at].astype(np.int64) * self.count + c[at]
-                    place = np.searchsorted(keys, wanted)
-                    other = np.where(keys[place] == wanted, entries[place], begin[c[at] - self.width])
-                    c = np.where(c < self.width, c, PAD)
-                state *= self.width
-                state += c
-                got = table[state]
-                if len(at):
-                    got[at] = other
-                begun += got & 1
-                state = got >> 1
+        goes_on = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        out = np.zeros((len(texts), len(self.steps)), dtype=np.int64)
+        for k, step in enumerate(self.steps):
+            begun = parsed_blocks(step, steps, goes_on)
             out[:, k] = np.bincount(owner, weights=begun, minlength=len(texts))
         text_of = np.repeat(np.arange(len(texts)), counts)
         lettered = np.bincount(text_of[symbols != GAP], minlength=len(texts)) > 0
@@ -155,19 +156,63 @@ class CrossParser:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language of fewest phrases, each weighed by the bits that point into its sample, and the
         share by which the second needs more; UNKNOWN and 0 without a letter or a sample."""
-        if not self.tables:
+        if not self.steps:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         found, _, lettered = self.phrases(texts)
-        cost = found * np.asarray(self.bits)
+        cost = found * self.bits
         order = np.argsort(cost, axis=1, kind="stable")
         rows = np.arange(len(texts))
         best = cost[rows, order[:, 0]]
-        second = cost[rows, order[:, 1]] if len(self.tables) > 1 else np.full(len(texts), np.inf)
+        second = cost[rows, order[:, 1]] if len(self.steps) > 1 else np.full(len(texts), np.inf)
         score = np.where(np.isinf(second), 1.0, 1.0 - best / np.maximum(second, 1e-9))
         langs = [self.langs[i] if ok else UNKNOWN for i, ok in zip(order[:, 0], lettered, strict=True)]
         return langs, np.where(lettered, np.clip(score, 0.0, 1.0), 0.0).tolist()
 
 
+def parsed_blocks(step: Transitions, steps: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each block, steps[:, block] being its symbols, of one parse of every text
+    from left to right; goes_on: the blocks that go on a text from the block before.
+
+    All blocks are parsed at once, as if each began a text. Those that go on one are then parsed again
+    from the state in which the block before ends, until they are in the state of the first time at the
+    same place, after which nothing differs; that takes a few symbols. One that never gets there ends
+    in another state, so the block after it is parsed again too.
+    """
+    width = steps.shape[1]
+    state, begun = np.full(width, step.apart, dtype=np.int32), np.zeros(width, dtype=np.int32)
+    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for i, c in enumerate(steps):
+        state, begins = step.step(state, c)
+        begun += begins
+        if i + 1 in LOOKS:
+            seen[i + 1] = state, begun.copy()
+    last, total, again = state.copy(), begun, goes_on
+    while len(again):
+        blocks, state, so_far = again, last[again - 1], np.zeros(len(again), dtype=np.int32)
+        changed = []
+        for i, c in enumerate(steps):
+            state, begins = step.step(state, c[blocks])
+            so_far += begins
+            if i + 1 in LOOKS:
+                then, had = seen[i + 1]
+                same = then[blocks] == state
+                if i + 1 == len(steps):
+                    total[blocks] = so_far
+                    differs = state != last[blocks]
+                    last[blocks] = state
+                    changed.extend(blocks[differs])
+                    break
+                total[blocks[same]] = so_far[same] + (seen[len(steps)][1] - had)[blocks[same]]
+                back = blocks[same & (last[blocks] != seen[len(steps)][0][blocks])]
+                last[back] = seen[len(steps)][0][back]
+                changed.extend(back)
+                blocks, state, so_far = blocks[~same], state[~same], so_far[~same]
+                if not len(blocks):
+                    break
+        again = np.intersect1d(np.unique(np.asarray(changed, dtype=np.int64)) + 1, goes_on)
+    return total
+
+
 @lru_cache(maxsize=1)
 def letter_points() -> np.ndarray:
     return np.array([i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "L"], dtype=np.uint32)
@@ -179,11 +224,12 @@ def cross_parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 
 
 def labelled_samples(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
-    """Per language, text of at most max_chars characters from at most max_docs labelled rows.
+    """Per language, text of at most max_chars characters from at most max_docs labelled documents.
 
     Rows whose crc32(doc_id) mod 3 is 1, or without lang, text or doc_id, are never learned from.
-    The rows are those of least hash in max_docs parts of a language, found by one aggregation
-    without text; each gives whole lines until its share of the characters is used up.
+    The documents are those of least hash in max_docs parts of a language, found by one aggregation
+    without text; repeated rows count once; each gives its share of the characters from the first
+    letter on. What the driver gets is at most max_chars characters of each of them.
     """
     fit = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
@@ -198,22 +244,22 @@ def labelled_samples(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: in
     )
     if not chosen:
         return ()
-    ids = {r["doc_id"] for r in chosen}
-    rows = fit.where(F.col("doc_id").isin(list(ids))).orderBy("lang", F.xxhash64("doc_id"), "text").collect()
+    wanted = {(r["lang"], r["doc_id"]) for r in chosen}
+    share = {lang: max_chars // n for lang, n in Counter(lang for lang, _ in wanted).items()}
+    letters = F.regexp_replace("text", r"^\P{L}+", "")
+    rows = (
+        fit.where(F.col("doc_id").isin(list({i for _, i in wanted})))
+        .select("lang", "doc_id", F.substring(letters, 1, max(share.values())).alias("text"))
+        .groupBy("lang", "doc_id")
+        .agg(F.min("text").alias("text"))
+        .orderBy("lang", F.xxhash64("doc_id"))
+        .collect()
+    )
     by_lang: dict[str, list[str]] = {}
     for r in rows:
-        by_lang.setdefault(r["lang"], []).append(r["text"])
-    out = []
-    for lang in sorted(by_lang):
-        texts, share, taken = by_lang[lang], max_chars // len(by_lang[lang]), []
-        for text in texts:
-            had = 0
-            for line in text.split("\n"):
-                if had < share:
-                    taken.append(line[: share - had])
-                    had += len(taken[-1])
-        out.append((lang, "\n".join(taken)))
-    return tuple(out)
+        if (r["lang"], r["doc_id"]) in wanted:
+            by_lang.setdefault(r["lang"], []).append(r["text"][: share[r["lang"]]])
+    return tuple((lang, "\n".join(by_lang[lang])) for lang in sorted(by_lang))
 
 
 def identify_languages(
@@ -223,9 +269,10 @@ def identify_languages(
     """Language of every document, by the number of phrases it needs in each language.
 
     docs: doc_id, text, lang; other columns are ignored. A language's sample becomes a suffix
-    automaton; a text is parsed from left to right into longest matches in it (cut anew every
-    BLOCK symbols, so that all blocks of a batch advance together); the language with fewest
-    phrases, weighed by the bits of a pointer into its sample, wins; ties go to the smaller name.
+    automaton; a text is parsed from left to right into longest matches in it, a letter that the
+    sample doesn't have being two phrases; the language with fewest phrases, weighed by the bits of a pointer into its sample, wins; ties go to the smaller
+    name. A worker holds at most TABLE_BYTES of tables whatever the number of languages and letters,
+    and about 2 MB of transitions a language.
 
     Returns a row for each row: doc_id, held_out, lang_pred, score, and the columns named in carry. Null text, and text without a
     letter, is 'und' with score 0, as is everything where nothing was labelled; a null doc_id is not

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm.language_id import BLOCK, CrossParser, SuffixAutomaton, identify_languages, labelled_samples
+from tallyloom.llm import language_id
+from tallyloom.llm.language_id import CrossParser, SuffixAutomaton, identify_languages, labelled_samples
 from tallyloom.llm.packing import WordTokenizer, cut_lengths, fit_leftovers, pack_documents
 from tallyloom.llm.pieces import PieceModel, encode_documents
 from tallyloom.llm.queries import tokenizer_file
@@ -98,16 +99,14 @@ def test_leftovers_fit():
 
 
 def phrases(text, sample):
-    """Greedy longest matches by substring search, cut anew every BLOCK symbols."""
-    total = 0
-    for at in range(0, len(text), BLOCK):
-        part, i = text[at : at + BLOCK], 0
-        while i < len(part):
-            n = 1
-            while i + n < len(part) and part[i : i + n + 1] in sample and part[i] in sample:
-                n += 1
-            total += 1
-            i += n
+    """Greedy longest matches by substring search; a symbol that is nowhere in the sample counts twice."""
+    total = i = 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n + 1] in sample:
+            n += 1
+        total += 1 if text[i] in sample else 2
+        i += n
     return total
 
 
@@ -216,3 +215,33 @@ def test_every_letter_keeps_its_symbol():
     for t, row in zip(texts, got, strict=True):
         assert row.tolist() == [phrases(t, s) for _, s in samples]
     assert parser.predict(texts[-2:])[0] == ["x", "y"]
+
+
+@pytest.mark.parametrize("tables", [1 << 30, 20_000, 0])
+def test_phrases_go_on_across_blocks_at_any_table_size(monkeypatch, tables):
+    monkeypatch.setattr(language_id, "TABLE_BYTES", tables)
+    r = random.Random(5)
+    long = "".join(r.choices("abc", k=4000))
+    samples = (("x", long), ("y", "ab" * 900 + "".join(r.choices("abcd", k=50))), ("z", "".join(r.choices("abcdefgh", k=500))))
+    parser = CrossParser(samples)
+    texts = [long, long[100:3100], long[7:1500] + long[2000:3900], "ab" * 3000, "c" + "ab" * 800 + "d" + "ba" * 700, "".join(r.choices("abcdh", k=2600)), "a" * 512, "a" * 513, ""]
+    for t, row in zip(texts, parser.phrases(texts)[0], strict=True):
+        assert row.tolist() == [phrases(t, s) for _, s in samples]
+
+
+def test_two_large_alphabets_beside_a_third_language():
+    r = random.Random(11)
+    alphabets = [[chr(0x4E00 + i) for i in range(1000)], [chr(0xAC00 + i) for i in range(1000)], list("abcdefghijklmnopqrstuvwxyz ")]
+    draw = lambda letters, n: "".join(r.choices(letters, k=n))
+    parser = CrossParser(tuple((f"l{i}", draw(letters, 6000)) for i, letters in enumerate(alphabets)))
+    texts = [draw(alphabets[i % 3], 200) for i in range(60)]
+    langs, scores = parser.predict(texts)
+    assert langs == [f"l{i % 3}" for i in range(60)] and min(scores) > 0
+
+
+def test_samples_are_cut_before_they_are_collected(spark):
+    rows = [(i, "... " + "wordy " * 5000, "l") for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
+    ((lang, text),) = labelled_samples(df, max_docs=8, max_chars=800)
+    parts = text.split("\n")
+    assert lang == "l" and len(text) <= 800 + len(parts) and len(parts) <= 8 and all(p.startswith("wordy ") for p in parts)
