@@ -20,9 +20,11 @@ bytes AS (SELECT doc_id, s, l, CAST(strlen(t) AS BIGINT) + 1 AS size, hex(encode
 sums AS (SELECT doc_id, s, l, size, xor(4294967295, list_reduce(
     list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, size - 1), lambda i: CAST('0x' || substr(h, CAST(2*i + 1 AS INTEGER), 2) AS BIGINT))),
     lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS INTEGER) + 1]))) AS text_crc32 FROM bytes, table_),
-placed AS (SELECT doc_id, size, text_crc32, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 2) AS salt,
-    {hilbert_positions(3, 4)}[(CAST('0x' || substr(md5(s), 1, 1) AS INTEGER) * 16 + CAST('0x' || substr(md5(l), 1, 1) AS INTEGER)) * 16
-      + least(length(bin(size)) - 1, 15) + 1] AS curve FROM sums),
+sources AS (SELECT s, CAST(16 * (sum(n) OVER (ORDER BY s) - n) // sum(n) OVER () AS INTEGER) AS sc FROM (SELECT s, count(*) AS n FROM d GROUP BY s)),
+langs AS (SELECT l, CAST(16 * (sum(n) OVER (ORDER BY l) - n) // sum(n) OVER () AS INTEGER) AS lc FROM (SELECT l, count(*) AS n FROM d GROUP BY l)),
+celled AS (SELECT doc_id, size, text_crc32, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h,
+    {hilbert_positions(3, 4)}[(sc * 16 + lc) * 16 + least(length(bin(size)) - 1, 15) + 1] AS curve FROM sums JOIN sources USING (s) JOIN langs USING (l)),
+placed AS (SELECT doc_id, size, text_crc32, curve, h % greatest(256, (count(*) OVER (PARTITION BY curve) + 99999) // 100000) AS salt FROM celled),
 numbered AS (SELECT *, row_number() OVER (ORDER BY curve, salt, doc_id NULLS FIRST, size, text_crc32) - 1 AS g, count(*) OVER () AS n FROM placed)
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(g * 8 // n AS INTEGER) AS shard, g - ((g * 8 // n) * n + 7) // 8 AS slot,
   CAST(NULL AS INTEGER) AS grown_shard, CAST(curve AS INTEGER) AS curve FROM numbered

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.line_frequency import rule_documents
 from tallyloom.llm.line_templates import drop_recurring_lines
-from tallyloom.llm.sharding import hilbert_positions, shard_documents
+from tallyloom.llm import sharding
+from tallyloom.llm.sharding import hilbert_positions, rank_bounds, shard_bounds, shard_documents
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +62,32 @@ def test_shards_follow_the_curve(spark):
     assert [r.curve for r in along] == sorted(r.curve for r in data)
 
 
+def test_cells_follow_the_order_of_values(spark):
+    names = [None, *(f"s{i:03d}" for i in range(60)), *["s030"] * 70, "é", "Z"]
+    df = spark.createDataFrame([(n,) for n in names], "source string").repartition(5)
+    bounds = rank_bounds(df, ["source"], 4)["source"]
+    want = {v: 16 * sum((x or "") < v for x in names) // len(names) for v in {n or "" for n in names}}
+    got = df.select("source", sharding.name_cell(F.col("source"), bounds).alias("cell")).distinct().collect()
+    assert {r.source or "": r.cell for r in got} == want
+    assert rank_bounds(df.where("false"), ["source"], 4) == {"source": []}
+
+
+def test_bounds_let_a_reader_skip_shards(spark):
+    rows = [(i, "x" * (1 << i % 9), f"l{i % 4}", f"site{i % 50:02d}", None) for i in range(2000)]
+    placed = shard_documents(spark.createDataFrame(rows, SCHEMA).repartition(3), carry=("source", "lang"))
+    check_shards(placed.collect(), 8)
+    bounds = shard_bounds(placed, ["source", "lang", "size"]).collect()
+    assert sum(r.rows for r in bounds) == 2000 and all(r.nulls_source == 0 for r in bounds)
+    hit = lambda c, low, high: sum(r[f"min_{c}"] <= high and r[f"max_{c}"] >= low for r in bounds)
+    assert hit("source", "site00", "site04") <= 4 and hit("lang", "l0", "l0") <= 4
+
+
+def test_large_cells_get_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 2)
+    monkeypatch.setattr(sharding, "PART_ROWS", 10)
+    check_shards(shard_documents(docs(spark, ["same"] * 300)).collect(), 8)
+
+
 def base(text):
     words = WORD.findall(text or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
