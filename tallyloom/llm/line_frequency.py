@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import blank_free_length, let, materialise, spaced, without_places, words_of
+from tallyloom.llm.common import blank_free_length, let, materialise, salted_join, without_places, words_of
 
 #: Symbols that the base rules count (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
 #: Words in a window of the repetition rule.
 WINDOW = 8
-#: Parts of a host's documents when they meet its lines over the limit, so that no task gets a whole host.
-PARTS = 32
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -43,7 +41,12 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed, along))
 
     def of(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+        """Every word is hashed once, and a window from its words' hashes."""
+
+        def windows(h: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window))))
+
+        hashes = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
         return F.when(F.size(w) < window + 1, F.lit(0)).otherwise(let(hashes, covered))
 
     return let(words, of)
@@ -111,7 +114,7 @@ def rule_documents(
 
     The text is read once; what is shuffled are line hashes, summed before the exchange. The lines
     over the limit of one host are at most (mean distinct lines of its documents) / max_share, so
-    they travel as one array a host.
+    they travel as one array a host; the documents of a hot host are dealt over salts to meet it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -138,15 +141,16 @@ def rule_documents(
         .groupBy("_host")
         .agg(F.collect_list("_h").alias("_over"))
     )
-    gone = F.coalesce(F.filter("_lines", lambda x: F.array_contains(F.col("_over"), x["h"])), F.array().cast(rows.schema["_lines"].dataType))
+    none = F.array().cast(rows.schema["_lines"].dataType)
+    found = F.array_intersect(F.transform("_lines", lambda x: x["h"]), F.col("_over"))
+    gone = let(found, lambda hit: F.when(F.size(hit) > 0, F.filter("_lines", lambda x: F.array_contains(hit, x["h"]))).otherwise(none))
+    gone = F.when(F.col("_over").isNull(), none).otherwise(gone)
     removed = F.aggregate("_gone", F.lit(0).cast("long"), lambda a, x: a + x["w"].cast("long"))
     n, again = F.col("_words")["n"], F.col("_words")["again"]
     failed = (n < min_words) | (again * 100 > n * max_repeat)
-    over = over.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    part = F.pmod(F.xxhash64("doc_id", "_copy"), F.lit(PARTS)).cast("int")
+    sizes = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_weight"))
     return (
-        rows.withColumn("_part", part)
-        .join(over, ["_host", "_part"], "left")
+        salted_join(rows, over, ["_host"], sizes, F.xxhash64("doc_id", "_copy"), "left", merge=False)
         .withColumn("_gone", gone)
         .withColumn("n_removed_words", removed)
         .withColumn("depleted", (n - F.col("n_removed_words")) < n * min_left)
