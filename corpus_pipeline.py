@@ -21,19 +21,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rules and are not depleted by lines frequent in their host,
     without those lines; n_chars follows the text that is left.
 
-    A row's verdict depends on its text and source, so rows are found again by their hash; repeated
-    rows stay or go together, null text goes (it has no words), and a null doc_id does not matter.
+    Every row has its own verdict and carries its text along, so nothing is joined back: repeated rows
+    stay or go together, null text goes (it has no words), and a null doc_id does not matter.
     """
-    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("text", "source", F.col("text").isNull(), F.col("source").isNull()))
-    kept = rule_documents(docs, carry=("_row",), with_places=True).where("kept").groupBy("_row").agg(F.first("removed_lines").alias("_gone"))
-    cut = F.size("_gone") > 0
-    return docs.join(kept, "_row").select(
-        "doc_id",
-        F.when(cut, without_lines(F.col("text"), F.col("_gone"))).otherwise(F.col("text")).alias("text"),
-        "lang",
-        "source",
-        F.when(cut, F.length(without_lines(F.col("text"), F.col("_gone"))).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
-    )
+    told = rule_documents(docs.select(*COLUMNS), carry=("text", "lang", "source", "n_chars"), with_places=True).where("kept")
+    cut = F.size("removed_lines") > 0
+    text = F.when(cut, without_lines(F.col("text"), F.col("removed_lines"))).otherwise(F.col("text"))
+    length = F.when(cut, F.length(F.col("_text")).cast("long")).otherwise(F.col("n_chars"))
+    return told.withColumn("_text", text).select("doc_id", F.col("_text").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
