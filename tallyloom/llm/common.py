@@ -14,8 +14,8 @@ from tallyloom.plans.session import own_folder, send_package
 BLANKS = "\t\n\x0b\x0c\r"
 #: A word is a maximal run of other characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: A key with more than this part of all rows is dealt over several tasks.
-HOT_PARTS = 500
+#: A key with more than this part of all rows, and more than so many rows, is dealt over several tasks.
+HOT_PARTS, FEW_ROWS = 500, 5000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,8 +61,10 @@ def salted_join(
     over the salts by spread, and unique has a row for each salt. With merge the plan is the same at
     every size; else the planner may broadcast a small unique.
     """
-    total = weights.agg(F.sum("_weight")).first()[0] or 0
-    hot = weights.where(F.col("_weight") * parts > total).select(*keys, F.ceil(F.col("_weight") * parts / F.lit(float(max(total, 1)))).cast("int").alias("_salts"))
+    total, top = weights.agg(F.sum("_weight"), F.max("_weight")).first()
+    if (top or 0) <= max(FEW_ROWS, (total or 0) // parts):
+        return rows.join(unique.hint("merge") if merge else unique, keys, how)
+    hot = weights.where(F.col("_weight") * parts > total).select(*keys, F.ceil(F.col("_weight") * parts / F.lit(float(total))).cast("int").alias("_salts"))
     hot = F.broadcast(materialise(hot.coalesce(1), "hot"))
     dealt = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
     spread_out = unique.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")

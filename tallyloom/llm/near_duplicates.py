@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialise, ready_workers, slices
+from tallyloom.llm.common import materialise, ready_workers, salted_join, slices
 
 #: Words in a shingle, and the least similarity of linked documents in hundredths.
 SHINGLE, LEAST = 5, 75
@@ -22,10 +22,11 @@ VALUES = BANDS * BAND_ROWS
 BATCH = 32
 #: A pair is given up when the posterior probability of enough similarity is below this.
 MISS = 1e-6
-#: Text bytes that are hashed at once.
-CHUNK = 1 << 20
-#: Members of a bucket up to which pairs are made as rows, and of one block of a larger bucket.
-SMALL, BLOCK = 16, 128
+#: Characters of the texts that are hashed together, and bytes at a time.
+CHUNK, PIECE = 1 << 20, 1 << 20
+#: Members of a bucket up to which pairs are made as rows, and of one block of a larger bucket, and about
+#: how many shingles a block has at most.
+SMALL, BLOCK, BLOCK_SHINGLES = 16, 128, 1 << 20
 #: Elements whose indicators are multiplied at once.
 COLUMNS = 1 << 13
 
@@ -52,7 +53,7 @@ def byte_tables() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2**64."""
+    """Powers of BASE and of its inverse, modulo 2**64, below size."""
     inverse = pow(BASE, -1, 1 << 64)
     out = []
     for base in (BASE, inverse):
@@ -73,20 +74,48 @@ def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data, and where each starts. Hashed PIECE bytes at a time; a word
+    that goes on into the next piece is put together from its parts."""
+    low, blank = byte_tables()
+    up, down = powers(PIECE)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    hashes, places, carry, carried, begun = [], [], np.uint64(0), 0, 0
+    for at in range(0, len(raw), PIECE):
+        part = raw[at : at + PIECE]
+        edges = np.diff(blank[part].astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(low[part] * up[: len(part)], out=sums[1:])
+        values = (sums[ends] - sums[starts]) * down[starts]
+        starts_at = starts + at
+        if carried:
+            if len(starts) and starts[0] == 0:
+                values[0] = np.uint64((int(carry) + int(values[0]) * pow(BASE, carried, 1 << 64)) % (1 << 64))
+                starts_at[0] = begun
+            else:
+                hashes.append(np.array([carry], dtype=np.uint64))
+                places.append(np.array([begun]))
+        carried = 0
+        if len(ends) and ends[-1] == len(part):
+            carry, begun = values[-1], int(starts_at[-1])
+            carried = at + len(part) - begun
+            values, starts_at = values[:-1], starts_at[:-1]
+        hashes.append(values)
+        places.append(starts_at)
+    if carried:
+        hashes.append(np.array([carry], dtype=np.uint64))
+        places.append(np.array([begun]))
+    return mixed(np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])), np.concatenate([np.zeros(0, dtype=np.int64), *places])
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted 64-bit hashes of each text's distinct shingles; fewer than SHINGLE words make one."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    low, blank = byte_tables()
-    size = 1 << max(21, len(data).bit_length())
-    up, down = powers(size)
-    edges = np.diff(blank[data].astype(np.int8), prepend=np.int8(1))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-    ends = ends[len(ends) - len(starts) :]
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(low[data] * up[: len(data)], out=sums[1:])
-    words = mixed((sums[ends] - sums[starts]) * down[starts])
     bounds = np.cumsum([0] + [len(r) + 1 for r in raw])
+    data = b"\n".join(raw)
+    del raw
+    words, starts = word_hashes(data)
     first = np.searchsorted(starts, bounds)
     _, _, places = draws()
     windows = np.zeros(max(0, len(words) - SHINGLE + 1), dtype=np.uint64)
@@ -230,14 +259,15 @@ def exact_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             linked = pa.array([i for i, (x, y) in enumerate(zip(left, right, strict=True)) if similar(known[x], known[y])], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(linked), batch.column("b").take(linked)], ["a", "b"])
 
-    worded = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b"
-    )
+    for side, other in (("b", "a"), ("a", "b")):
+        weights = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_weight"))
+        owned = texts.select(F.col("rep").alias(side), F.col("text").alias(f"t{side}"))
+        worded = salted_join(pairs if side == "b" else worded, owned, [side], weights, F.xxhash64(other, F.lit(3)))
     return worded.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def short_forms(texts: DataFrame) -> DataFrame:
-    """(rep, form): a text's signature and the upper halves of its shingles' hashes, in order."""
+    """(rep, form): a text's signature and its shingles' hashes, in order."""
     kind = texts.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +277,7 @@ def short_forms(texts: DataFrame) -> DataFrame:
                 sets = shingle_sets(text[a:b])
                 some = [i for i, s in enumerate(sets) if len(s)]
                 short = signatures([sets[i] for i in some])[0] if some else ()
-                forms = [sig.tobytes() + np.unique((sets[i] >> np.uint64(32)).astype(np.uint32)).tobytes() for sig, i in zip(short, some, strict=True)]
+                forms = [sig.tobytes() + sets[i].tobytes() for sig, i in zip(short, some, strict=True)]
                 reps = batch.column("rep").slice(a, b - a).take(pa.array(some, pa.int64()))
                 yield pa.RecordBatch.from_arrays([reps, pa.array(forms, pa.binary())], ["rep", "form"])
 
@@ -258,7 +288,7 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many elements each of the sets a shares with each of the sets b, by products of indicators."""
     words, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
     owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
-    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    out = np.zeros((len(a), len(b)), dtype=np.float64)
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     for low in range(0, len(words), COLUMNS):
@@ -270,9 +300,8 @@ def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def block_survivors(blocks: DataFrame) -> DataFrame:
-    """The pairs (a, b) of an outer and an inner block in different components that signatures and
-    short sets don't rule out. No pair becomes a row before that. Short hashes that meet by chance
-    only raise an intersection, which is also taken as one larger."""
+    """The pairs (a, b) of an outer and an inner block in different components that signatures don't
+    rule out and that are similar enough on their full sets. No pair becomes a row before that."""
     kind = blocks.schema["outer"].dataType.elementType["rep"].dataType.simpleString()
     head = VALUES * 2
 
@@ -281,16 +310,16 @@ def block_survivors(blocks: DataFrame) -> DataFrame:
             left, right = [], []
             for outer, inner in zip(batch.column("outer").to_pylist(), batch.column("inner").to_pylist(), strict=True):
                 both = [np.frombuffer(b"".join(x["form"][:head] for x in side), dtype=np.uint16).reshape(-1, VALUES) for side in (outer, inner)]
-                sets = [[np.frombuffer(x["form"], dtype=np.uint32, offset=head) for x in side] for side in (outer, inner)]
+                sets = [[np.frombuffer(x["form"], dtype=np.uint64, offset=head) for x in side] for side in (outer, inner)]
                 sizes = [np.array([len(x) for x in side]) for side in sets]
                 parts = [np.array([x["component"] for x in side]) for side in (outer, inner)]
-                fits = np.minimum.outer(*sizes) * 100 + 100 >= np.maximum.outer(*sizes) * LEAST
+                fits = np.minimum.outer(*sizes) * 100 >= np.maximum.outer(*sizes) * LEAST
                 i, j = np.nonzero(fits & (parts[0][:, None] != parts[1][None, :]))
                 alive = surviving(both[0][i], both[1][j])
                 if not len(alive):
                     continue
                 i, j = i[alive], j[alive]
-                both = shared_counts(*sets)[i, j] + 1
+                both = shared_counts(*sets)[i, j]
                 likely = 100 * both >= LEAST * (sizes[0][i] + sizes[1][j] - both)
                 left += [outer[k]["rep"] for k in i[likely]]
                 right += [inner[k]["rep"] for k in j[likely]]
@@ -305,7 +334,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: every node hands its larger, then its smaller,
     neighbours to the smallest one, until all are stars. A node's smallest neighbour is a minimum
-    summed before the exchange, so a node with very many links costs a row a task.
+    summed before the exchange, and the links of a node with very many are dealt over salts to meet it.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -314,8 +343,8 @@ def components(links: DataFrame) -> DataFrame:
             both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             both = edges
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u"))
-        moved = both.join(least, "u")
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("_m"), F.count(F.lit(1)).alias("_weight")), "least")
+        moved = salted_join(both, least.select("u", "_m"), ["u"], least.select("u", "_weight"), F.xxhash64("v"))
         if large:
             moved = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
         else:
@@ -377,28 +406,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         members.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct(place.alias("_place"), F.col("rep").alias("y"), F.col("n").alias("ny"))).alias("_l"))
         .where(F.col("_size") > 1)
-        .select("bucket", "_l.y", "_l.ny")
+        .select("bucket", "_l.y", "_l.ny", F.col("_size").alias("_weight"))
     )
-    met = materialise(members.join(leaders, "bucket"), "buckets")
+    leaders = materialise(leaders, "leaders")
+    met = salted_join(members, leaders.drop("_weight"), ["bucket"], leaders.select("bucket", "_weight"), F.xxhash64("rep", F.lit(5)))
+    met = materialise(met, "buckets")
     first = materialise(ordered_pairs(met.select(F.col("rep").alias("x"), F.col("n").alias("nx"), "y", "ny")), "pairs")
     involved = met.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(involved, "doc_id", "left_semi")
     texts = materialise(texts.withColumnRenamed("doc_id", "rep"), "texts")
-    links = materialise(exact_links(bayes_survivors(first, reps), texts), "links")
+    links = materialise(exact_links(materialise(bayes_survivors(first, reps), "survivors"), texts), "links")
     found = components(links)
 
     placed = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "bucket", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     placed = materialise(placed, "placed")
-    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"))
+    shares = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_shingles"))
     home = (
         shares.groupBy("bucket")
-        .agg(F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", "component")).alias("_home"))
+        .agg(F.sum("_n").alias("_size"), F.sum("_shingles").alias("_shingles"), F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", "component")).alias("_home"))
         .where(F.col("_parts") > 1)
-        .select("bucket", "_size", (F.col("_size") - F.col("_home")["_n"]).alias("_away"), F.col("_home")["component"].alias("_home"))
+        .select("bucket", "_size", "_shingles", (F.col("_size") - F.col("_home")["_n"]).alias("_away"), F.col("_home")["component"].alias("_home"))
     )
-    mixed_buckets = materialise(placed.join(home, "bucket"), "mixed")
+    home = materialise(home, "homes")
+    sizes = home.select("bucket", F.col("_size").alias("_weight"))
+    mixed_buckets = materialise(salted_join(placed, home, ["bucket"], sizes, F.xxhash64("rep", F.lit(5))), "mixed")
     away = F.col("component") != F.col("_home")
 
     small = mixed_buckets.where(F.col("_size") <= SMALL)
@@ -408,7 +441,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     large = mixed_buckets.where(F.col("_size") > SMALL)
     forms = materialise(short_forms(texts.join(large.select("rep").distinct(), "rep", "left_semi")), "forms")
-    inner_blocks, outer_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("_size", "_away"))
+    inner_blocks, outer_blocks = (F.ceil(F.greatest(F.col(c) / BLOCK, F.col("_shingles") / BLOCK_SHINGLES)).cast("int") for c in ("_size", "_away"))
     place = F.xxhash64("rep", F.lit(1))
     rows = large.join(forms, "rep").select(
         "bucket", away.alias("_out"), F.struct("rep", "component", "form").alias("_m"), inner_blocks.alias("_ni"), outer_blocks.alias("_no"),
@@ -423,8 +456,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .where((F.size("outer") > 0) & (F.size("inner") > 0))
     )
 
-    more = exact_links(bayes_survivors(second, reps).unionByName(block_survivors(blocks)).distinct(), texts)
-    more = materialise(more, "links")
+    sure = block_survivors(blocks)
+    more = materialise(exact_links(materialise(bayes_survivors(second, reps), "survivors"), texts).unionByName(sure).distinct(), "links")
     found = components(links.unionByName(more)) if not more.isEmpty() else found
 
     named = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")

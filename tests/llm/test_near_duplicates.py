@@ -92,6 +92,38 @@ def test_shingle_hashes_do_not_depend_on_the_batch():
         assert np.array_equal(nd.shingle_sets([t])[0], s) and len(s) == len(shingles(t))
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 64])
+def test_shingle_hashes_do_not_depend_on_the_pieces(monkeypatch, piece):
+    r = random.Random(9)
+    texts = [text_of(r, 30), "", " ", "x" * 500 + " y", "  lead\ttail  ", "é 🙂 " * 9, "one"]
+    whole = nd.shingle_sets(texts)
+    monkeypatch.setattr(nd, "PIECE", piece)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, nd.shingle_sets(texts), strict=True))
+
+
+def test_a_long_text_takes_few_times_its_size():
+    import tracemalloc
+
+    r = random.Random(2)
+    text = " ".join(str(r.randrange(10**6)) for _ in range(900_000))
+    nd.shingle_sets(["warm up the tables of powers"])
+    tracemalloc.start()
+    (found,) = nd.shingle_sets([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 800_000 and peak < 10 * len(text)
+
+
+def test_hot_buckets_and_hubs(spark, monkeypatch):
+    from tallyloom.llm import common
+
+    monkeypatch.setattr(common, "FEW_ROWS", 3)
+    r = random.Random(8)
+    words = text_of(r, 60).split()
+    rows = [(i, " ".join(words[:k] + [text_of(r, 1)] + words[k + 1 :])) for i, k in enumerate(r.choices(range(60), k=50))] + [(100 + i, text_of(r, 30)) for i in range(20)]
+    check(spark, rows)
+
+
 def test_posterior_bound_keeps_similar_pairs():
     r = np.random.default_rng(2)
     a = r.integers(0, 1 << 16, (3000, nd.VALUES)).astype(np.uint16)
