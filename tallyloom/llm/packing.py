@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -17,8 +18,18 @@ from tallyloom.llm.common import ready_workers, materialise
 
 #: Word-to-ids entries in each of the two generations that a worker keeps.
 CACHE_WORDS = 250_000
-#: Places over which the pieces of one class are dealt before they are numbered.
-SALTS = 256
+#: Places over which the pieces of one class are dealt before they are numbered: so many, or more with so many pieces each.
+SALTS, SALT_PIECES = 256, 100_000
+#: How tokenizer files look whose words may be looked up one by one: normaliser, splitting of text into
+#: words, and spelling of words (fixed by the file format).
+NORMALISERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+SPELLING = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Stands between words that are tokenised together.
 MARK = "\x01"
 #: Byte-level models write bytes without a printable Latin-1 character as the characters from 256 on, in order.
@@ -26,11 +37,27 @@ UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(UNPRINTED)}
 
 
+def word_by_word(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose words WordTokenizer may take apart."""
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    normal, before, model = (kind.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = normal.get("normalizers") or []
+    return (
+        [x["type"] for x in steps] == NORMALISERS
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and before.get("pretokenizers") == [SPLIT, SPELLING]
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    )
+
+
 class WordTokenizer:
     """Token ids of whole texts, with the ids of words kept.
 
     Splitting at spaces and line ends does not change the ids of a tokenizer whose pre-tokenizer
-    drops white space and never matches across it.
+    drops white space and never matches across it. A file that doesn't say so by word_by_word() is
+    used plainly, on whole texts.
     """
 
     def __init__(self, path: str):
@@ -38,6 +65,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.apart = word_by_word(path)
         self.model = self.tokenizer.model
         self.spelled = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[str, bytes] = {"": b""}
@@ -95,6 +123,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.apart:
+            return [np.asarray(self._encode(t), dtype="<u4").tobytes() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {"": b""}, self.known
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -195,13 +225,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
     with a null doc_id too; an empty table gives no rows.
 
     A piece's class and bin follow from its length and its number in the class, so workers fill
-    bins on their own: pieces are numbered in 256 salted parts of a class, and only the parts'
+    bins on their own: pieces are numbered in salted parts of a class, and only the parts'
     counts are added up. Fewer than k pieces of class k are left without a full bin; all these
-    leftovers, whose number depends on capacity alone (under 20 000 at 2048), are packed together.
+    leftovers, whose number depends on capacity alone (under 10 000 at 2048), are packed together by
+    best fit in one task, as a part-filled bin a class would be mostly padding.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     pieces = tokenised_pieces(docs, tokenizer_path, end_id, capacity, slack)
-    pieces = materialise(pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
+    pieces = materialise(pieces, "pieces")
+    salts = max(SALTS, -(-pieces.count() // SALT_PIECES))
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     parts = pieces.groupBy("class", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, 0)
     classes = parts.groupBy("class").agg(F.sum("_n").alias("_total"))

@@ -1,7 +1,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -87,6 +87,45 @@ def test_packing_of_odd_rows(spark):
     assert pack_documents(df.where("false"), path).count() == 0
 
 
+def test_full_bins_are_those_of_the_classes(spark):
+    """Held against cutting and counting by hand: class k fills its count div k bins with k pieces each."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    df = spark.read.parquet(SF)
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    want = Counter()
+    for r in df.collect():
+        rest = len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1
+        while rest:
+            size = min(rest, 2048)
+            k = 2048 // size
+            if 2048 - k * size > 64 and k < 32:
+                size = 2048 // (k + 1)
+            want[2048 // size] += 1
+            rest -= size
+    data = pack_documents(df, path).collect()
+    assert Counter(r["class"] for r in data) == want
+    bins = defaultdict(list)
+    for r in data:
+        bins[r.sequence_id].append(r["class"])
+    whole = sum(n // k for k, n in want.items())
+    assert all(len(set(bins[i])) == 1 and len(bins[i]) == bins[i][0] for i in range(whole))
+    assert Counter(bins[i][0] for i in range(whole)) == Counter({k: n // k for k, n in want.items() if n >= k})
+
+
+def test_other_tokenizer_files_are_used_plainly():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    whole, words = Tokenizer.from_file(path), WordTokenizer(path)
+    whole.encode_special_tokens = True
+    assert not words.apart and WordTokenizer(tokenizer_file("word_bpe_49k.json")).apart
+    texts = ["A line, and  another\nDon't", "", "É🙂 x"]
+    assert words.encode(texts) == [np.asarray(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 def test_leftovers_fit():
     import pandas as pd
 
