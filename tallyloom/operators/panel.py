@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Months in a period of a calendar unit.
@@ -145,6 +145,23 @@ def quarter_start(year: Column, quarter: Column) -> Column:
     return F.make_date(year.cast("int"), (3 * (quarter - 1) + 1).cast("int"), F.lit(1))
 
 
+def year_start(year: Column) -> Column:
+    return F.make_date(year.cast("int"), F.lit(1), F.lit(1))
+
+
+def month_start(year: Column, month: Column) -> Column:
+    """First day of a month; missing where there is no such month."""
+    return F.when(month.cast("int").between(1, 12), F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
+
+
+def period_starts(spark: SparkSession, start: str, periods: int, unit: str, name: str = "date") -> DataFrame:
+    """So many consecutive period starts: from start's own period if it begins there, else from the next."""
+    first = F.lit(start).cast("date")
+    begin = F.trunc(first, unit)
+    begin = F.when(begin < first, F.add_months(begin, MONTHS[unit])).otherwise(begin)
+    return spark.range(periods).select(F.add_months(begin, (F.col("id") * MONTHS[unit]).cast("int")).alias(name))
+
+
 def quarter_of_string(text: Column) -> Column:
     """First day of a quarter such as 2020Q3 or 2020:Q3."""
     return quarter_start(F.substring(text, 1, 4).cast("int"), F.right(text, F.lit(1)).cast("int"))

@@ -104,10 +104,13 @@ def lorenz(df: DataFrame, variable: str, weight: str | None = None) -> DataFrame
     shares before each (pop0, value0)."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     grouped = df.where(finite(F.col(variable)) & (w > 1e-12)).groupBy(F.col(variable).cast("double").alias("v")).agg(F.sum(w).alias("w"))
-    made = running_sums(grouped.withColumn("vw", F.col("v") * F.col("w")), [], "v", ["w", "vw"])
+    grouped = grouped.withColumns({"vw": F.col("v") * F.col("w"), "one": F.lit(1).cast("long")})
+    made = running_sums(grouped, [], "v", ["w", "vw", "one"])
     pairs = (("pop", "w"), ("value", "vw"))
     return made.select(
         "v",
+        (F.col("before_one") + 1).alias("i"),
+        F.col("total_one").alias("n"),
         *(((F.col(f"before_{c}") + F.col(c)) / F.col(f"total_{c}")).alias(n) for n, c in pairs),
         *((F.col(f"before_{c}") / F.col(f"total_{c}")).alias(f"{n}0") for n, c in pairs),
     )
@@ -122,16 +125,23 @@ def gini_trapezoid(df: DataFrame, variable: str, weight: str | None = None) -> D
 
 def gini_simpson(df: DataFrame, variable: str, weight: str | None = None) -> DataFrame:
     """Gini coefficient by Simpson's rule for irregular points, the last interval of an even number of
-    points corrected from the last three; two points are a trapezoid."""
-    along = Window.orderBy("v")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    curve = lorenz(df, variable, weight).select(
-        F.row_number().over(along).alias("i"),
-        n.alias("n"),
-        *(F.lag(c, k).over(along).alias(f"{c}{k}") for c in ("pop", "value") for k in (0, 1, 2)),
+    points corrected from the last three; two points are a trapezoid.
+
+    Every three neighbouring points meet by the number of their pair of intervals, so no task gets the curve.
+    """
+    i, n = F.col("i"), F.col("n")
+    at = F.when(i % 2 == 0, F.array(F.struct((i / 2).cast("long").alias("pair"), F.lit(1).alias("k")))).otherwise(
+        F.array(
+            F.struct(((i + 1) / 2).cast("long").alias("pair"), F.lit(2).alias("k")),
+            F.struct(((i - 1) / 2).cast("long").alias("pair"), F.lit(0).alias("k")),
+        )
     )
+    tail = F.filter(F.array(F.struct(F.lit(-1).cast("long").alias("pair"), (n - i).cast("int").alias("k"))), lambda x: (n % 2 == 0) & (x["k"] <= 2))
+    points = lorenz(df, variable, weight).select("n", "pop", "value", F.explode(F.concat(at, tail)).alias("_x")).select("n", "pop", "value", "_x.*")
+    of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
+    threes = points.groupBy("pair", "n").agg(*(of(c, k) for c in ("pop", "value") for k in (0, 1, 2)))
     h0, h1 = F.col("pop1") - F.col("pop2"), F.col("pop0") - F.col("pop1")
-    pair = (h0 + h1) / 6 * (
+    three = (h0 + h1) / 6 * (
         (2 - h1 / h0) * F.col("value2") + (h0 + h1) * (h0 + h1) / (h0 * h1) * F.col("value1") + (2 - h0 / h1) * F.col("value0")
     )
     last = (
@@ -139,14 +149,13 @@ def gini_simpson(df: DataFrame, variable: str, weight: str | None = None) -> Dat
         + (h1 * h1 + 3 * h0 * h1) / (6 * h0) * F.col("value1")
         - h1 * h1 * h1 / (6 * h0 * (h0 + h1)) * F.col("value2")
     )
-    odd_end = F.col("n") - F.when(F.col("n") % 2 == 0, 1).otherwise(0)
     area = (
-        F.when((F.col("n") == 2) & (F.col("i") == 2), (F.col("value0") + F.col("value1")) / 2 * h1)
-        .when((F.col("i") >= 3) & (F.col("i") % 2 == 1) & (F.col("i") <= odd_end), pair)
-        .when((F.col("i") >= 3) & (F.col("i") == F.col("n")) & (F.col("n") % 2 == 0), last)
+        F.when((F.col("pair") < 0) & (n == 2), (F.col("value0") + F.col("value1")) / 2 * h1)
+        .when(F.col("pair") < 0, last)
+        .when(F.col("pop0").isNotNull() & F.col("pop1").isNotNull() & F.col("pop2").isNotNull(), three)
         .otherwise(0.0)
     )
-    return curve.agg((1 - 2 * F.sum(area)).alias("gini"))
+    return threes.agg((1 - 2 * F.sum(area)).alias("gini"))
 
 
 def top_shares(df: DataFrame, variable: str, shares: Sequence[float], weight: str | None = None) -> DataFrame:

@@ -236,12 +236,12 @@ def absorb_effects(
     weight: str | None = None,
     restore_mean: bool = False,
     tolerance: float = 1e-10,
-    sweeps: int = 100,
+    sweeps: int = 1000,
 ) -> DataFrame:
     """Variables with the means of one or several groupings taken out, in place.
 
     One grouping is one pass. Several are taken out in turn until the largest group mean that is
-    left, over the variable's spread, is at most tolerance. Rows with a missing value, weight or
+    left, over the variable's spread, is at most tolerance; one that is larger after all sweeps is an error. Rows with a missing value, weight or
     group, or weight 0, are left out of the means and come back missing. Sweeps are checkpointed, so
     that neither the plan nor a lost executor's work grows.
     """
@@ -275,6 +275,8 @@ def absorb_effects(
             left = max([left, *((m or 0.0) / (whole[f"s_{c}"] or 1.0) for m, c in zip(most, variables, strict=True))])
         if left <= tolerance:
             break
+    else:
+        raise ArithmeticError(f"group means of {left:.3g} spreads are left after {sweeps} sweeps")
     made = {c: F.col(f"_r_{c}") + (F.lit(whole[f"m_{c}"] or 0.0) if restore_mean else 0.0) for c in variables}
     return out.withColumns(made).select(*df.columns)
 

@@ -36,12 +36,33 @@ def splice(old: DataFrame, new: DataFrame, date: str, cutoff: Column) -> DataFra
     return old.where(F.col(date) < cutoff).unionByName(new.where(F.col(date) >= cutoff))
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df to be sent to all tasks, if it has at most so many rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a grid that is sent to all tasks has more than {most} rows")
+    return F.broadcast(df)
+
+
 def combine_grids(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every point of one small grid with every point of another."""
-    return a.join(F.broadcast(b))
+    """Every point of one grid with every point of another, whose size is checked."""
+    return a.join(bounded(b))
+
+
+def combine_rows(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The products of all pairs of a row of a and a row of b, column by column, in the rows that share keys."""
+    left, right = ([c for c in x.columns if c not in keys] for x in (a, b))
+    joined = a.alias("a").join(b.alias("b"), list(keys))
+    return joined.select(*keys, *((F.col(f"a.{x}") * F.col(f"b.{y}")).alias(f"{x}_{y}") for x in left for y in right))
 
 
 def combine_markov_chains(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, p) of two independent chains as one over pairs: (i, k, j, l, p)."""
     b = b.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("p").alias("_q"))
-    return a.join(F.broadcast(b)).select("i", "k", "j", "l", (F.col("p") * F.col("_q")).alias("p"))
+    return a.join(bounded(b)).select("i", "k", "j", "l", (F.col("p") * F.col("_q")).alias("p"))
+
+
+def drop_low_probabilities(chain: DataFrame, least: float = 1e-6) -> DataFrame:
+    """(i, j, p) without the steps of smaller probability, the others of a state adding up to one again."""
+    kept = chain.where(F.col("p") >= least)
+    whole = kept.groupBy("i").agg(F.sum("p").alias("_whole"))
+    return kept.join(whole, "i").select("i", "j", (F.col("p") / F.col("_whole")).alias("p"))

@@ -26,12 +26,21 @@ def own_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="tallyloom-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one is made only where none is set, and kept in the settings."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = own_folder(spark)
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the folder of spark.checkpoint.dir; one is made only where none is set."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

@@ -37,9 +37,8 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, round(regr_slope(value, event_id),6) AS slope FROM events GROUP BY 1")
 def stream_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = collapse.read_stream(spark, sf_dir, "events")
-    made = collapse.run_available(collapse.stream_regression(rows, "user_id", "event_id", "value"), name(), "update")
-    last = made.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("slope", "n").alias("slope"))
-    return rounded(last, 6, "slope")
+    made = collapse.run_available(collapse.stream_regression(rows, "user_id", "event_id", "value"), name())
+    return rounded(made, 6, "slope")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 12 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyloom.plans.session import send_package
+from tallyloom.plans.session import shared_folder
 
 
 def timed(df: DataFrame, time: str, late: str) -> DataFrame:
@@ -42,29 +41,29 @@ def stream_sessions(df: DataFrame, time: str, keys: Sequence[str], gap: str, lat
 
 
 def stream_regression(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """(key, n, slope) of the line through all rows of a key so far, from moments kept as state."""
+    """(key, n, slope) of the line through all rows of a key so far, from moments that add up as rows come."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).alias(n) for n, e in (("_x", a), ("_y", b), ("_xx", a * a), ("_xy", a * b))))
+    spread = F.col("n") * F.col("_xx") - F.col("_x") * F.col("_x")
+    return sums.select(key, "n", F.when(spread != 0, (F.col("n") * F.col("_xy") - F.col("_x") * F.col("_y")) / spread).alias("slope"))
 
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, sx, sy, sxx, sxy = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0)
-        for f in frames:
-            n, sx, sy = n + len(f), sx + f[x].sum(), sy + f[y].sum()
-            sxx, sxy = sxx + (f[x] * f[x]).sum(), sxy + (f[x] * f[y]).sum()
-        state.update((int(n), float(sx), float(sy), float(sxx), float(sxy)))
-        spread = n * sxx - sx * sx
-        yield pd.DataFrame({key: [k[0]], "n": [int(n)], "slope": [(n * sxy - sx * sy) / spread if spread else None]})
 
-    send_package(df.sparkSession)
-    kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).groupBy(key).applyInPandasWithState(
-        update, f"{key} {kind}, n long, slope double", "n long, sx double, sy double, sxx double, sxy double", "update", GroupStateTimeout.NoTimeout
-    )
+def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """All that a stream has now: each batch is written as Parquet in the shared folder, and of the
+    complete results the last one is read, else all."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    done: list[str] = []
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(f"{path}/{number}")
 
-def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that a stream has now, through a memory sink."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    query = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*(done[-1:] if mode == "complete" else dict.fromkeys(done)))
 
 
 def convert_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
