@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators.panel import add_lags, ordered, shifted
 from tallyloom.operators.quantiles import finite
 
+#: Rows up to which one task may hold a window over all of them.
+WINDOW_ROWS = 1_000_000
 #: Levels of a dummy that are taken into a design at most; beyond, absorb the effect.
 MAX_LEVELS = 500
 
@@ -125,6 +127,37 @@ def symmetric_sum(df: DataFrame, k: int, value: Column) -> np.ndarray:
     return out
 
 
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds _g, the place of each row from 0 in order: ranges of rows are numbered on their own, and only
+    the ranges' sizes are added up."""
+    from tallyloom.plans.session import checkpointed
+
+    made = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = made.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select("_range", (F.sum("_size").over(before) - F.col("_size")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return made.withColumn("_place", place).join(F.broadcast(sizes), "_range").withColumn("_g", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+def lagged_scores(scored: DataFrame, order: Sequence[str], k: int, lags: int, n: int) -> DataFrame:
+    """_u<i>, and _l<i>_<j>, the same j rows before in order.
+
+    Up to WINDOW_ROWS rows are one task's. More are cut into runs of so many, and the last rows of a run
+    also go before the next one.
+    """
+    one_before = lambda along: [F.lag(f"_u{i}", j).over(along).alias(f"_l{i}_{j}") for i in range(k) for j in range(1, lags + 1)]
+    names = [f"_u{i}" for i in range(k)]
+    if n <= WINDOW_ROWS:
+        return scored.select(*names, *one_before(Window.orderBy(*order)))
+    size = max(WINDOW_ROWS, lags)
+    run = F.expr(f"_g div {size}")
+    also = F.when(F.col("_g") % size >= size - lags, F.array(run, run + 1)).otherwise(F.array(run))
+    rows = numbered(scored, order).withColumn("_own", run).withColumn("_run", F.explode(also))
+    lagged = rows.select((F.col("_own") == F.col("_run")).alias("_is"), *names, *one_before(Window.partitionBy("_run").orderBy("_g")))
+    return lagged.where("_is").drop("_is")
+
+
 def regression(
     df: DataFrame,
     formula: str,
@@ -185,10 +218,10 @@ def regression(
         groups = parts.count()
         meat = symmetric_sum(parts, k, F.lit(1.0)) * groups / (groups - 1) * (n - 1) / (n - k)
     elif hac_lags:
-        along = Window.orderBy(*(f"_k{i}" for i in range(len(order))))
         meat = symmetric_sum(design, k, score * score)
-        scored = design.select(*(f"_k{i}" for i in range(len(order))), *((score * F.col(f"_x{i}")).alias(f"_u{i}") for i in range(k)))
-        lagged = scored.select(*(f"_u{i}" for i in range(k)), *(F.lag(f"_u{i}", j).over(along).alias(f"_l{i}_{j}") for i in range(k) for j in range(1, hac_lags + 1)))
+        keys = [f"_k{i}" for i in range(len(order))]
+        scored = design.select(*keys, *((score * F.col(f"_x{i}")).alias(f"_u{i}") for i in range(k)))
+        lagged = lagged_scores(scored, keys, k, hac_lags, n)
         sums = lagged.agg(*(F.coalesce(F.sum(F.col(f"_u{a}") * F.col(f"_l{b}_{j}")), F.lit(0.0)).alias(f"_m{j}_{a}_{b}") for j in range(1, hac_lags + 1) for a in range(k) for b in range(k))).first()
         values = np.array(list(sums)).reshape(hac_lags, k, k)
         for j in range(1, hac_lags + 1):

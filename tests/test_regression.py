@@ -110,3 +110,14 @@ def test_formula_errors():
         reg.Formula.parse("y")
     made = reg.Formula.parse("y ~ a:b + log(c) + C(g) - 1")
     assert (made.terms, made.effects, made.intercept) == (("a:b", "log(c)"), ("g",), False)
+
+
+def test_lag_covariances_do_not_depend_on_the_runs(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    data = [(i, float(x), float(x + y)) for i, (x, y) in enumerate(r.normal(size=(60, 2)))]
+    df = spark.createDataFrame(data, "t int, x double, y double").repartition(5)
+    whole = reg.regression(df, "y ~ x", hac_lags=3, order=["t"])
+    monkeypatch.setattr(reg, "WINDOW_ROWS", 7)
+    cut = reg.regression(df, "y ~ x", hac_lags=3, order=["t"])
+    assert np.allclose(whole.cov, cut.cov, rtol=1e-12)
+    assert [x.t for x in reg.numbered(df, ["t"]).orderBy("_g").collect()] == list(range(60))
