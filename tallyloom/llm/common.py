@@ -57,7 +57,7 @@ def salted_join(
     """rows joined with unique, which has one row a key, so that no task gets all rows of a hot key.
 
     weights: the keys and _weight, their number of rows. Keys with more than 1 / parts of all rows,
-    of which there are fewer than parts, are collected and broadcast with a number of salts; their rows are dealt
+    of which there are fewer than parts, are broadcast with a number of salts; their rows are dealt
     over the salts by spread, and unique has a row for each salt. With merge the plan is the same at
     every size; else the planner may broadcast a small unique.
     """
@@ -65,7 +65,7 @@ def salted_join(
     if (top or 0) <= max(FEW_ROWS, (total or 0) // parts):
         return rows.join(unique.hint("merge") if merge else unique, keys, how)
     hot = weights.where(F.col("_weight") * parts > total).select(*keys, F.ceil(F.col("_weight") * parts / F.lit(float(total))).cast("int").alias("_salts"))
-    hot = F.broadcast(rows.sparkSession.createDataFrame(hot.collect(), hot.schema))
+    hot = F.broadcast(materialise(hot, "hot"))
     dealt = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
     spread_out = unique.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
     return dealt.join(spread_out.hint("merge") if merge else spread_out, [*keys, "_salt"], how).drop("_salt")

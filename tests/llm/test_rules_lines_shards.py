@@ -260,9 +260,11 @@ def test_two_variants_in_one_text_count_once(spark):
     assert [r.n_dropped for r in drop_recurring_lines(docs(spark, texts), min_docs=2).orderBy("doc_id").collect()] == [0, 1, 0]
 
 
-def test_hot_lines_and_copies_are_dealt_over_tasks(spark):
+def test_hot_lines_and_copies_are_dealt_over_tasks(spark, monkeypatch):
     from tallyloom.llm import common
 
+    monkeypatch.setattr(common, "FEW_ROWS", 3)
+
     texts = ["one line that all rows have here and there today\nown " + "z" * (i // 3) for i in range(90)]
     frame = docs(spark, texts).repartition(3)
     keys = frame.select("doc_id", F.xxhash64("source").alias("k"))
