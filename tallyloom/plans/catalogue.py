@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import aggregates, econometrics, relational, streams, timeseries
+from tallyloom.plans import aggregates, connectors, econometrics, relational, streams, timeseries
 from tallyloom.plans.registry import Query
 
-PARTS = (aggregates, timeseries, econometrics, relational, streams)
+PARTS = (aggregates, timeseries, econometrics, relational, connectors, streams)
 
 
 def queries() -> dict[str, Query]:
