@@ -24,7 +24,8 @@ MONTHS = ["1995-01", "1995-02", "1995-03"]
   FROM grid g LEFT JOIN o ON o.n = g.n AND o.m = g.m GROUP BY g.n, g.m""")
 def housing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    wide = rows.groupBy(F.col("c_nationkey").alias("RegionID")).pivot(F.date_format("o_orderdate", "yyyy-MM").alias("m"), MONTHS).agg(F.sum("o_totalprice"))
+    rows = rows.select(F.col("c_nationkey").alias("RegionID"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice")
+    wide = rows.groupBy("RegionID").pivot("month", MONTHS).agg(F.sum("o_totalprice"))
     wide = wide.withColumns({"StateCodeFIPS": F.concat(F.col("RegionID").cast("string"), F.lit(".0")), "MunicipalCodeFIPS": F.lit("7")})
     return rounded(publishers.housing_values(wide), 3, "zhvi")
 
