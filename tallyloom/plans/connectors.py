@@ -31,12 +31,12 @@ def housing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT CAST(o_custkey % 900 + 100 AS INTEGER) AS zip3, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS date, CAST(year(o_orderdate) AS INTEGER) AS year,
-  CAST(quarter(o_orderdate) AS INTEGER) AS quarter, round(avg(o_totalprice), 3) AS hpi FROM orders GROUP BY 1, 2, 3, 4""")
+  CAST(quarter(o_orderdate) AS INTEGER) AS quarter, round(avg(o_totalprice), 6) AS hpi FROM orders GROUP BY 1, 2, 3, 4""")
 def house_price_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [(F.col("o_custkey") % 900 + 100).alias("a"), F.year("o_orderdate").alias("b"), F.quarter("o_orderdate").alias("c")]
     raw = table(spark, sf_dir, "orders").groupBy(*keys).agg(F.avg("o_totalprice").alias("d")).withColumn("e", F.lit("Native"))
     titles = spark.createDataFrame([("A title", None, None, None, None), ("Code", "Year", "Quarter", "Index", "Type")], "a string, b string, c string, d string, e string")
-    return rounded(publishers.price_index(titles.union(raw.select(*(F.col(c).cast("string") for c in raw.columns))), "zip3", "quarter"), 3, "hpi")
+    return rounded(publishers.price_index(titles.union(raw.select(*(F.col(c).cast("string") for c in raw.columns))), "zip3", "quarter"), 6, "hpi")
 
 
 @query("""SELECT 10000 + CAST(c_nationkey AS BIGINT) AS zip, DATE '2014-01-01' AS date, CAST(sum(c_custkey % 3) AS DOUBLE) AS n_returns, round(sum(c_acctbal), 3) AS agi
