@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,14 +83,17 @@ def without_places(lines: Column, places: Column) -> Column:
     )
 
 
-def spaced(text: Column) -> Column:
-    """text with every white-space character as a space."""
-    return F.translate(text, BLANKS, " " * len(BLANKS))
+def single_blanks(text: Column) -> Column:
+    """text with every run of blanks inside a line as one space. Texts without tabs and the like and
+    without two spaces in a row, told by searches for bytes, are left as they are."""
+    odd = [F.contains(text, F.lit(x)) for x in ("  ", *BLANKS.replace("\n", ""))]
+    return F.when(reduce(or_, odd), F.regexp_replace(text, r"[ \t\x0B\f\r]+", " ")).otherwise(text)
 
 
 def words_of(text: Column) -> Column:
     """The words of text as an array; null text has none."""
-    return F.array_remove(F.split(spaced(F.coalesce(text, F.lit(""))), " "), "")
+    spaced = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    return F.array_remove(F.split(let(spaced, single_blanks), " "), "")
 
 
 def lower_ascii(text: Column) -> Column:
@@ -97,9 +102,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def blank_free_length(text: Column) -> Column:
-    """Code points outside white space."""
-    return F.length(F.translate(text, BLANKS + " ", ""))
+def has_word(text: Column) -> Column:
+    """Whether text has a character outside white space."""
+    return text.rlike(r"[^\x20\x09-\x0D]")
 
 
 def ready_workers(spark: SparkSession, rows: int = 1000) -> None:

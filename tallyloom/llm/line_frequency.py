@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import blank_free_length, let, materialise, salted_join, without_places, words_of
+from tallyloom.llm.common import has_word, let, materialise, salted_join, single_blanks, without_places, words_of
 
 #: Symbols that the base rules count (fixed by the contract).
 SYMBOLS = "#*$%&|<>"
@@ -53,25 +53,27 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def base_columns(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text; null has none of each."""
+    """n_symbols, n_dup_lines and _words (n, chars and again: n_words, word_chars and n_repeat_words) of
+    a text; null has none of each."""
     text = F.coalesce(text, F.lit(""))
-    worded = F.filter(F.split(text, "\n"), lambda x: blank_free_length(x) > 0)
+    worded = F.filter(F.split(text, "\n"), has_word)
     return {
-        "word_chars": blank_free_length(text).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         "n_dup_lines": let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "_words": let(
             words_of(text),
-            lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("again")),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n"),
+                F.length(F.array_join(w, "")).cast("long").alias("chars"),
+                repeated_words(w).cast("long").alias("again"),
+            ),
         ),
     }
 
 
 def normal_lines(text: Column) -> Column:
     """Array of (hash, words, place) of the lines with a word: lower case, digits as 0, blanks as one space, trimmed."""
-    plain = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.translate(plain, "123456789\t\x0b\x0c\r", "000000000    ")
-    plain = F.regexp_replace(plain, " {2,}", " ")
+    plain = let(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[1-9]", "0"), single_blanks)
     lines = F.transform(F.split(plain, "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("at")))
     return F.transform(
         F.filter(lines, lambda s: s["x"] != ""),
@@ -157,7 +159,7 @@ def rule_documents(
         .select(
             "doc_id",
             n.alias("n_words"),
-            "word_chars",
+            F.col("_words")["chars"].alias("word_chars"),
             "n_symbols",
             "n_dup_lines",
             again.alias("n_repeat_words"),

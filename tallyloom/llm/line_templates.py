@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import let, materialise, salted_join, without_places
+from tallyloom.llm.common import let, materialise, salted_join, single_blanks, without_places
 
 #: What stands for a variable field: a run of digits.
 FIELD = "0"
@@ -17,8 +17,7 @@ FIELD_TOKENS = 8
 
 def masked_text(text: Column) -> Column:
     """Lower case, blanks in a line as one space, and every run of digits as one variable field."""
-    plain = F.translate(F.lower(text), "123456789\t\x0b\x0c\r", FIELD * 9 + "    ")
-    return F.regexp_replace(F.regexp_replace(plain, " {2,}", " "), f"{FIELD}{{2,}}", FIELD)
+    return let(F.regexp_replace(F.lower(text), "[0-9]+", FIELD), single_blanks)
 
 
 def document_lines(docs: DataFrame, depth: int, min_tokens: int, with_text: bool) -> DataFrame:
