@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import reference_sql
 from tallyloom.llm.archives import archive_pages
+from tallyloom.llm.filter_audit import audit_filters
 from tallyloom.llm.html_text import extract_pages
 from tallyloom.llm.language_id import identify_languages
 from tallyloom.llm.line_frequency import rule_documents
@@ -16,6 +17,8 @@ from tallyloom.llm.near_duplicates import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.pieces import encode_documents
 from tallyloom.llm.sharding import shard_documents
+from tallyloom.llm.simhash import near_prints
+from tallyloom.llm.token_alignment import align_tokenizers
 from tallyloom.llm.topk import exact_top_k
 
 
@@ -70,6 +73,18 @@ def op10_impact_ordered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_prints(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_hilbert_sharding,
@@ -82,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_arc_to_warc,
         op9_text_density,
         op10_impact_ordered_top_k,
+        op11_postings_cogroup,
+        op12_simhash_trie,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in ops}
 
@@ -93,4 +111,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_bayesian_minhash": reference_sql.NEAR_DUPLICATES,
         "op8_arc_to_warc": reference_sql.ARCHIVES,
         "op10_impact_ordered_top_k": reference_sql.TOP_K,
+        "op13_filter_audit": reference_sql.FILTER_AUDIT,
     }

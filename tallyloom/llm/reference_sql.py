@@ -79,3 +79,28 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+FILTER_AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '{BLANK}+'), lambda x: x <> '') AS words FROM d),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+fails AS (SELECT doc_id, part, (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+    + 4 * (100 * (length(t) - length(translate(t, '{UPPER}', ''))) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > least, false)::INT AS mask FROM w JOIN firsts USING (t)),
+told AS (SELECT doc_id, max((coalesce(quality = 1, false))::INT) AS g, max((coalesce(toxic = 1, false))::INT) AS x FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(g, 0)) AS good, sum(coalesce(x, 0)) AS toxic FROM fails LEFT JOIN told USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT * FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(f)),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, s AS step, 1 << (ascii(filter_order[s]) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS before FROM orders, range(1, 6) r(s))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+  CAST(coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit <> 0), 0) AS BIGINT) AS shapley
+FROM cells, steps GROUP BY part, filter_order, step, bit, before
+"""
