@@ -170,7 +170,7 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def filled(columns: dict[str, pa.Array], types: dict[str, pa.DataType]) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(n, t)) for k, t in types.items()], list(types))
+        return pa.RecordBatch.from_arrays([columns[k].cast(t) if k in columns else pa.nulls(n, t) for k, t in types.items()], list(types))
 
     def partial(codes: np.ndarray, times: np.ndarray, types: dict[str, pa.DataType]) -> pa.RecordBatch:
         bounds = run_bounds(codes >> 32)
@@ -179,7 +179,7 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             "b": pa.array((codes >> 32)[bounds[:-1]].astype(np.int32)),
             "ids": binary((codes & 0xFFFFFFFF).astype("<u4"), bounds),
             "times": binary(times.astype("<i8"), bounds),
-            "weight": pa.array(np.add.reduceat(times, bounds[:-1]) if len(times) else times),
+            "weight": pa.array(np.add.reduceat(times, bounds[:-1]) if len(times) else times, pa.int64()),
         }
         return filled(columns, types)
 
