@@ -241,14 +241,12 @@ def long_horizon_system(fit: VectorFit, horizon: int) -> LongHorizon:
     m, a = len(fit.variables), fit.companion()
     shock = np.zeros_like(a)
     shock[:m, :m] = fit.sigma
-    total, power = shock, a  # sum of a^j shock a'^j by doubling
-    for _ in range(64):
+    if np.abs(np.linalg.eigvals(a)).max() >= 1:
+        raise ArithmeticError("the autoregression is not stable")
+    total, power, more = shock, a, shock  # sum of a^j shock a'^j by doubling
+    while np.abs(more).max() > 1e-16 * np.abs(total).max():
         more = power @ total @ power.T
         total, power = total + more, power @ power
-        if np.abs(more).max() <= 1e-16 * np.abs(total).max():
-            break
-    else:
-        raise ArithmeticError("the autoregression is not stable")
     ahead, sums, lagged = np.zeros_like(a), horizon * total, total
     for j in range(1, horizon + 1):
         lagged = a @ lagged
