@@ -402,22 +402,51 @@ class VectorFit:
         return np.array(out)
 
 
-def vector_autoregression(df: DataFrame, variables: Sequence[str], lags: int, order: Sequence[str]) -> VectorFit:
-    """Least squares of every variable on a constant and the lags of all, from one aggregation."""
+@dataclass(frozen=True)
+class VarMoments:
+    """Sums of products of (constant, lags of all variables lag by lag, variables) over n rows."""
+
+    variables: list[str]
+    lags: int
+    gram: np.ndarray
+    n: int
+
+    @property
+    def means(self) -> np.ndarray:
+        return self.gram[0, -len(self.variables) :] / self.n
+
+    def own_variances(self) -> np.ndarray:
+        """Residual variances of each variable on a constant and its own lags."""
+        m, out = len(self.variables), []
+        for i in range(m):
+            own, y = [0, *range(1 + i, 1 + m * self.lags, m)], 1 + m * self.lags + i
+            xy = self.gram[own, y]
+            out.append((self.gram[y, y] - xy @ np.linalg.solve(self.gram[np.ix_(own, own)], xy)) / self.n)
+        return np.array(out)
+
+
+def var_moments(df: DataFrame, variables: Sequence[str], lags: int, order: Sequence[str]) -> VarMoments:
+    """The moments of a vector autoregression's complete rows, in one aggregation."""
     rows = df
     for x in variables:
         rows = add_lags(rows, x, range(1, lags + 1), order)
-    terms = ["const", *(f"L{i}_{x}" for i in range(1, lags + 1) for x in variables)]
-    columns = [F.lit(1.0), *(F.col(t).cast("double") for t in terms[1:]), *(F.col(x).cast("double") for x in variables)]
+    columns = [F.lit(1.0), *(F.col(f"L{i}_{x}").cast("double") for i in range(1, lags + 1) for x in variables), *(F.col(x).cast("double") for x in variables)]
     names = [f"_x{i}" for i in range(len(columns))]
     rows = rows.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)))
     for n in names:
         rows = rows.where(finite(F.col(n)))
-    gram, k = symmetric_sum(rows, len(names), F.lit(1.0)), len(terms)
+    gram = symmetric_sum(rows, len(names), F.lit(1.0))
+    return VarMoments(list(variables), lags, gram, int(round(gram[0, 0])))
+
+
+def vector_autoregression(df: DataFrame, variables: Sequence[str], lags: int, order: Sequence[str]) -> VectorFit:
+    """Least squares of every variable on a constant and the lags of all, from one aggregation."""
+    made = var_moments(df, variables, lags, order)
+    terms, gram = ["const", *(f"L{i}_{x}" for i in range(1, lags + 1) for x in variables)], made.gram
+    k = len(terms)
     coef = np.linalg.solve(gram[:k, :k], gram[:k, k:])
-    n = int(round(gram[0, 0]))
-    sigma = (gram[k:, k:] - coef.T @ gram[:k, k:]) / n
-    return VectorFit(list(variables), terms, coef, sigma, n)
+    sigma = (gram[k:, k:] - coef.T @ gram[:k, k:]) / made.n
+    return VectorFit(list(variables), terms, coef, sigma, made.n)
 
 
 def hamilton_detrend(df: DataFrame, variable: str, order: Sequence[str], p: int = 4, h: int = 8) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import hierarchical
 from tallyloom.operators import regression as reg
 from tallyloom.operators import systems
 from tallyloom.plans.aggregates import rounded
-from tallyloom.plans.econometrics import VAR_FITS, VAR_RESIDUALS
+from tallyloom.plans.econometrics import LAGGED, VAR_FITS, VAR_RESIDUALS
 from tallyloom.plans.least_squares import least_squares
 from tallyloom.plans.registry import Catalogue
 from tallyloom.plans.session import table
@@ -74,8 +76,6 @@ EQUATIONS = ",\n  ".join(least_squares(f"e{c}", TWO_GAPS, f"d{c}", ["g", "h", "l
     + " UNION ALL ".join(f"SELECT CAST(period AS INTEGER) AS period, '{c}' AS variable, shock, round(l{c}, 4) AS response FROM r" for c in NAMES)
 )
 def error_correction_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
     made = systems.error_correction_system(three(spark, sf_dir), NAMES, [("v", ["u"]), ("n", ["u"])], 1, ["day"], 1)
     got = made.responses(6, np.eye(3))
     rows = [(t, x, s, float(got[t, i, j])) for t in range(6) for i, x in enumerate(NAMES) for j, s in enumerate(NAMES)]
@@ -101,6 +101,27 @@ def long_horizon_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "what string, value double, r2 double")
 
 
+@query(f"""WITH {VAR_FITS}, {VAR_RESIDUALS}, p AS (SELECT avg(ev * ev) AS sv, avg(en * en) AS sn FROM e),
+  t AS (SELECT unnest([0.05e0, 0.2e0, 0.5e0, 2.0e0]) AS tightness), q AS (SELECT tightness, sv, sn, sv/(tightness*tightness) AS pv, sn/(tightness*tightness) AS pn FROM p, t),
+  g AS (SELECT tightness, count(*) AS k, count(*) + 1e-6 AS a, sum(v1) AS av, sum(n1) AS an, sum(v1*v1) + any_value(pv) AS vv, sum(v1*n1) AS vn, sum(n1*n1) + any_value(pn) AS nn,
+    sum(v) AS yv, sum(v*v1) + any_value(pv) AS yvv, sum(v*n1) AS yvn, sum(n) AS yn, sum(n*v1) AS ynv, sum(n*n1) + any_value(pn) AS ynn,
+    sum(v*v) + any_value(sv + pv) AS svv, sum(v*n) AS svn, sum(n*n) + any_value(sn + pn) AS snn, any_value(pv) AS pv, any_value(pn) AS pn, any_value(sv) AS sv, any_value(sn) AS sn
+    FROM ({LAGGED}), q WHERE v1 IS NOT NULL GROUP BY tightness),
+  h AS (SELECT *, vv - av*av/a AS cvv, vn - av*an/a AS cvn, nn - an*an/a AS cnn, yvv - av*yv/a AS rvv, yvn - an*yv/a AS rvn, ynv - av*yn/a AS rnv, ynn - an*yn/a AS rnn FROM g),
+  z AS (SELECT *, cvv*cnn - cvn*cvn AS det, svv - yv*yv/a - (rvv*rvv*cnn - 2*rvv*rvn*cvn + rvn*rvn*cvv)/(cvv*cnn - cvn*cvn) AS fvv,
+    svn - yv*yn/a - (rvv*rnv*cnn - (rvv*rnn + rvn*rnv)*cvn + rvn*rnn*cvv)/(cvv*cnn - cvn*cvn) AS fvn,
+    snn - yn*yn/a - (rnv*rnv*cnn - 2*rnv*rnn*cvn + rnn*rnn*cvv)/(cvv*cnn - cvn*cvn) AS fnn FROM h)
+  SELECT tightness, round(-k*ln(pi()) + lgamma((4 + k)/2e0) + lgamma((3 + k)/2e0) - lgamma(2e0) - lgamma(1.5e0) + ln(1e-6*pv*pn) - ln(a*det) + 2*ln(sv*sn)
+    - (4 + k)/2e0*ln(fvv*fnn - fvn*fvn), 3) AS log_marginal FROM z""")
+def prior_tightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moments = reg.var_moments(daily(spark, sf_dir), ["v", "n"], 1, ["day"])
+    k = len(moments.gram) - 2
+    coef = np.linalg.solve(moments.gram[:k, :k], moments.gram[:k, k:])
+    scales = np.diag(moments.gram[k:, k:] - coef.T @ moments.gram[:k, k:]) / moments.n
+    rows = [(t, round(float(hierarchical.log_marginal(moments, hierarchical.VarPrior(t, scales))), 3)) for t in (0.05, 0.2, 0.5, 2.0)]
+    return spark.createDataFrame(rows, "tightness double, log_marginal double")
+
+
 @query("""WITH d AS (SELECT CAST(l_extendedprice AS DOUBLE)/1000 AS y, CAST(l_quantity AS DOUBLE) AS q, 1 + floor(CAST(l_quantity AS DOUBLE)/10) AS z FROM lineitem),
   m AS (SELECT count(*) AS n, avg(q) AS a, avg(z*q) AS b, avg(y) AS c, avg(z*y) AS d FROM d), one AS (SELECT (a*c + b*d)/(a*a + b*b) AS p FROM m),
   s AS (SELECT avg((y - p*q)*(y - p*q)) AS s1, avg(z*(y - p*q)*(y - p*q)) AS s2, avg(z*z*(y - p*q)*(y - p*q)) AS s3 FROM d, one),
