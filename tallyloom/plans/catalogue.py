@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import aggregates, connectors, econometrics, relational, smoothers, streams, systems, timeseries
+from tallyloom.plans import aggregates, connectors, covenants, econometrics, relational, smoothers, streams, systems, timeseries
 from tallyloom.plans.registry import Query
 
-PARTS = (aggregates, timeseries, econometrics, smoothers, systems, relational, connectors, streams)
+PARTS = (aggregates, timeseries, econometrics, smoothers, systems, covenants, relational, connectors, streams)
 
 
 def queries() -> dict[str, Query]:
