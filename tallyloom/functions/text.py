@@ -27,7 +27,7 @@ def remove_comments(text: Column, mark: str = "") -> Column:
 def to_camel_case(name: Column) -> Column:
     """snake_case as camelCase."""
     parts = F.split(name, "_")
-    rest = F.transform(F.slice(parts, 2, 1000), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1000)))
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p))))
     return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
 
@@ -36,19 +36,6 @@ def to_snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])([A-Z])", "_$1"))
 
 
-def remove_macro(text: Column, name: str) -> Column:
-    """Without a macro's one-level definition by newcommand or def."""
-    return F.regexp_replace(text, r"\\(?:newcommand\{\\" + name + r"\}|def\\" + name + r")(?:\[\d\])?[^{]*\{[^{}]*\}\n?", "")
-
-
-def replace_reference(text: Column, label: str, value: str) -> Column:
-    return F.regexp_replace(text, r"\\(?:eq)?ref\{" + re.escape(label) + r"\}", value)
-
-
-def macro_names(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\\newcommand\{\\(\w+)\}"), 1)
-
-
 def bracket_content(text: str, depth: int = 1, left: str = "(", right: str = ")") -> tuple[str, str, str] | None:
     """(before, inside, after) of the first balanced pair of brackets at a depth."""
     level, start = 0, -1
@@ -75,29 +62,6 @@ def remove_brackets(text: str, left: str = "{", right: str = "}") -> str:
     return "".join(c for i, c in enumerate(text) if i not in drop)
 
 
-def next_argument(text: str) -> tuple[str, str] | None:
-    """(argument in braces, rest) at the beginning of a text."""
-    found = bracket_content(text.lstrip(), 1, "{", "}")
-    return (found[1], found[2]) if found and not found[0] else None
-
-
-def expand_macro(text: str, name: str, body: str, n_arguments: int) -> str:
-    """Every use of a macro with #1 to #9 of its body filled in."""
-    out, rest = [], text
-    while m := re.search(r"\\" + re.escape(name) + r"(?![A-Za-z])", rest):
-        out.append(rest[: m.start()])
-        rest, arguments = rest[m.end() :], []
-        for _ in range(n_arguments):
-            got = next_argument(rest)
-            if got is None:
-                raise ValueError(f"\\{name} lacks an argument")
-            arguments.append(got[0])
-            rest = got[1]
-        filled = re.sub(r"#([1-9])", lambda d: arguments[int(d[1]) - 1] if int(d[1]) <= n_arguments else d[0], body)
-        out.append(filled)
-    return "".join(out) + rest
-
-
 def latex_table(header: Sequence[str], rows: Sequence[Sequence[object]], form: str = "4.3f") -> str:
     """A tabular of a small result."""
     cell = lambda v: format(v, form) if isinstance(v, float) else str(v)

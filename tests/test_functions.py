@@ -16,12 +16,10 @@ def test_text(spark):
     assert one(spark, "a % gone\nb \\% stays", text.remove_comments) == "a b \\% stays"
     assert one(spark, "some_snake_name", text.to_camel_case) == "someSnakeName"
     assert one(spark, "someCamelName", text.to_snake_case) == "some_camel_name"
-    assert one(spark, "see \\ref{a} and \\eqref{a}", lambda c: text.replace_reference(c, "a", "3")) == "see 3 and 3"
     assert text.bracket_content("f(a(b)c) d") == ("f", "a(b)c", " d")
     assert text.bracket_content("f(a(b)c)", 2) == ("f(a", "b", "c)")
     assert text.bracket_content("f(a") is None
     assert text.remove_brackets("a{b{c}}d{") == "abcd{"
-    assert text.expand_macro("\\f{x}{y} \\fg", "f", "#2-#1", 2) == "y-x \\fg"
     assert "1.500" in text.latex_table(["t", "b"], [("x", 1.5)])
 
 
