@@ -15,7 +15,7 @@ from tallyloom.operators.panel import add_lags, ordered, shifted
 from tallyloom.operators.quantiles import finite
 
 #: Rows up to which one task may hold a window over all of them.
-WINDOW_ROWS = 1_000_000
+WINDOW_ROWS = 100_000
 #: Levels of a dummy that are taken into a design at most; beyond, absorb the effect.
 MAX_LEVELS = 500
 
@@ -158,6 +158,19 @@ def lagged_scores(scored: DataFrame, order: Sequence[str], k: int, lags: int, n:
     return lagged.where("_is").drop("_is")
 
 
+def design_columns(rows: DataFrame, made: Formula, absorbed: bool = False, trend: int = 0) -> dict[str, Column]:
+    """The right-hand side's columns by name; dummies of an effect leave its first level out beside an intercept."""
+    names = [*(["Intercept"] if made.intercept and not absorbed else []), *made.terms, *(["t", "t2"][:trend])]
+    columns = {n: F.lit(1.0) if n == "Intercept" else F.col("t") * F.col("t") if n == "t2" and trend > 1 else term_column(n) for n in names}
+    for g in made.effects:
+        levels = [r[0] for r in rows.where(F.col(g).isNotNull()).select(g).distinct().orderBy(g).limit(MAX_LEVELS + 1).collect()]
+        if len(levels) > MAX_LEVELS:
+            raise ValueError(f"{g} has more than {MAX_LEVELS} levels; absorb it")
+        for v in levels[1 if made.intercept or absorbed else 0 :]:
+            columns[f"C({g})[{v}]"] = (F.col(g) == F.lit(v)).cast("double")
+    return columns
+
+
 def regression(
     df: DataFrame,
     formula: str,
@@ -181,15 +194,8 @@ def regression(
     made = Formula.parse(formula)
     rows = df
     if trend:
-        rows = rows.withColumn("t", F.row_number().over(Window.orderBy(*order)).cast("double"))
-    names = [*(["Intercept"] if made.intercept and not absorb else []), *made.terms, *(["t", "t2"][:trend])]
-    columns = {n: F.lit(1.0) if n == "Intercept" else F.col("t") * F.col("t") if n == "t2" and trend > 1 else term_column(n) for n in names}
-    for g in made.effects:
-        levels = [r[0] for r in rows.where(F.col(g).isNotNull()).select(g).distinct().orderBy(g).limit(MAX_LEVELS + 1).collect()]
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"{g} has more than {MAX_LEVELS} levels; absorb it")
-        for v in levels[1 if made.intercept or absorb else 0 :]:
-            columns[f"C({g})[{v}]"] = (F.col(g) == F.lit(v)).cast("double")
+        rows = numbered(rows, order).withColumn("t", (F.col("_g") + 1).cast("double")).drop("_g")
+    columns = design_columns(rows, made, bool(absorb), trend)
     names, k = list(columns), len(columns)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     extra = [F.col(c).alias(f"_k{i}") for i, c in enumerate([*order, *([cluster] if cluster else []), *absorb])]
@@ -273,8 +279,10 @@ def absorb_effects(
 ) -> DataFrame:
     """Variables with the means of one or several groupings taken out, in place.
 
-    One grouping is one pass. Several are taken out in turn until the largest group mean that is
-    left, over the variable's spread, is at most tolerance; one that is larger after all sweeps is an error. Rows with a missing value, weight or
+    Rows are summed to the cells of all groupings once, and effects are found on cells: one grouping's
+    are its means; several groupings' means are taken out in turn until the largest that a sweep
+    takes out, over the variable's spread, is at most tolerance; one that is larger after all sweeps
+    is an error. Rows meet their cell's effects once, in the end. Rows with a missing value, weight or
     group, or weight 0, are left out of the means and come back missing. Sweeps are checkpointed, so
     that neither the plan nor a lost executor's work grows.
     """
@@ -286,32 +294,41 @@ def absorb_effects(
         used &= finite(F.col(c).cast("double"))
     for g in groups:
         used &= F.col(g).isNotNull()
-    out = df.withColumn("_used", used).withColumns({f"_r_{c}": F.when(used, F.col(c).cast("double")) for c in variables}).withColumn("_aw", F.when(used, w))
-    whole = out.where("_used").agg(
-        *(F.try_divide(F.sum(F.col(f"_r_{c}") * F.col("_aw")), F.sum("_aw")).alias(f"m_{c}") for c in variables),
-        *(F.stddev_pop(f"_r_{c}").alias(f"s_{c}") for c in variables),
-    ).first()
-    def group_means(rows: DataFrame, g: str) -> DataFrame:
-        made = (F.try_divide(F.sum(F.col(f"_r_{c}") * F.col("_aw")), F.sum("_aw")).alias(f"_m_{c}") for c in variables)
-        return rows.where("_used").groupBy(g).agg(*made)
-
-    for _ in range(sweeps):
+    value = {c: F.col(c).cast("double") for c in variables}
+    sums = [F.sum(w).alias("_aw"), F.count(F.lit(1)).alias("_n")]
+    for c, v in value.items():
+        sums += [F.sum(w * v).alias(f"_r_{c}"), F.sum(v).alias(f"_s_{c}"), F.sum(v * v).alias(f"_q_{c}")]
+    cells = checkpointed(df.where(used).groupBy(*groups).agg(*sums))
+    total = [F.sum("_aw").alias("w"), F.sum("_n").alias("n")]
+    total += [F.sum(f"_{k}_{c}").alias(f"{k}_{c}") for c in variables for k in "rsq"]
+    whole = cells.agg(*total).first()
+    spread = {c: math.sqrt(max(0.0, whole[f"q_{c}"] / whole["n"] - (whole[f"s_{c}"] / whole["n"]) ** 2)) or 1.0 for c in variables} if whole["n"] else {}
+    cells = cells.select(*groups, "_aw", *(f"_r_{c}" for c in variables), *(F.lit(0.0).alias(f"_f_{c}") for c in variables))
+
+    for _ in range(sweeps if spread else 0):
+        cells = cells.withColumns({f"_d_{c}": F.lit(0.0) for c in variables})
         for g in groups:
-            out = out.join(group_means(out, g), g, "left").withColumns({f"_r_{c}": F.col(f"_r_{c}") - F.col(f"_m_{c}") for c in variables})
-            out = out.drop(*(f"_m_{c}" for c in variables))
+            means = cells.groupBy(g).agg(*((F.sum(f"_r_{c}") / F.sum("_aw")).alias(f"_m_{c}") for c in variables))
+            cells = cells.join(means, g).withColumns(
+                {f"_r_{c}": F.col(f"_r_{c}") - F.col("_aw") * F.col(f"_m_{c}") for c in variables}
+                | {f"_f_{c}": F.col(f"_f_{c}") + F.col(f"_m_{c}") for c in variables}
+                | {f"_d_{c}": F.greatest(F.col(f"_d_{c}"), F.abs(f"_m_{c}")) for c in variables}
+            ).drop(*(f"_m_{c}" for c in variables))
         if len(groups) == 1:
             break
-        out = checkpointed(out)
-        left = 0.0
-        for g in groups:
-            most = group_means(out, g).agg(*(F.max(F.abs(f"_m_{c}")) for c in variables)).first()
-            left = max([left, *((m or 0.0) / (whole[f"s_{c}"] or 1.0) for m, c in zip(most, variables, strict=True))])
-        if left <= tolerance:
+        cells = checkpointed(cells)
+        most = cells.agg(*(F.max(f"_d_{c}") for c in variables)).first()
+        taken = max((m or 0.0) / spread[c] for m, c in zip(most, variables, strict=True))
+        if taken <= tolerance:
             break
     else:
-        raise ArithmeticError(f"group means of {left:.3g} spreads are left after {sweeps} sweeps")
-    made = {c: F.col(f"_r_{c}") + (F.lit(whole[f"m_{c}"] or 0.0) if restore_mean else 0.0) for c in variables}
-    return out.withColumns(made).select(*df.columns)
+        if spread:
+            raise ArithmeticError(f"group means of {taken:.3g} spreads are left after {sweeps} sweeps")
+    effects = cells.select(*groups, *(f"_f_{c}" for c in variables))
+    mean = {c: whole[f"r_{c}"] / whole["w"] if restore_mean and whole["n"] else 0.0 for c in variables}
+    made = {c: F.when(used, value[c] - F.col(f"_f_{c}") + F.lit(mean[c])) for c in variables}
+    # one select, as a variable may be a weight or a part of what is used
+    return df.join(effects, list(groups), "left").select(*(made[c].alias(c) if c in made else F.col(c) for c in df.columns))
 
 
 def drop_singletons(df: DataFrame, groups: Sequence[str], until_none: bool = False) -> DataFrame:
@@ -355,7 +372,11 @@ def local_projection(
 ) -> DataFrame:
     """(horizon, coef, se) of y so many rows ahead on the shock, its lags, lags of y and controls.
 
-    Lags and leads are made once, within keys. Horizon 0 has HC3 errors, horizon h those of h lags.
+    Lags and leads are made once, within keys. Horizon 0 has HC3 errors, horizon h those of h lags of
+    the complete rows in order of keys and order, so at the end of a key's rows they reach into the
+    next key's. A row stands once for each horizon that it has; all horizons' moments are one
+    aggregation by horizon and all covariances another. Beyond WINDOW_ROWS rows horizons are fitted one
+    by one, their lags in runs.
     """
     w = ordered(keys, order)
     rows = add_lags(df, shock, range(1, shock_lags + 1), order, keys)
@@ -363,15 +384,58 @@ def local_projection(
     rows = rows.withColumns({f"_h{h}": shifted(F.col(y), -h, w) for h in range(periods + 1)})
     right = [shock, *(f"L{i}_{shock}" for i in range(1, shock_lags + 1)), *(f"L{i}_{y}" for i in range(1, y_lags + 1)), *controls]
     right += [f"C({g})" for g in effects]
-    rows, out = rows.persist(), []
+    formula, places = " + ".join(right), [*keys, *order]
+    columns = design_columns(rows, Formula.parse(f"_h0 ~ {formula}"))
+    k, at, out = len(columns), list(columns).index(shock), []
+    design = rows.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(places)), *(c.alias(f"_x{i}") for i, c in enumerate(columns.values())), *(f"_h{h}" for h in range(periods + 1)))
+    for i in range(k):
+        design = design.where(finite(F.col(f"_x{i}")))
+    stacked = F.explode(F.array(*(F.struct(F.lit(h).alias("h"), F.col(f"_h{h}").cast("double").alias("y")) for h in range(periods + 1))))
+    long = design.withColumn("_s", stacked).select(*(c for c in design.columns if not c.startswith("_h")), F.col("_s.h").alias("_h"), F.col("_s.y").alias("_y"))
+    long = long.where(finite(F.col("_y"))).persist()
     try:
-        for h in range(periods + 1):
-            fit = regression(rows, f"_h{h} ~ {' + '.join(right)}", hac_lags=h, order=[*keys, *order])
-            at = fit.terms.index(shock)
-            out.append((h, fit.coef[at], fit.se[at]))
+        cells = [(i, j) for i in range(k) for j in range(i, k)]
+        sums = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i, j in cells] + [F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(k)]
+        got = {r[0]: list(r[1:]) for r in long.groupBy("_h").agg(F.count(F.lit(1)), *sums).collect()}
+        if any(h not in got for h in range(periods + 1)):
+            raise ValueError("no complete rows")
+        if max(v[0] for v in got.values()) > WINDOW_ROWS:
+            for h in range(periods + 1):
+                fit = regression(rows, f"_h{h} ~ {formula}", hac_lags=h, order=places)
+                out.append((h, fit.coef[at], fit.se[at]))
+            return projection_table(df.sparkSession, out)
+        fits = {}
+        for h, (n, *v) in got.items():
+            xx = np.zeros((k, k))
+            for (i, j), m in zip(cells, v, strict=False):
+                xx[i, j] = xx[j, i] = m
+            inverse = np.linalg.inv(xx / n)
+            fits[h] = (n, np.linalg.solve(xx, np.array(v[len(cells) :])), inverse)
+        known = [(h, [float(b) for b in f[1]], [float(x) for x in f[2].ravel()], float(f[0])) for h, f in fits.items()]
+        known = df.sparkSession.createDataFrame(known, "_h int, _b array<double>, _inv array<double>, _n double")  # a row a horizon
+        told = long.join(F.broadcast(known), "_h")
+        error = F.col("_y")
+        for i in range(k):
+            error = error - F.get("_b", F.lit(i)) * F.col(f"_x{i}")
+        leverage = F.lit(0.0)
+        for i in range(k):
+            for j in range(k):
+                leverage = leverage + F.get("_inv", F.lit(i * k + j)) * F.col(f"_x{i}") * F.col(f"_x{j}")
+        keep = F.when(F.col("_h") == 0, 1 - leverage / F.col("_n")).otherwise(1.0)
+        score = error / F.col("_n") / keep
+        told = told.select("_h", *(f"_k{i}" for i in range(len(places))), *((score * F.col(f"_x{i}")).alias(f"_u{i}") for i in range(k)))
+        along = Window.partitionBy("_h").orderBy(*(f"_k{i}" for i in range(len(places))))
+        falling = lambda i: sum((F.when(F.col("_h") >= j, (1 - F.lit(float(j)) / (F.col("_h") + 1)) * F.coalesce(F.lag(f"_u{i}", j).over(along), F.lit(0.0))).otherwise(0.0) for j in range(1, periods + 1)), F.lit(0.0))
+        told = told.select("_h", *(f"_u{i}" for i in range(k)), *(falling(i).alias(f"_v{i}") for i in range(k)))
+        meats = told.groupBy("_h").agg(*(F.sum(F.col(f"_u{i}") * (F.col(f"_u{j}") + F.col(f"_v{j}"))).alias(f"_m{i}_{j}") for i in range(k) for j in range(k)), *(F.sum(F.col(f"_u{i}") * F.col(f"_u{j}")).alias(f"_d{i}_{j}") for i in range(k) for j in range(k)))
+        for r in meats.collect():
+            both, own = (np.array(r[1 + p * k * k : 1 + (p + 1) * k * k], dtype=float).reshape(k, k) for p in (0, 1))
+            _, coef, inverse = fits[r[0]]
+            cov = inverse @ (both + both.T - own) @ inverse
+            out.append((r[0], coef[at], math.sqrt(max(0.0, cov[at, at]))))
     finally:
-        rows.unpersist()
-    return projection_table(df.sparkSession, out)
+        long.unpersist()
+    return projection_table(df.sparkSession, sorted(out))
 
 
 @dataclass
