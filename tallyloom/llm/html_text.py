@@ -37,7 +37,7 @@ UNSEEN = frozenset("head title script style template noscript iframe svg canvas
 DROPPED = UNSEEN | frozenset("nav header footer aside form button input menu search label fieldset".split())
 #: Roles that mark the same.
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-#: Words in a class or id that speak for furniture. They never decide alone: see settle().
+#: Words in a class or id that speak for furniture. They only weigh what is in the element: see WEIGHT.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar header footer masthead cookie cookies consent notice notices popup modal newsletter subscribe share sharing social related "
@@ -50,8 +50,11 @@ COMPOUNDS = FURNITURE | {w + e for w in FURNITURE if len(w) > 2 for e in ENDINGS
 STATES = frozenset("no not non has have with without is off on open opened closed enabled disabled hide hidden show shown visible full".split())
 #: Names of the article itself: alone they speak for it, and before a header they make it the article's own.
 ARTICLE = frozenset("article post entry hentry content story main body text".split())
-#: Least share of link text, and least number of links, of a block in the article that is a menu.
-MENU_SHARE, MENU_LINKS = 0.8, 3
+#: Least share of link text, least number of links, and mean characters of a link's label at most, of a
+#: block in the article that is a menu.
+MENU_SHARE, MENU_LINKS, MENU_LABEL = 0.8, 3, 24
+#: What densities count for inside an element whose class or id speaks for furniture.
+WEIGHT = 0.1
 
 #: The rest of a tag after its name: quotes count only where a value begins, and nothing is looked at twice.
 REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
@@ -66,10 +69,12 @@ RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 class Node:
     """An element: what is directly in it, and sums over its subtree."""
 
-    __slots__ = ("chars", "children", "density", "doubtful", "dropped", "link_chars", "links", "open", "parent", "sum", "tag", "tags", "unseen")
+    __slots__ = ("chars", "children", "density", "doubtful", "dropped", "framed", "link_chars", "links", "open", "parent", "sum", "sure", "tag", "tags", "unseen", "weight")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False):
-        self.tag, self.parent, self.dropped, self.doubtful = tag, parent, dropped, doubtful
+    def __init__(self, tag: str, parent: Node | None, sure: bool = False, doubtful: bool = False):
+        self.tag, self.parent, self.sure, self.doubtful = tag, parent, sure, doubtful
+        self.dropped, self.weight = sure, 1.0
+        self.framed = tag in ("article", "main") or (parent is not None and parent.framed)
         self.unseen = tag in UNSEEN
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.links = 0
@@ -174,7 +179,7 @@ def parse(page: str) -> Node:
                 here = up_to(here.open[kind].parent)
         attributes = page[name.end() : at - 1]
         sure, doubtful = unwanted(tag, attributes)
-        made = Node(tag, here, here.dropped or sure, doubtful)
+        made = Node(tag, here, sure and not (tag == "header" and here.framed), doubtful)
         made.unseen = made.unseen or here.unseen
         here.children.append(made)
         if tag in RAW:
@@ -196,14 +201,8 @@ def in_order(root: Node) -> list[Node]:
     return order
 
 
-def measured(root: Node) -> list[Node]:
-    """All nodes that are shown, with their characters, tags, link characters, links and composite density.
-
-    Composite density: characters a tag, times the logarithm of (chars / link chars * tags / links) to
-    the base ln(chars / other chars * link chars + page's link share * chars + e); counts of none are
-    one. So a node of mostly links has next to none.
-    """
-    order = in_order(root)
+def counted(order: list[Node]) -> None:
+    """Characters, tags, link characters and links of all nodes, children before parents."""
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
@@ -215,6 +214,17 @@ def measured(root: Node) -> list[Node]:
                 node.links += c.links
         if node.tag == "a":
             node.link_chars, node.links = node.chars, node.links + 1
+
+
+def measured(root: Node) -> list[Node]:
+    """All nodes that are shown, with their characters, tags, link characters, links and composite density.
+
+    Composite density: characters a tag, times the logarithm of (chars / link chars * tags / links) to
+    the base ln(chars / other chars * link chars + page's link share * chars + e); counts of none are
+    one. So a node of mostly links has next to none.
+    """
+    order = in_order(root)
+    counted(order)
     page_share = root.link_chars / root.chars if root.chars else 0.0
     for node in order:
         if node.chars:
@@ -229,38 +239,26 @@ def composite_density(chars: int, tags: int, link_chars: int, links: int, page_s
 
 
 def settle(order: list[Node]) -> None:
-    """Drop the elements whose class or id speaks for furniture, but for those that hold most of the
-    page's text while no article, main or first heading stands outside; and what is in dropped ones."""
-    if any(n.doubtful for n in order):
-        chars, frames = {}, {}
-        for node in reversed(order):
-            if node.dropped:
-                chars[id(node)] = frames[id(node)] = 0
-                continue
-            inside = [c for c in node.elements() if not c.unseen]
-            own = sum(len(c) - c.count(" ") - c.count("\n") for c in node.children if isinstance(c, str))
-            chars[id(node)] = own + sum(chars[id(c)] for c in inside)
-            framed = node.tag in ("article", "main", "h1") and chars[id(node)] > 0
-            frames[id(node)] = framed + sum(frames[id(c)] for c in inside)
-        root = order[0]
-        above: dict[int, int] = {}
-        for node in order:
-            up = node.parent
-            above[id(node)] = above[id(up)] + (up.tag in ("article", "main")) if up is not None else 0
-            if node.doubtful:
-                outside = frames[id(root)] - frames[id(node)] - above[id(node)]
-                node.dropped = node.dropped or chars[id(node)] * 2 <= chars[id(root)] or outside > 0
+    """Drop what is furniture by its element or role, and all in it. Such an element with most of the
+    page's text, and no more than half of that in links, is a wrapper and stays. Names only weigh."""
+    root = order[0]
+    if not root.chars:
+        counted(order)
     for node in order:
-        node.dropped = node.dropped or (node.parent is not None and node.parent.dropped)
+        up = node.parent
+        wrapper = 2 * node.chars > root.chars and 2 * node.link_chars <= node.chars
+        node.dropped = (node.sure and not wrapper) or (up is not None and up.dropped)
+        node.weight = WEIGHT if node.doubtful or (up is not None and up.weight < 1) else 1.0
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order.
+def selected(root: Node) -> tuple[list[Node], float]:
+    """The subtrees that hold the main text, in page order, and the threshold.
 
-    The kept node with the largest sum of its kept children's densities (one without children: its own)
-    is the core. The threshold is the least density on the path from the body to it. Beside that path
-    every kept node that reaches the threshold gives its own largest-sum node, and its other nodes
-    are looked at in the same way. Of equal sums the outermost and first node counts.
+    The kept node with the largest sum of its kept children's weighted densities (one without children:
+    its own) is the core. The threshold is the least density on the path from the body to it, without
+    weights. Beside that path every kept node whose weighted density reaches the threshold gives its
+    own largest-sum node, and its other nodes are looked at in the same way. Of equal sums the
+    outermost and first node counts.
     """
     order = measured(root)
     settle(order)
@@ -269,7 +267,7 @@ def main_nodes(root: Node) -> list[Node]:
         if node.dropped:
             continue
         inside = [c for c in node.elements() if not c.dropped and not c.unseen and c.tag not in VOID]
-        node.sum = sum(c.density for c in inside) if inside else node.density
+        node.sum = sum(c.density * c.weight for c in inside) if inside else node.density * node.weight
         best = node
         for c in inside:
             if best_in[id(c)].sum > best.sum:
@@ -291,7 +289,7 @@ def main_nodes(root: Node) -> list[Node]:
             found.append(node)
             continue
         for c in reversed(node.children):
-            if isinstance(c, Node) and not c.dropped and c.chars and (id(c) in path or c.density >= threshold):
+            if isinstance(c, Node) and not c.dropped and c.chars and (id(c) in path or c.density * c.weight >= threshold):
                 if id(c) not in path:
                     best = best_in[id(c)]
                     chosen.add(id(best))
@@ -299,15 +297,27 @@ def main_nodes(root: Node) -> list[Node]:
                         path.add(id(best))
                         best = best.parent
                 todo.append(c)
-    return found
+    return found, threshold
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order; see selected()."""
+    return selected(root)[0]
 
 
 def is_menu(node: Node) -> bool:
-    """Whether a block is a list of links: nearly all of its text is, and there are several."""
-    return node.tag in BLOCKS and node.links >= MENU_LINKS and node.link_chars >= MENU_SHARE * node.chars
+    """Whether a block is a list of links with short labels: nearly all of its text is, and there are several.
+    A list of linked references, whose labels are long, is none."""
+    return node.tag in BLOCKS and node.links >= MENU_LINKS and node.link_chars >= MENU_SHARE * node.chars and node.link_chars < MENU_LABEL * node.links
+
+
+def left_out(part: Node, node: Node, threshold: float) -> bool:
+    """Whether a part of the main text's node is none of it: a menu, or an element whose name speaks for
+    furniture, with no more than half of the node's text and a weighted density below the threshold."""
+    return is_menu(part) or (part.doubtful and 2 * part.chars <= node.chars and part.density * WEIGHT < threshold)
 
 
-def blocks_of(node: Node, out: list[list[str]]) -> None:
+def blocks_of(node: Node, threshold: float, out: list[list[str]]) -> None:
     """Texts of each block of a subtree in page order; a new block begins at block elements."""
     out.append([])
     todo: list[Node | str | None] = [node]
@@ -317,7 +327,7 @@ def blocks_of(node: Node, out: list[list[str]]) -> None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif not x.dropped and not x.unseen and not (x is not node and is_menu(x)):
+        elif not x.dropped and not x.unseen and not (x is not node and left_out(x, node, threshold)):
             edge = x.tag in BLOCKS
             if edge:
                 out.append([])
@@ -331,8 +341,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found: list[list[str]] = []
-    for node in main_nodes(parse(page)):
-        blocks_of(node, found)
+    nodes, threshold = selected(parse(page))
+    for node in nodes:
+        blocks_of(node, threshold, found)
     texts = []
     for parts in found:
         text = BLANK.sub(" ", entities.unescape("".join(parts))).strip()

@@ -1,8 +1,10 @@
 import base64
 import gzip
 import hashlib
+import html
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -220,6 +222,41 @@ def test_chosen_nodes_equal_plain_definitions(seed):
     assert [places[0][id(n)] for n in got] == [places[1][id(n)] for n in brute_nodes(b)]
 
 
+WRAPPERS = "ad-free-text social-policy two-sidebar-layout page-header-fixed story-share comment-piece newsletter-issue recommended-reading promo-page comments sidebar".split()
+PARAGRAPHS = [f"This is paragraph {i} of the article, of some length and sense, and it goes on for a while." for i in range(8)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_a_name_never_takes_the_article_away(name):
+    page = f"<body><nav><a href=x>a</a><a href=y>b</a></nav><h1>Head of the whole article</h1><div class='{name}'>{BODY}</div><footer>f</footer></body>"
+    assert main_text(page).endswith(" ".join(PARAGRAPHS)) and "foot" not in main_text(page)
+
+
+def test_wrappers_references_and_headers_of_an_article_stay():
+    want = " ".join(["Head", *PARAGRAPHS])
+    assert main_text(f"<body><form id=aspnet><h1>Head</h1><div>{BODY}</div></form></body>") == " ".join(PARAGRAPHS)
+    assert main_text(f"<body><form><div><h1>Head</h1>{BODY}</div></form></body>") == want
+    references = [f"Author {i} (2001), a paper with a title of its own, in a journal" for i in range(6)]
+    page = f"<body><nav><a href=x>a</a></nav><article><h1>Head</h1>{BODY}<ul>{''.join(f'<li><a href={i}>{t}</a>' for i, t in enumerate(references))}</ul></article></body>"
+    assert main_text(page) == " ".join([want, *references])
+    assert main_text(f"<body><header><h2>Site</h2></header><article><header><h1>Head</h1></header>{BODY}</article></body>") == want
+
+
+def test_named_furniture_weighs_less():
+    want = " ".join(["Head", *PARAGRAPHS])
+    comments = "<p>I have read all of this and I do not agree at all, said a reader.</p>" * 12
+    assert main_text(f"<body><article><h1>Head</h1>{BODY}</article><section class=comments>{comments}</section></body>") == want
+    assert main_text(f"<body><article><h1>Head</h1><div class=share>Tell others</div>{BODY}<div class=related><p>Read another story too</p></div></article></body>") == want
+
+
+def test_given_pages_give_their_articles(spark):
+    for name, page in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect():
+        article = page[page.index("<article>") + 9 : page.index("</article>")]
+        plain = html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|br|h1|ul|li)\b[^>]*>", " ", article)))
+        assert main_text(page) == " ".join(plain.split()), name
+
+
 def test_menus_inside_and_parts_beside_the_article():
     links = "".join(f"<li><a href={i}>some other story {i}</a></li>" for i in range(6))
     page = f"<body><div>{ARTICLE}<ul>{links}</ul></div><div><p>Last part of the same story, which stands in a block of its own here.</p></div></body>"
