@@ -161,3 +161,22 @@ def gmm(moments: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarr
         if np.abs(move).max() < 1e-12:
             break
     return x
+
+
+def stationary_by_doubling(transition: np.ndarray, start: np.ndarray | None = None, tolerance: float = 1e-12, most: int = 500) -> np.ndarray:
+    """The shares that a chain settles at from start (even shares by default): each round looks twice as far
+    ahead as the last, so a slow chain takes few. A chain that goes round is an error."""
+    p = np.asarray(transition, dtype=float)
+    shares = np.full(len(p), 1 / len(p)) if start is None else np.asarray(start, dtype=float)
+    for _ in range(most):
+        ahead = shares @ p
+        if max(np.abs(ahead - shares).max(), np.abs(ahead @ transition - ahead).max()) < tolerance:
+            return ahead / ahead.sum()
+        shares, p = ahead, p @ p
+    raise ArithmeticError(f"shares did not settle in {most} rounds")
+
+
+def without_rare_moves(transition: np.ndarray, least: float = 1e-6) -> np.ndarray:
+    """A transition matrix without chances below least, its rows again adding up to one."""
+    p = np.where(np.asarray(transition, dtype=float) < least, 0.0, transition)
+    return p / p.sum(axis=1, keepdims=True)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,10 +57,3 @@ def remove_brackets(text: str, left: str = "{", right: str = "}") -> str:
         elif c == right and opened:
             drop |= {opened.pop(), i}
     return "".join(c for i, c in enumerate(text) if i not in drop)
-
-
-def latex_table(header: Sequence[str], rows: Sequence[Sequence[object]], form: str = "4.3f") -> str:
-    """A tabular of a small result."""
-    cell = lambda v: format(v, form) if isinstance(v, float) else str(v)
-    lines = [" & ".join(header) + r" \\ \hline", *(" & ".join(map(cell, r)) + r" \\" for r in rows)]
-    return "\\begin{tabular}{l" + "c" * (len(header) - 1) + "}\n" + "\n".join(lines) + "\n\\end{tabular}\n"

@@ -50,6 +50,27 @@ class Formula:
         return cls(y.strip(), tuple(terms), tuple(effects), intercept)
 
 
+def formula_of(y: str, terms: Sequence[str], effects: Sequence[str] = (), intercept: bool = True, more: str = "") -> str:
+    """The formula of a left side, terms, dummies of effects and what else is to be added."""
+    right = [*terms, *(f"C({g})" for g in effects), *([more] if more else [])]
+    if not right and not intercept:
+        raise ValueError("a formula without a right side")
+    return f"{y} ~ {' + '.join(right or ['1'])}" + ("" if intercept else " - 1")
+
+
+def lag_terms(variable: str, lags: int) -> list[str]:
+    """The names of lags 1 to lags of a variable."""
+    return [f"L{i}_{variable}" for i in range(1, lags + 1)]
+
+
+def projection_formula(horizon: int, y: str, shock: str, shock_lags: int = 2, y_lags: int = 1, controls: Mapping[str, int] | Sequence[str] = (), effects: Sequence[str] = ()) -> str:
+    """A local projection's formula: y so many rows ahead on the shock, its lags, lags of y and of controls
+    (one each, or as many as said)."""
+    own = controls if isinstance(controls, Mapping) else dict.fromkeys(controls, 1)
+    right = [shock, *lag_terms(shock, shock_lags), *lag_terms(y, y_lags), *(t for c, n in own.items() for t in lag_terms(c, n))]
+    return formula_of(f"F{horizon}_{y}" if horizon else y, right, effects)
+
+
 def term_column(term: str) -> Column:
     """A term's values: a name, a product a:b, or log, exp, sqrt, abs, square of one."""
     if ":" in term:
@@ -79,12 +100,17 @@ class Fit:
     def se(self) -> np.ndarray:
         return np.sqrt(np.clip(np.diag(self.cov), 0, None))
 
-    def table(self) -> DataFrame:
+    def rows(self) -> list[tuple[str, float, float, float | None, float | None]]:
         """(term, coef, se, t, p), p from the normal distribution."""
         rows = []
         for name, b, s in zip(self.terms, self.coef.tolist(), self.se.tolist(), strict=True):
             t = b / s if s else None
             rows.append((name, b, s, t, math.erfc(abs(t) / math.sqrt(2)) if t is not None else None))
+        return rows
+
+    def table(self) -> DataFrame:
+        """rows() as a table."""
+        rows = self.rows()
         return self.design.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
 
     def combination(self, weights: Mapping[str, float]) -> tuple[float, float]:

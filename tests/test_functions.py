@@ -20,7 +20,6 @@ def test_text(spark):
     assert text.bracket_content("f(a(b)c)", 2) == ("f(a", "b", "c)")
     assert text.bracket_content("f(a") is None
     assert text.remove_brackets("a{b{c}}d{") == "abcd{"
-    assert "1.500" in text.latex_table(["t", "b"], [("x", 1.5)])
 
 
 def test_numerics(spark):
