@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.plans.aggregates import rounded
 from tallyloom.plans.registry import Catalogue
-from tallyloom.plans.session import table
-from tallyloom.sources import publishers
+from tallyloom.plans.session import shared_folder, table
+from tallyloom.sources import loan_archives, publishers
 
 catalogue = Catalogue()
 query = catalogue.query
@@ -77,6 +78,21 @@ def canonical_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("loan_amount_000s >= 100")
 
 
+@query(f"""SELECT CAST(year(o_orderdate) AS BIGINT) AS activity_year, {LOAN} AS loan_amount_000s, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey % 1000 AS DOUBLE) END AS applicant_income_000s,
+  CAST(o_custkey % 7 AS BIGINT) AS applicant_race_1, CAST(o_orderkey % 10000000 AS VARCHAR) AS sequence_number, '2010' AS source_year, 'nara' AS source FROM orders WHERE {LOAN} >= 200""")
+def loan_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as fixed-width records of a year, converted once and loaded under canonical names."""
+    values = {
+        "asof_date": F.year("o_orderdate"), "loan_amt": F.floor(F.col("o_totalprice") / 1000), "app_race_1": F.col("o_custkey") % 7, "seq_num": F.col("o_orderkey") % 10000000,
+        "app_income": F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_custkey") % 1000).cast("string")).otherwise("NA"),
+    }
+    fields = [F.lpad(values.get(name, F.lit("")).cast("string"), width, " ") for name, width in loan_archives.LATER_FIELDS]
+    root = f"{shared_folder(spark)}/loans-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").select(F.concat(*fields).alias("value")).write.text(f"{root}/raw/nara/2010/records")
+    columns = ["activity_year", "loan_amount_000s", "applicant_income_000s", "applicant_race_1", "sequence_number"]
+    return loan_archives.LoanArchive(spark, root).load(2010, "nara", columns, F.col("loan_amount_000s") >= 200, canonical=True, convert=True)
+
+
 @query("""SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS date, round(sum(o_totalprice), 3) AS hh_total_assets_level, CAST(count(*) AS DOUBLE) AS nfc_loans_flow
   FROM orders GROUP BY 1""")
 def flow_of_funds(spark: SparkSession, sf_dir: str) -> DataFrame:

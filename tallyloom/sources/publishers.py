@@ -70,9 +70,9 @@ LOAN_ALIASES = {
     "app_ethnicity": "applicant_ethnicity", "co_app_ethnicity": "co_applicant_ethnicity",
     "app_race": "applicant_race_1", "co_app_race": "co_applicant_race_1", "app_sex": "applicant_sex",
     "co_app_sex": "co_applicant_sex", "seq_num": "sequence_number",
-}
+} | {f"{old}_race_{i}": f"{new}_race_{i}" for old, new in (("app", "applicant"), ("co_app", "co_applicant")) for i in range(1, 6)}
 
-#: Canonical loan columns that are shared by the layouts read here, with their types.
+# Canonical loan columns that are shared by the layouts read here, with their types.
 LOAN_TYPES = {
     "activity_year": "long", "respondent_id": "string", "lei": "string", "agency_code": "string", "loan_type": "long",
     "loan_purpose": "long", "occupancy_type": "long", "property_type": "long", "preapproval": "long",
@@ -80,8 +80,9 @@ LOAN_TYPES = {
     "county_code": "string", "census_tract": "string", "applicant_ethnicity": "long", "co_applicant_ethnicity": "long",
     "applicant_race_1": "long", "co_applicant_race_1": "long", "applicant_sex": "long", "co_applicant_sex": "long",
     "applicant_income_000s": "double", "purchaser_type": "long", "denial_reason_1": "long", "denial_reason_2": "long",
-    "denial_reason_3": "long", "edit_status": "string", "sequence_number": "string",
-}
+    "denial_reason_3": "long", "edit_status": "string", "sequence_number": "string", "rate_spread": "string",
+    "hoepa_status": "long", "lien_status": "long",
+} | {f"{side}_race_{i}": "long" for side in ("applicant", "co_applicant") for i in range(1, 6)}
 
 # Short forms in the names of flow-of-funds series, and what the first letters of a code say.
 FLOW_WORDS = (
