@@ -35,16 +35,17 @@ def ar1_paths(spark: SparkSession, rho: float, sd: float, periods: int, paths: i
 
 
 def cir_paths(spark: SparkSession, rho: float, sd: float, periods: int, paths: int, mean: float = 0.0, start: float | None = None, bound: bool = False, seed: int = 0) -> DataFrame:
-    """(path, t, x): autoregressions whose shocks grow with the square root of the state, which is kept
-    from falling below zero by bound."""
+    """(path, t, x): autoregressions whose shocks grow with the square root of the state's size; with bound, a
+    state that falls below zero comes back with its sign turned, the first one too."""
     shocks = normals(F.col("id"), periods, seed)
 
     def step(xs: Column, e: Column) -> Column:
         x = F.element_at(xs, -1)
-        y = mean + rho * (x - mean) + sd * F.sqrt(F.greatest(x, F.lit(0.0))) * e
-        return F.concat(xs, F.array(F.greatest(y, F.lit(0.0)) if bound else y))
+        y = mean + rho * (x - mean) + sd * F.sqrt(F.abs(x)) * e
+        return F.concat(xs, F.array(F.abs(y) if bound else y))
 
-    along = F.aggregate(shocks, F.array(F.lit(mean if start is None else float(start))), step)
+    first = mean if start is None else float(start)
+    along = F.aggregate(shocks, F.array(F.lit(abs(first) if bound else first)), step)
     return spark.range(paths).select(F.col("id").alias("path"), F.posexplode(along).alias("t", "x")).where("t > 0")
 
 

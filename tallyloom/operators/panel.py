@@ -168,9 +168,11 @@ def quarter_of_string(text: Column) -> Column:
 
 
 def positional_dates(df: DataFrame, start: str, unit: str, order: Sequence[str], name: str = "date") -> DataFrame:
-    """Adds consecutive period starts in the order of rows, from start."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn(name, F.add_months(F.lit(start).cast("date"), place * MONTHS[unit]).cast("date"))
+    """Adds consecutive period starts in the order of rows, from start; ranges of rows are numbered on their own."""
+    from tallyloom.operators.regression import numbered
+
+    date = F.add_months(F.lit(start).cast("date"), F.col("_g").cast("int") * MONTHS[unit]).cast("date")
+    return numbered(df, order).withColumn(name, date).drop("_g")
 
 
 def deflate(df: DataFrame, prices: DataFrame, date: str, variables: Sequence[str], index: str, log: bool = False) -> DataFrame:
@@ -226,7 +228,8 @@ def detrend_time(df: DataFrame, variables: Sequence[str], order: Sequence[str],
 
 
 def rolling_forecast(df: DataFrame, y: str, x: str, order: Sequence[str], least: int) -> DataFrame:
-    """Adds forecast: y of a row from the line through all earlier rows, once there are least of them."""
+    """Adds forecast: y of a row from the line through all earlier rows, once there are least of them. The rows are
+    one series, whose running sums are one task's by nature; a panel's are spread by calling it on each group's aggregates."""
     past = ordered((), order).rowsBetween(Window.unboundedPreceding, -1)
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
     n = F.count(F.lit(1)).over(past)

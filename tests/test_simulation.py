@@ -48,6 +48,18 @@ def test_paths(spark):
     assert end[0] == pytest.approx(2, abs=0.1) and end[1] == pytest.approx(1 / 0.75, rel=0.15) and end[2] == 3000
     assert x.orderBy("path", "t").head(5) == simulation.ar1_paths(spark, 0.5, 1.0, 20, 3000, mean=2.0, seed=4).repartition(3).orderBy("path", "t").head(5)
     assert simulation.cir_paths(spark, 0.9, 0.5, 30, 50, mean=0.1, bound=True).agg(F.min("x")).first()[0] >= 0
+    free = simulation.cir_paths(spark, 0.9, 0.5, 30, 50, mean=0.1, start=-0.2)
+    below = free.where("x < 0").count()
+    turned = simulation.cir_paths(spark, 0.9, 0.5, 30, 50, mean=0.1, start=-0.2, bound=True)
+    assert below > 0 and turned.where("t = 1 and x < 0").isEmpty() and turned.agg(F.min("x")).first()[0] >= 0
+    ids = [r["path"] for r in free.where("t = 1").select("path").collect()]
+    shocks = dict(spark.range(50).select("id", simulation.normals(F.col("id"), 30, 0).alias("e")).collect())
+    got = {(r["path"], r["t"]): r["x"] for r in free.collect()}
+    for i in ids[:3]:
+        x = -0.2
+        for t in range(1, 31):
+            x = 0.1 + 0.9 * (x - 0.1) + 0.5 * abs(x) ** 0.5 * shocks[i][t - 1]
+            assert abs(got[i, t] - x) < 1e-9
     p = np.array([[0.9, 0.1], [0.4, 0.6]])
     chain = simulation.chain_paths(spark, p, 40, 1000, start=[0.8, 0.2], seed=1)
     assert chain.count() == 40_000 and chain.agg(F.avg("state")).first()[0] == pytest.approx(0.2, abs=0.03)
