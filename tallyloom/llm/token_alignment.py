@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -12,16 +13,19 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm.common import HOT_PARTS, materialise, ready_workers, slices
+from tallyloom.llm.common import materialise, ready_workers, slices
 
 #: Characters of the texts that are aligned together.
 CHUNK = 1 << 22
 #: Pairs of ids a task sums up before it hands them on, and contributions to documents summed at once.
 PAIRS, SUMS = 1 << 21, 1 << 22
+#: Groups of B ids, which bound the rows a text has before its sums; cells that all groups are cut into at
+#: least, and postings (pairs of a text) of a cell at most, about.
+GROUPS, CELLS, POSTINGS = 32, 512, 1 << 22
 #: Texts of these characters only are split into words alike by both libraries whatever their Unicode version.
 PLAIN = re.compile("[\x00-ɏ‐-‧]*")
 #: The splitting pattern of the byte-level tokenizer. Fixed value.
@@ -49,6 +53,26 @@ class Side:
             digits[i, : self.digits[i]] = np.frombuffer(str(i).encode(), dtype=np.uint8)
         self.decimal = digits[:, : int(self.digits.max()) + 1].copy()
 
+        self.flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other."""
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def given_back(self, ids: list[np.ndarray], data: list[bytes]) -> np.ndarray:
+        """Which texts' ids have exactly their bytes."""
+        fits = np.array([int(self.lengths[x].sum()) == len(d) > 0 for x, d in zip(ids, data, strict=True)])
+        some = np.flatnonzero(fits)
+        if len(some):
+            want = np.frombuffer(b"".join(data[k] for k in some), dtype=np.uint8)
+            same = self.bytes_of(np.concatenate([ids[k] for k in some])) == want
+            sizes = np.array([len(data[k]) for k in some])
+            fits[some] = np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)
+        return fits
+
 
 class ByteSide(Side):
     """A byte-level vocabulary file. Plain texts go through ranks made from the file, whose ids are
@@ -96,31 +120,42 @@ def sides(a_path: str, b_path: str) -> tuple[ByteSide, PieceSide]:
 
 
 class Aligned:
-    """The tokens of several texts, laid end to end: text by text, both sides cover the same bytes."""
+    """The tokens of several texts, laid end to end: text by text, both sides cover the same bytes.
+
+    Both sides' ends are in order, so all that follows is found by counting along: a link is a stretch
+    between neighbouring ends, inside one token of each side.
+    """
 
     def __init__(self, a: Side, b: Side, ids_a: list[np.ndarray], ids_b: list[np.ndarray]):
-        self.a, self.b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids_a, ids_b))
+        none = np.zeros(0, np.int64)
+        self.a, self.b = (np.concatenate([none, *x]) for x in (ids_a, ids_b))
         self.first_a, self.first_b = (np.cumsum([0] + [len(x) for x in ids]) for ids in (ids_a, ids_b))
-        self.end_a, self.end_b = np.cumsum(a.lengths[self.a]), np.cumsum(b.lengths[self.b])
-        self.cuts = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
-        every = np.union1d(self.end_a, self.end_b)
-        #: A link is a stretch between neighbouring ends, inside one token of each side.
-        self.link_a, self.link_b = np.searchsorted(self.end_a, every), np.searchsorted(self.end_b, every)
-
-    def owner(self) -> np.ndarray:
-        """The text of each link."""
-        return np.searchsorted(self.first_a, self.link_a, side="right") - 1
+        end_a, end_b = np.cumsum(a.lengths[self.a]), np.cumsum(b.lengths[self.b])
+        over = np.searchsorted(end_a, end_b)  # the A token that each B end lies in or ends
+        shared = end_a[over] == end_b if len(end_a) else np.zeros(0, dtype=bool)
+        alone = over[~shared]
+        inside = np.bincount(alone, minlength=len(end_a))
+        cut = np.zeros(len(end_a), dtype=bool)
+        cut[over[shared]] = True
+        #: The group of each token: how many common ends come before it.
+        self.group_a, self.group_b = np.cumsum(cut) - cut, np.cumsum(shared) - shared
+        self.n_groups = int(cut.sum())
+        self.link_a = np.repeat(np.arange(len(end_a)), 1 + inside)
+        ends = np.zeros(len(self.link_a), dtype=np.int64)  # whether a link ends with a B token
+        ends[np.arange(len(alone)) + alone] = 1
+        ends[(np.arange(len(end_a)) + np.cumsum(inside))[over[shared]]] = 1
+        self.link_b = np.cumsum(ends) - ends
+        #: The text of each link.
+        self.owner = np.repeat(np.repeat(np.arange(len(ids_a)), np.diff(self.first_a)), 1 + inside)
 
     def groups_text(self, a: Side, b: Side) -> tuple[bytes, np.ndarray]:
         """`a1,a2|b1;a3|b2,b3;` of all texts in one, and where each text ends in it."""
-        group_a, group_b = np.searchsorted(self.cuts, self.end_a), np.searchsorted(self.cuts, self.end_b)
-        n = len(self.cuts)
-        count_a, count_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
-        place_a = np.arange(len(self.a)) + (np.cumsum(count_b) - count_b)[group_a]
-        place_b = np.arange(len(self.b)) + np.cumsum(count_a)[group_b]
+        count_a, count_b = (np.bincount(g, minlength=self.n_groups) for g in (self.group_a, self.group_b))
+        place_a = np.arange(len(self.a)) + (np.cumsum(count_b) - count_b)[self.group_a]
+        place_b = np.arange(len(self.b)) + np.cumsum(count_a)[self.group_b]
         width = max(a.decimal.shape[1], b.decimal.shape[1])
         cells, used = np.zeros((len(self.a) + len(self.b), width), dtype=np.uint8), np.empty(len(self.a) + len(self.b), dtype=np.int64)
-        for side, ids, group, place, mark in ((a, self.a, group_a, place_a, b"|"), (b, self.b, group_b, place_b, b";")):
+        for side, ids, group, place, mark in ((a, self.a, self.group_a, place_a, b"|"), (b, self.b, self.group_b, place_b, b";")):
             cells[place, : side.decimal.shape[1]] = side.decimal[ids]
             used[place] = side.digits[ids] + 1
             last = np.r_[group[1:] != group[:-1], True] if len(group) else np.zeros(0, dtype=bool)
@@ -195,13 +230,12 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 part = texts[low:high]
                 spaced = [f" {t}" for t in part]
                 ids_a, ids_b = a.encode(spaced), b.encode(part)
-                for k, t in enumerate(spaced):
-                    data = t.encode("utf-8", "surrogatepass")
-                    if not part[k] or any(b"".join(map(s.raw.__getitem__, x[k].tolist())) != data for s, x in ((a, ids_a), (b, ids_b))):
-                        ids_a[k] = ids_b[k] = np.zeros(0, np.int64)
+                data = [t.encode("utf-8", "surrogatepass") for t in spaced]
+                whole = a.given_back(ids_a, data) & b.given_back(ids_b, data)
+                none = np.zeros(0, np.int64)
+                ids_a, ids_b = ([x if part[k] and whole[k] else none for k, x in enumerate(ids)] for ids in (ids_a, ids_b))
                 tokens = Aligned(a, b, ids_a, ids_b)
-                owner = tokens.owner()
-                n = len(part)
+                owner, n = tokens.owner, len(part)
                 text, ends = tokens.groups_text(a, b)
                 n_links = np.bincount(owner, minlength=n)
                 n_a, n_b = np.diff(tokens.first_a), np.diff(tokens.first_b)
@@ -216,13 +250,14 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     "groups_sha256": pa.array([hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]),
                 }
                 yield filled(columns, types)
-                # a link's B id, A id and text in one number; texts of a batch are few
-                pair = tokens.b[tokens.link_b] << 32 | tokens.a[tokens.link_a]
-                distinct, place = np.unique(pair, return_inverse=True)
-                codes = np.sort(place * n + owner)
+                # a link's B id, A id and text in one number, sorted once; texts of a batch are few
+                codes = np.sort((tokens.b[tokens.link_b] * len(a.raw) + tokens.a[tokens.link_a]) * n + owner)
                 bounds = run_bounds(codes)
                 codes, times = codes[bounds[:-1]], np.diff(bounds)
-                pair = distinct[codes // n]
+                pair = codes // n
+                firsts = run_bounds(pair)
+                distinct, sums = pair[firsts[:-1]], np.add.reduceat(times, firsts[:-1]) if len(times) else times
+                pair, distinct = (x // len(a.raw) << 32 | x % len(a.raw) for x in (pair, distinct))
                 starts = run_bounds(pair >> 32)
                 columns = {
                     "kind": pa.array(["posting"] * (len(starts) - 1)),
@@ -234,7 +269,7 @@ def aligned_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     "weight": pa.array(np.diff(starts)),
                 }
                 yield filled(columns, types)
-                held.append((distinct, np.bincount(place, minlength=len(distinct))))
+                held.append((distinct, sums))
                 if sum(len(x) for x, _ in held) > PAIRS:
                     held = [together(held)]
                     if len(held[0][0]) > PAIRS:
@@ -271,44 +306,47 @@ def whole_counts(partials: DataFrame) -> DataFrame:
 
 
 def contributions(cells: DataFrame) -> DataFrame:
-    """(row, n_best, count_sum): what each B id's postings add to texts, several rows a text.
+    """(row, n_best, count_sum): what the postings of a cell's B ids add to its texts, mostly a row a text.
 
-    cells: b, salt, then partial rows (kind 0) and posting rows (kind 1). Sorted inside a task, so a B
-    id's partial counts come first: they give the counts of its pairs and their highest, and the
-    postings stream by, of which no more than an Arrow batch is held.
+    cells: group, slice, b, then for each b its counts (kind 0) and postings (kind 1). Sorted inside
+    a task, so a B id's counts come first, with their maximum, and the postings stream by, of which
+    no more than an Arrow batch is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present, parts, totals, held = None, [], None, []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flushed() -> pa.RecordBatch:
             rows, best, counts = together(held)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(best), pa.array(counts)], ["row", "n_best", "count_sum"])
 
+        known, top, cell = None, 0, None
         for batch in batches:
-            b, salt, kind, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "salt", "kind", "row"))
-            bounds = run_bounds(b.astype(np.int64) << 32 | salt.astype(np.int64) << 1 | kind)
-            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if (b[x], salt[x]) != present:
-                    present, parts, totals = (b[x], salt[x]), [], None
+            group, part, b, kind, row = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "slice", "b", "kind", "row"))
+            bounds = run_bounds(part * GROUPS + group)
+            inner = run_bounds(b << 1 | kind)
+            for x, y in itertools.pairwise(np.union1d(bounds, inner).tolist()):
+                if held and (group[x], part[x]) != cell and sum(len(h[0]) for h in held) > SUMS // 4:
+                    yield flushed()  # a cell's texts are mostly its own
+                cell = (group[x], part[x])
                 ids, times = (b"".join(batch.column(c).slice(x, y - x).to_pylist()) for c in ("ids", "times"))
                 ids = np.frombuffer(ids, "<u4").astype(np.int64)
                 if kind[x] == 0:
-                    parts = [together([*parts, (ids, np.frombuffer(times, "<i8"))])]
+                    known = ids, np.frombuffer(times, "<i8")
+                    top = known[1].max()
                     continue
-                totals = together(parts) if totals is None else totals
                 texts = batch.column("texts").slice(x, y - x).to_pylist()
-                owner = np.repeat(row[x:y].astype(np.int64), [len(t) // 4 for t in texts]) + np.frombuffer(b"".join(texts), "<u4")
+                owner = np.repeat(row[x:y], [len(t) // 4 for t in texts]) + np.frombuffer(b"".join(texts), "<u4")
                 times = np.frombuffer(times, "<u4").astype(np.int64)
-                count = totals[1][np.searchsorted(totals[0], ids)]
-                held.append((owner, times * (count == totals[1].max()), times * count))
+                count = known[1][np.searchsorted(known[0], ids)]
+                held.append((owner, times * (count == top), times * count))
             if sum(len(h[0]) for h in held) > SUMS:
                 yield flushed()
         if held:
             yield flushed()
 
-    return cells.select("b", "salt", "kind", "row", "ids", "texts", "times").mapInArrow(run, "row long, n_best long, count_sum long")
+    return cells.select("group", "slice", "b", "kind", "row", "ids", "texts", "times").mapInArrow(run, "row long, n_best long, count_sum long")
 
 
 def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -322,23 +360,26 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     empty digest. Repeated rows and null doc_id get a row each; an empty table gives none. A text's tokens are
     in memory together, as both libraries give them.
 
-    Multiplicities by text are shuffled by B id, after partial counts of the same id; a B id with over
-    1 / HOT_PARTS of all postings is dealt over salts, each of which gets its counts, summed before.
+    Multiplicities by text are shuffled by B id in groups, each cut into slices by text, as many as its
+    postings ask for, so a B id with a third of all postings is no single task's and a text has at most
+    GROUPS rows before its sums however many tasks there are. Counts are summed inside tasks first,
+    then by B id, and go to every slice of their group.
     """
     found = materialise(aligned_documents(docs, a_path, b_path), "aligned")
     documents, postings, partials = (found.where(F.col("kind") == k).drop("kind") for k in ("document", "posting", "partial"))
-    weights = postings.groupBy("b").agg(F.sum("weight").alias("_weight"))
-    weights = materialise(weights, "weights")
-    total = weights.agg(F.sum("_weight")).first()[0] or 0
-    hot = weights.where(F.col("_weight") * HOT_PARTS > total).select("b", F.ceil(F.col("_weight") * HOT_PARTS / F.lit(float(max(total, 1)))).cast("int").alias("_salts"))
-    hot = F.broadcast(materialise(hot, "hot"))  # fewer than HOT_PARTS rows
-    own = postings.join(hot, "b", "left").select(
-        "b", F.coalesce(F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int"), F.lit(0)).alias("salt"), F.lit(1).alias("kind"), "row", "ids", "texts", "times"
+    group = F.pmod(F.xxhash64("b"), F.lit(GROUPS)).cast("int").alias("group")
+    weights = materialise(postings.groupBy(group).agg(F.sum("weight").alias("_weight")), "weights")
+    total = F.sum("_weight").over(Window.partitionBy())  # GROUPS rows
+    slices = F.ceil(F.greatest(F.col("_weight") / POSTINGS, F.col("_weight") * CELLS / total)).cast("int")
+    slices = F.broadcast(materialise(weights.select("group", slices.alias("_slices")), "slices"))
+    own = postings.withColumn("group", group).join(slices, "group").select(
+        "group", F.pmod(F.xxhash64("row"), F.col("_slices")).cast("int").alias("slice"), "b", F.lit(1).alias("kind"), "row", "ids", "texts", "times"
     )
-    few = partials.join(hot, "b", "left_anti").select("b", F.lit(0).alias("salt"), "ids", "times")
-    often = whole_counts(partials.join(hot, "b", "left_semi")).join(hot, "b").select("b", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("salt"), "ids", "times")
-    heads = few.unionByName(often).select("b", "salt", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("row"), "ids", F.lit(None).cast("binary").alias("texts"), "times")
-    cells = own.unionByName(heads).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+    heads = whole_counts(partials).withColumn("group", group).join(slices, "group").select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("slice"), "b", F.lit(0).alias("kind"),
+        F.lit(0).cast("long").alias("row"), "ids", F.lit(None).cast("binary").alias("texts"), "times",
+    )
+    cells = own.unionByName(heads).repartition("group", "slice").sortWithinPartitions("group", "slice", "b", "kind")
     sums = contributions(cells).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     told = documents.join(sums, "row", "left")
     zero = F.lit(0).cast("long")

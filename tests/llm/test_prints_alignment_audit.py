@@ -151,7 +151,7 @@ def files():
 @pytest.mark.parametrize("small", [False, True])
 def test_alignment_is_that_of_brute_force(spark, monkeypatch, small):
     if small:  # pieces of little, B ids dealt over salts
-        for name, value in (("CHUNK", 50), ("PAIRS", 10), ("SUMS", 20), ("HOT_PARTS", 6)):
+        for name, value in (("CHUNK", 50), ("PAIRS", 10), ("SUMS", 20), ("GROUPS", 3), ("CELLS", 7), ("POSTINGS", 40)):
             monkeypatch.setattr(token_alignment, name, value)
     r = random.Random(8)
     rows = list(enumerate(TEXTS)) + [(100 + i, " ".join(r.choices(["the", "of", "Tokenization", "überall", "1999", "a.b", "e e"], k=r.randrange(1, 40)))) for i in range(30)]
