@@ -239,9 +239,11 @@ def bayes_survivors(pairs: DataFrame, signatures_of: DataFrame) -> DataFrame:
             alive = pa.array(surviving(*both), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(alive), batch.column("b").take(alive)], ["a", "b"])
 
-    signed = pairs.join(signatures_of.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(
-        signatures_of.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b"
-    )
+    signed = pairs
+    for side, other in (("b", "a"), ("a", "b")):
+        weights = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_weight"))
+        own = signatures_of.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}"))
+        signed = salted_join(signed, own, [side], weights, F.xxhash64(other, F.lit(7)))
     return signed.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -355,9 +357,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(edges, "edges")
 
     def settled(e: DataFrame) -> bool:
-        """Whether every node has one edge, to a node without one."""
+        """Whether every node has one edge, to a node without one. A star's edges are one row before they
+        meet others."""
         most = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        return (most or 0) <= 1 and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
+        return (most or 0) <= 1 and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
     while not settled(edges):
         edges = materialise(star(star(edges, True), False), "edges")
@@ -396,7 +399,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = (
         sets.where(F.col("class").isNotNull())
         .groupBy("class")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.first("n_shingles").alias("n"),
+            F.first("signature").alias("signature"),
+            F.first("bands").alias("bands"),
+            F.count(F.lit(1)).alias("_weight"),
+        )
     )
     classes = materialise(classes, "classes")
     reps = classes.where(F.col("rep").isNotNull())
@@ -461,15 +470,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links.unionByName(more)) if not more.isEmpty() else found
 
     named = classes.select("class", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("class", F.coalesce("component", "rep").alias("_component"))
-    return (
-        sets.select("doc_id", "n_shingles", "class")
-        .join(named, "class", "left")
-        .withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("_component")))
-        .select(
-            "doc_id",
-            "n_shingles",
-            "component_id",
-            F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
-        )
+    named = named.select("class", F.coalesce("component", "rep").alias("component_id"))
+    rows = sets.select("doc_id", "n_shingles", "class")
+    worded = salted_join(rows.where("class is not null"), named, ["class"], classes.select("class", "_weight"), F.xxhash64("doc_id", F.lit(9)))
+    wordless = rows.where("class is null").withColumn("component_id", F.col("doc_id"))
+    return worded.unionByName(wordless).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
     )
