@@ -100,3 +100,13 @@ def flow_of_funds(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "orders").groupBy(quarter.alias("date")).agg(F.round(F.sum("o_totalprice"), 3).alias("FL15.Q"), F.count(F.lit(1)).alias("FA10.Q"))
     words = spark.createDataFrame([("FL15.Q", "Households; total assets"), ("FA10.Q", " Nonfinancial corporate business; loans"), ("FL99.Q", "not in the table")], "code string, name string")
     return publishers.flow_table(raw, words, kinds=True)
+
+
+@query("""WITH q AS (SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS date, round(sum(o_totalprice), 3) AS a, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1)
+  SELECT date, a AS assets, n AS gross_income FROM q""")
+def flow_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The household set from two tables that have one of its series each."""
+    quarter = F.concat(F.year("o_orderdate").cast("string"), F.lit(":Q"), F.quarter("o_orderdate").cast("string"))
+    sums = table(spark, sf_dir, "orders").groupBy(quarter.alias("date")).agg(F.round(F.sum("o_totalprice"), 3).alias("a"), F.count(F.lit(1)).alias("n"))
+    tables = {"b101": sums.select("date", F.col("a").alias("FL152000005.Q"), F.lit("ND").alias("other.Q")), "f101": sums.select("date", F.col("n").alias("FA156010001.Q"))}
+    return publishers.flow_set(tables.get, publishers.FLOW_SETS["household"])[0]

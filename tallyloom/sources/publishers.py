@@ -6,13 +6,13 @@ but a table's own dictionary of column names."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.joins import crosswalk_allocate
-from tallyloom.operators.panel import quarter_start, year_start
+from tallyloom.operators.joins import crosswalk_allocate, merge_date_many
+from tallyloom.operators.panel import positional_dates, quarter_start, year_start
 from tallyloom.operators.reshape import to_long
 from tallyloom.sources.contracts import ContractError, canonical, normalize_columns, require_columns
 
@@ -84,13 +84,56 @@ LOAN_TYPES = {
     "hoepa_status": "long", "lien_status": "long",
 } | {f"{side}_race_{i}": "long" for side in ("applicant", "co_applicant") for i in range(1, 6)}
 
-# Short forms in the names of flow-of-funds series, and what the first letters of a code say.
+# Short forms in the names of flow-of-funds series; sets of variables with their tables and codes,
+# and codes that older vintages have; and what the first letters of a code say.
 FLOW_WORDS = (
     ("households_and_nonprofit_organization", "hh_np"),
     ("households", "hh"),
     ("nonfinancial_corporate_business", "nfc"),
     ("domestic_financial_sectors", "fc"),
+    ("consumption_of_fixed_capital_structures_equipment_and_intellectual_property_products_including_equity_reit_residential_structures_nipa_basis_", "cons_fixed_capital"),
+    ("capital_formation_net_includes_equity_reit_residential_structures_ima_", "net_capital_formation"),
+    ("gross_fixed_capital_formation_with_equity_reit_residential_structures_ima_", "gross_capital_formation"),
 )
+FLOW_SETS = {
+    "household": {
+        "assets": ("b101", "FL152000005"), "nonfinancial_assets": ("b101", "LM152010005"), "real_estate": ("b101", "LM155035015"),
+        "real_estate_nonprofit": ("b101", "LM165035005"), "consumer_durables": ("b101", "LM155111005"), "residential_mortgages": ("b101", "FL153165105"),
+        "consumer_credit": ("b101", "FL153166000"), "disposable_income": ("f101", "FA156012005"), "gross_income": ("f101", "FA156010001"),
+        "personal_taxes": ("f101", "FA156210005"), "net_worth": ("b101", "FL152090005"), "residential_mortgages_flow": ("f101", "FA153165105"),
+    },
+    "financial": {
+        "assets": ("l108", "FL704090005"), "liabilities": ("l108", "FL794190005"), "equity": ("l108", "LM793164105"), "loans": ("l108", "FL794023005"),
+        "checkable_deposits": ("l108", "FL794023005"), "time_savings_deposits": ("l108", "FL794023005"), "money_market_shares": ("l108", "FL794023005"),
+    },
+    "banks": {
+        "assets": ("l110", "FL704090005"), "liabilities": ("l110", "FL704190005"), "loans": ("l110", "FL704023005"),
+        "checkable_deposits": ("l110", "FL703127005"), "time_savings_deposits": ("l110", "FL703130005"),
+    },
+    "corporate": {
+        "financial_assets": ("b103", "FL104090005"), "liabilities": ("b103", "FL104190005"), "nonfin_assets": ("b103", "LM102010005"),
+        "assets": ("b103", "FL102000005"), "assets_book": ("b103", "FL102000115"), "net_worth_book": ("b103", "FL102090005"),
+        "net_worth_market": ("b103", "FL102090005"), "equities_outstanding_market": ("b103", "LM103164105"), "fdi_equity": ("b103", "LM103192105"),
+        "gross_investment": ("f103", "FA105090005"), "gross_investment_fin": ("f108", "FA795090005"), "net_dividends": ("f103", "FA106121075"),
+        "net_new_equity": ("f103", "FA103164103"), "net_new_paper": ("f103", "FA103169100"), "net_new_bonds": ("f103", "FA103163003"),
+        "corp_equities_wealth": ("b101", "LM153064105"), "noncorp_business_wealth": ("b101", "LM152090205"), "mutual_fund_wealth": ("b101", "LM153064205"),
+        "equities_outstanding_incl_fin": ("b1", "LM883164105"), "equities_outstanding_market_fin": ("l108", "LM793164105"),
+        "net_new_equity_fin": ("f108", "FA793164105"), "net_dividends_fin": ("f3", "FA796121073"), "profits_pretax": ("f103", "FA106060005"),
+        "profits_pretax_iva_cca": ("f103", "FA146060035"), "corp_taxes": ("f103", "FA106231005"), "iva": ("f103", "FA105020601"),
+        "foreign_ret_earnings": ("f103", "FA106006065"), "capex": ("f103", "FA105050005"), "debt_securities": ("b103", "FL104122005"),
+        "corporate_bonds": ("b103", "FL103163003"), "loans": ("b103", "FL104123005"), "loans_depository": ("b103", "FL103168005"),
+        "foreign_deposits": ("b103", "FL103091003"), "checkable_deposits": ("b103", "FL103020000"), "time_savings_deposits": ("b103", "FL103030003"),
+        "mmf_shares": ("b103", "FL103034000"), "repos": ("b103", "FL102051003"), "debt_securities_asset": ("b103", "LM104022005"),
+        "loans_asset": ("b103", "FL104023005"), "mortgages": ("b103", "FL103165005"), "nonfinancial_assets_hist_cost": ("b103", "FL102010115"),
+        "net_capital_transfers": ("f103", "FA105440005"), "cca": ("f103", "FA106300015"), "net_financial_assets": ("f103", "FA104090005"),
+        "net_financial_assets_fin": ("f108", "FA794090005"), "net_liabilities": ("f103", "FA104194005"), "net_liabilities_fin": ("f108", "FA794190005"),
+        "discrepancy": ("f103", "FA107005005"), "discrepancy_fin": ("f108", "FA797005005"), "misc_liabilities": ("b103", "FL103190005"),
+        "new_debt_securities": ("f103", "FA104122005"), "new_loans": ("f103", "FA104123005"), "new_debt_securities_fin": ("f108", "FA794122005"),
+        "new_loans_fin": ("f108", "FA794123005"), "closed_end_funds": ("l123", "LM554090005"), "exchange_traded_funds": ("l124", "LM564090005"),
+        "mutual_fund_shares_liab": ("l108", "LM653164205"), "corp_equities_asset_fin": ("l108", "LM793064105"), "corp_equities_asset": ("b103", "LM103064103"),
+    },
+}
+FLOW_FORMER = (("net_new_equity", "f103", "FA103164105"), ("checkable_deposits", "b103", "FL103020005"), ("equities_outstanding_market", "b103", "LM103164103"))
 FLOW_KINDS = {"FA": "flow", "FU": "flow", "FV": "volume", "FR": "revaluation", "FL": "level", "LM": "level"}
 
 
@@ -250,6 +293,54 @@ def flow_table(raw: DataFrame, dictionary: DataFrame | None = None, kinds: bool
     return raw.select(date.alias("date"), *(named(c).cast("string").try_cast("double").alias(names.get(c, c)) for c in series))
 
 
+def flow_set(
+    tables: Callable[[str], DataFrame | None], wanted: Mapping[str, tuple[str, str]], former: Iterable[tuple[str, str, str]] = (), columns: Iterable[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """(table by date, names that no table has): variables from several tables, side by side on their dates.
+
+    tables(name): a raw table, or None if there is none. wanted: variable to (table, series code without
+    its frequency), as in FLOW_SETS; former: (variable, table, code) under which older vintages have a
+    variable that the first code does not find. Only the series asked for are read from a table.
+    """
+    names = [c for c in (sorted(wanted) if columns is None else columns) if c in wanted]
+    older = list(former)
+    frames, found = [], set()
+    for name in sorted({wanted[c][0] for c in names}):
+        raw = tables(name)
+        if raw is None:
+            continue
+        series = {}
+        for c in names:
+            codes = [code for t, code in (wanted[c], *((t, k) for v, t, k in older if v == c)) if t == name]
+            have = [f"{k}.Q" for k in codes if f"{k}.Q" in raw.columns]
+            if have:
+                series[c] = have[0]
+        if series:
+            found |= set(series)
+            table = flow_table(raw.select("date", *(named(k) for k in dict.fromkeys(series.values()))))
+            frames.append(table.select("date", *(named(k).alias(c) for c, k in series.items())))
+    if not frames:
+        raise ContractError("no table has any of these series")
+    return merge_date_many(frames).select("date", *(c for c in names if c in found)), [c for c in names if c not in found]
+
+
+def positional_flows(raw: DataFrame, series: Mapping[str, str], order: str, start: str = "1945-10-01", since: str = "1951-10-01") -> DataFrame:
+    """Series of a print file, whose rows are quarters from start on in the order of a column, from since on."""
+    picked = raw.select(F.col(order).alias("_at"), *(named(c).cast("string").try_cast("double").alias(n) for c, n in series.items()))
+    return positional_dates(picked, start, "quarter", ["_at"]).drop("_at").where(F.col("date") >= since).select("date", *series.values())
+
+
+def read_prn(spark: SparkSession, path: str) -> DataFrame:
+    """A print file: names in its first line, values between spaces, all as text; _at is the place of a row."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\\r?\\n"), lambda x: F.trim(x) != "")).alias("_at", "value"))
+    head = lines.where("_at = 0").first()
+    if head is None:
+        raise ContractError(f"{path} is empty")
+    names = [n.strip('"') for n in head["value"].split()]
+    parts = F.split(F.trim("value"), r"\s+")
+    return lines.where("_at > 0").select("_at", *(F.replace(F.get(parts, F.lit(i)), F.lit('"'), F.lit("")).alias(n) for i, n in enumerate(names)))
+
+
 def flow_names(dictionary: DataFrame, series: Sequence[str], kinds: bool) -> dict[str, str]:
     name = F.regexp_replace(F.trim(F.lower("name")), r"\W+", "_")
     for long, short in FLOW_WORDS:

@@ -103,3 +103,29 @@ def test_flow_tables(spark):
     assert publishers.resolve_table("b103", ["S11_1_b"], {"B.103": "S11.1.b"}) == "S11_1_b"
     with pytest.raises(ValueError):
         publishers.resolve_table("b104", ["S11_1_b"], {"B.103": "S11.1.b"})
+
+
+def test_sets_of_flow_variables(spark):
+    b = spark.createDataFrame([("2000:Q1", "1", "5", "x"), ("2000:Q2", "ND", "6", "y")], "date string, `FL103020005.Q` string, `FL104090005.Q` string, `ZZ.Q` string")
+    f = spark.createDataFrame([("2000:Q2", 2.5), ("2000:Q3", 3.5)], "date string, `FA105050005.Q` double")
+    asked = []
+
+    def tables(name):
+        asked.append(name)
+        return {"b103": b, "f103": f}.get(name)
+
+    made, missing = publishers.flow_set(tables, publishers.FLOW_SETS["corporate"], publishers.FLOW_FORMER, ["capex", "checkable_deposits", "financial_assets", "discrepancy_fin", "iva", "no such"])
+    assert made.columns == ["date", "capex", "checkable_deposits", "financial_assets"] and missing == ["discrepancy_fin", "iva"] and asked == ["b103", "f103", "f108"]
+    assert rows(made, "date") == [(day("2000-01-01"), None, 1.0, 5.0), (day("2000-04-01"), 2.5, None, 6.0), (day("2000-07-01"), 3.5, None, None)]
+    with pytest.raises(ContractError):
+        publishers.flow_set(lambda _: None, publishers.FLOW_SETS["banks"])
+
+
+def test_print_files(spark, tmp_path):
+    (tmp_path / "t.prn").write_text('"A.Q" "B.Q"\n' + "\n".join(f"{i} {'ND' if i == 25 else i * 2}" for i in range(27)) + "\n")
+    raw = publishers.read_prn(spark, str(tmp_path / "t.prn"))
+    made = publishers.positional_flows(raw, {"B.Q": "b", "A.Q": "a"}, "_at")
+    assert rows(made, "date") == [(day("1951-10-01"), 48.0, 24.0), (day("1952-01-01"), None, 25.0), (day("1952-04-01"), 52.0, 26.0)]
+    (tmp_path / "e.prn").write_text("")
+    with pytest.raises(ContractError):
+        publishers.read_prn(spark, str(tmp_path / "e.prn"))
