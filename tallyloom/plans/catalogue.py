@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import aggregates, connectors, covenants, econometrics, relational, smoothers, sources, streams, systems, timeseries
+from tallyloom.plans import aggregates, connectors, covenants, econometrics, normalization, relational, smoothers, sources, streams, systems, timeseries
 from tallyloom.plans.registry import Query
 
-PARTS = (aggregates, timeseries, econometrics, smoothers, systems, covenants, relational, sources, connectors, streams)
+PARTS = (aggregates, timeseries, econometrics, smoothers, systems, covenants, relational, normalization, sources, connectors, streams)
 
 
 def queries() -> dict[str, Query]:

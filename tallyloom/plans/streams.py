@@ -34,6 +34,13 @@ def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select(F.col("start").cast("date").alias("day"), "value", "n"), 6, "value")
 
 
+@query("""SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type, round(sum(value), 4) AS value, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY 1, 2""")
+def stream_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = collapse.read_stream(spark, sf_dir, "events")
+    made = collapse.run_available(collapse.stream_resample(rows, "ts", "week", {"value": "sum", "event_id": "max"}, ["event_type"]), name())
+    return rounded(made.select(F.col("start").cast("date").alias("week"), "event_type", "value", "event_id", "n"), 4, "value")
+
+
 @query("SELECT user_id, count(*) AS n, round(regr_slope(value, event_id),6) AS slope FROM events GROUP BY 1")
 def stream_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = collapse.read_stream(spark, sf_dir, "events")

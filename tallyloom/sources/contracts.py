@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,6 +202,16 @@ def clean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*made).dropna("any")
 
 
+def complete(columns: Sequence[str], kinds: Mapping[str, str], how: str = "any") -> Column:
+    """Whether a row has all (how "any" missing drops it) or any ("all") of columns, there and finite.
+
+    kinds: type names by column, as in dict(df.dtypes)."""
+    if how not in ("any", "all"):
+        raise ValueError(f"unknown rule {how!r}")
+    there = [F.col(c).isNotNull() & ((~F.isnan(c) & (F.abs(c) != float("inf"))) if kinds[c] in ("double", "float") else F.lit(True)) for c in columns]
+    return reduce(and_ if how == "any" else or_, there, F.lit(how == "any"))
+
+
 def match_sample(df: DataFrame, columns: Sequence[str], how: str = "inner", mask: Column | None = None) -> DataFrame:
     """Rows with all (inner) or any (outer) of columns, or of a mask (custom); what is missing then is 0."""
     if how == "custom":

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,17 @@ def stream_collapse(
     return grouped.agg(*parts, F.count(F.lit(1)).alias("n")).select(F.col("_window.start").alias("start"), *keys, *variables, "n")
 
 
+def stream_resample(df: DataFrame, time: str, unit: str, values: Mapping[str, str], keys: Sequence[str] = (), late: str = "1 day") -> DataFrame:
+    """(start, keys, values, n) of periods such as day, week, month or quarter, as rows come. values: column to
+    mean, sum, min, max, first or last, the last two by time."""
+    how = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "first": lambda c: F.min_by(c, time), "last": lambda c: F.max_by(c, time)}
+    if wrong := sorted({v for v in values.values() if v not in how}):
+        raise ValueError(f"unknown ways to resample: {wrong}")
+    start = F.date_trunc(unit, F.col(time))
+    made = (how[v](c).alias(c) for c, v in values.items())
+    return timed(df, time, late).groupBy(start.alias("start"), *keys).agg(*made, F.count(F.lit(1)).alias("n"))
+
+
 def stream_unique(df: DataFrame, time: str, keys: Sequence[str], late: str = "1 day") -> DataFrame:
     """The first row of each key within the watermark."""
     return timed(df, time, late).dropDuplicatesWithinWatermark(list(keys))
