@@ -189,8 +189,16 @@ def error_correction_system(df: DataFrame, variables: Sequence[str], relations:
 
     Each relation is found by dynamic least squares; all changes are then regressed on all lagged gaps
     and on lagged changes in one pass of moments. One series is in one order, so its lags are one
-    window; the moments are sums.
+    window; the moments are sums. The series is read once and kept until all is fitted.
     """
+    df = df.select(*dict.fromkeys([*order, *variables])).persist()
+    try:
+        return corrected(df, variables, relations, lags, order, dls_lags)
+    finally:
+        df.unpersist()
+
+
+def corrected(df: DataFrame, variables: Sequence[str], relations: Sequence[tuple[str, Sequence[str]]], lags: int, order: Sequence[str], dls_lags: int) -> CorrectionSystem:
     weights, levels = np.zeros((len(relations), len(variables))), np.zeros(len(relations))
     for row, (left, right) in enumerate(relations):
         found, levels[row] = long_run(df, left, right, dls_lags, order)
