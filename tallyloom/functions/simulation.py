@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.plans.session import send_package
+
 
 def uniforms(path: Column, n: int, seed: int) -> Column:
     """n numbers in (0, 1) that depend on the path, their place and the seed alone, so a lost task draws the same again."""
@@ -25,28 +28,43 @@ def lognormal(normal: Column, mean: float, sd: float) -> Column:
     return F.exp(mean + sd * normal)
 
 
+def along(shocks: DataFrame, start: float, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(path, t, x), t from 1: states that follow from start by step(states, shocks), for many paths at once.
+
+    shocks: path and e, an array with a shock a period. A batch of paths is walked period by period, so the
+    work grows with periods times paths and no path is copied as it grows.
+    """
+    send_package(shocks.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            e = np.stack(f["e"].to_numpy()) if len(f) else np.zeros((0, 0))
+            x, out = np.full(len(f), float(start)), np.empty_like(e, dtype=float)
+            for t in range(e.shape[1]):
+                x = step(x, e[:, t])
+                out[:, t] = x
+            yield pd.DataFrame({"path": np.repeat(f["path"].to_numpy(), e.shape[1]), "t": np.tile(np.arange(1, e.shape[1] + 1, dtype=np.int32), len(f)), "x": out.ravel()})
+
+    return shocks.mapInPandas(run, "path long, t int, x double")
+
+
 def ar1_paths(spark: SparkSession, rho: float, sd: float, periods: int, paths: int, mean: float = 0.0, start: float | None = None, seed: int = 0) -> DataFrame:
-    """(path, t, x): autoregressions of order one, each path a row until the end."""
-    shocks = normals(F.col("id"), periods, seed)
-    first = F.array(F.lit(mean if start is None else float(start)))
-    along = F.aggregate(shocks, first, lambda xs, e: F.concat(xs, F.array(mean + rho * (F.element_at(xs, -1) - mean) + sd * e)))
-    made = spark.range(paths).select(F.col("id").alias("path"), F.posexplode(along).alias("t", "x"))
-    return made.where("t > 0")
+    """(path, t, x): autoregressions of order one."""
+    shocks = spark.range(paths).select(F.col("id").alias("path"), normals(F.col("id"), periods, seed).alias("e"))
+    return along(shocks, mean if start is None else start, lambda x, e: mean + rho * (x - mean) + sd * e)
 
 
 def cir_paths(spark: SparkSession, rho: float, sd: float, periods: int, paths: int, mean: float = 0.0, start: float | None = None, bound: bool = False, seed: int = 0) -> DataFrame:
     """(path, t, x): autoregressions whose shocks grow with the square root of the state's size; with bound, a
     state that falls below zero comes back with its sign turned, the first one too."""
-    shocks = normals(F.col("id"), periods, seed)
 
-    def step(xs: Column, e: Column) -> Column:
-        x = F.element_at(xs, -1)
-        y = mean + rho * (x - mean) + sd * F.sqrt(F.abs(x)) * e
-        return F.concat(xs, F.array(F.abs(y) if bound else y))
+    def step(x: np.ndarray, e: np.ndarray) -> np.ndarray:
+        y = mean + rho * (x - mean) + sd * np.sqrt(np.abs(x)) * e
+        return np.abs(y) if bound else y
 
     first = mean if start is None else float(start)
-    along = F.aggregate(shocks, F.array(F.lit(abs(first) if bound else first)), step)
-    return spark.range(paths).select(F.col("id").alias("path"), F.posexplode(along).alias("t", "x")).where("t > 0")
+    shocks = spark.range(paths).select(F.col("id").alias("path"), normals(F.col("id"), periods, seed).alias("e"))
+    return along(shocks, abs(first) if bound else first, step)
 
 
 def choice(shares: Column, u: Column) -> Column:
