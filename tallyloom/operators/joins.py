@@ -86,8 +86,11 @@ def crosswalk_factors(df: DataFrame, source: str, target: str, weight: str) -> D
 
 
 def crosswalk_allocate(df: DataFrame, factors: DataFrame, source: str, target: str, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Values of sources dealt to targets by factors and summed."""
-    return df.join(factors, source).groupBy(target, *keys).agg(*(F.sum(F.col(v) * F.col("factor")).alias(v) for v in values))
+    """Values of sources dealt to targets by factors and summed. Values are summed to sources and keys before
+    they meet their factors, so a source's rows and its targets make no pairs."""
+    own = [k for k in keys if k in df.columns]
+    sums = df.groupBy(source, *own).agg(*(F.sum(v).alias(v) for v in values))
+    return sums.join(factors, source).groupBy(target, *keys).agg(*(F.sum(F.col(v) * F.col("factor")).alias(v) for v in values))
 
 
 def keep_groups(df: DataFrame, keys: Sequence[str], holds: Column) -> DataFrame:
