@@ -16,6 +16,8 @@ from tallyloom.operators.quantiles import finite
 
 #: Rows up to which one task may hold a window over all of them.
 WINDOW_ROWS = 100_000
+#: Rows of a group up to which they may all be dealt to one task.
+GROUP_ROWS = 100_000
 #: Levels of a dummy that are taken into a design at most; beyond, absorb the effect.
 MAX_LEVELS = 500
 
@@ -275,15 +277,33 @@ def regression(
     return Fit(names, coef, inverse @ meat @ inverse, n, 1 - rss / tss if tss else float("nan"), sigma2, design)
 
 
+def beside_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Rows beside their group's columns, null where there is no group. groups has one row a group, with its
+    number of rows in size. Groups of more than GROUP_ROWS rows, of which there is at most one in so many
+    rows, are broadcast; their rows and those without a key are dealt by where they are, not by key."""
+    values = [c for c in groups.columns if c not in keys]
+    large = F.col(size) > GROUP_ROWS
+    # both joins keep all columns of groups, so that groups are summed once
+    rows = df.join(F.broadcast(groups.where(large)), list(keys), "left")
+    apart = F.col(size).isNotNull()
+    for k in keys:
+        apart |= F.col(k).isNull()
+    rows = rows.withColumn("_deal", F.when(apart, F.spark_partition_id() + 1).otherwise(0))
+    others = groups.select(*keys, *(F.col(c).alias(f"_o_{c}") for c in values), F.when(large, -1).otherwise(0).alias("_deal"))
+    made = rows.join(others, [*keys, "_deal"], "left")
+    return made.select(*df.columns, *(F.coalesce(c, f"_o_{c}").alias(c) for c in values))
+
+
 def demean(df: DataFrame, variables: Sequence[str], keys: Sequence[str], weight: str | None = None, prefix: str = "") -> DataFrame:
     """Variables less their group's mean; rows without a group go. A weighted mean's weight is that of
-    all rows of the group. Means are summed before the exchange and joined back, so a group of very
+    all rows of the group. Means are summed before the exchange and put beside the rows, so a group of very
     many rows is no single task's."""
-    made = {}
+    made = {"_size": F.count(F.lit(1))}
     for i, x in enumerate(variables):
         made[f"_m{i}"] = F.avg(x) if weight is None else F.try_divide(F.sum(F.col(x) * F.col(weight)), F.sum(weight))
-    means = df.groupBy(*keys).agg(*(m.alias(n) for n, m in made.items()))
-    out = df.join(means, list(keys)).withColumns({prefix + x: F.col(x) - F.col(f"_m{i}") for i, x in enumerate(variables)})
+    rows = df.dropna(subset=list(keys))
+    means = rows.groupBy(*keys).agg(*(m.alias(n) for n, m in made.items()))
+    out = beside_groups(rows, means, keys, "_size").withColumns({prefix + x: F.col(x) - F.col(f"_m{i}") for i, x in enumerate(variables)})
     return out.select(*dict.fromkeys([*df.columns, *(prefix + x for x in variables)]))
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from tallyloom.operators import regression as reg
 
@@ -121,3 +122,34 @@ def test_lag_covariances_do_not_depend_on_the_runs(spark, monkeypatch):
     cut = reg.regression(df, "y ~ x", hac_lags=3, order=["t"])
     assert np.allclose(whole.cov, cut.cov, rtol=1e-12)
     assert [x.t for x in reg.numbered(df, ["t"]).orderBy("_g").collect()] == list(range(60))
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_rows_of_a_large_group_are_not_dealt_to_one_task(spark, monkeypatch, weight):
+    monkeypatch.setattr(reg, "GROUP_ROWS", 50, raising=False)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    keys = [None if i % 10 == 0 else "large" if i % 10 < 7 else f"small {i % 40}" for i in range(400)]
+    pdf = pd.DataFrame({"i": range(400), "g": keys, "h": [i % 3 for i in range(400)], "x": [float(i * i % 97) for i in range(400)], "w": [1.0 + i % 4 for i in range(400)]})
+    pdf["v"] = pdf.x.where(pdf.i % 11 > 0)
+    df = spark.createDataFrame(pdf[["i", "g", "h", "x", "w"]]).repartition(4, "i").withColumn("v", F.when(F.col("i") % 11 > 0, F.col("x")))
+    kept = pdf.dropna(subset="g")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        made = reg.demean(df, ["x", "v"], ["g"], weight)
+        at = made.where("g = 'large'").select(F.spark_partition_id()).distinct().count()
+        got = {r.i: (r.x, r.v) for r in made.collect()}
+        two = {r.i: r.x for r in reg.demean_separate(df, ["x"], ["g", "h"]).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert at > 1
+    w = kept.w if weight else 1.0 + 0 * kept.w
+    for j, c in enumerate("xv"):
+        over = w.groupby(kept.g).transform("sum") if weight else kept[c].notna().groupby(kept.g).transform("sum")
+        expected = kept[c] - (kept[c] * w).groupby(kept.g).transform("sum") / over
+        assert [got[i][j] if got[i][j] is not None else np.nan for i in kept.i] == pytest.approx(expected.tolist(), nan_ok=True)
+    assert sorted(got) == kept.i.tolist()
+    once = kept.x - kept.x.groupby(kept.g).transform("mean")
+    assert [two[i] for i in kept.i] == pytest.approx((once - once.groupby(kept.h).transform("mean")).tolist())
